@@ -1,12 +1,12 @@
 """Exact dedup over a persistent digest index.
 
 The index is a table (digest, keep_id), bucketed and sorted by digest. New data is reduced to one row per digest,
-dedup'd against the index by a sort-merge anti-join on the digest, and what is new is appended. Whoever is admitted first
-keeps its text, so batches are admitted from the largest doc_id down.
+deduplicated against the index by a sort-merge anti-join on the digest, and what is new is appended. Within a batch the
+largest doc_id keeps a text; between batches the one admitted first.
 
-Cases: null text counts as empty; a null doc_id never wins over another and its row is admitted last; rows that repeat
-both doc_id and text are one document, of which one row is kept; an empty table gives an empty result; columns besides
-doc_id and text are not looked at.
+Cases: null text counts as empty; a null doc_id never wins over another; rows that repeat both doc_id and text are one
+document: all its rows are marked as kept, and the pipeline's stage leaves one of them; an empty table gives an empty
+result; columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -14,16 +14,12 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioflow.llm import shared
 
-#: Rows of one digest are spread over so many keys before they meet, so a text that a third of all rows share is no hot key.
-SALTS = 64
-
-
 DIGEST = "__digest"
 
 
@@ -42,59 +38,53 @@ def digests(docs: DataFrame) -> DataFrame:
     return with_digest(shared.id_and_text(docs)).select("doc_id", F.col(DIGEST).alias("digest"))
 
 
+def _bucketed(spark: SparkSession, path: str, columns: str, buckets: int) -> str:
+    """The name of a table at path, bucketed and sorted by digest; what is there already is kept."""
+    name = "digests_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
 class DigestIndex:
-    """The index at a path; opening an existing path goes on with it. The number of buckets is fixed when it is made."""
+    """The index at a path; opening an existing path goes on with it.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+    The number of buckets is fixed when it is made: by default the number of shuffle partitions, so that a batch that was
+    grouped by digest meets the buckets, and is written into them, without another shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = _bucketed(spark, path, "digest BINARY, keep_id BIGINT", self.buckets)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def admit(self, batch: DataFrame) -> None:
-        """Appends the digests of batch (doc_id, digest) that the index doesn't have; the largest doc_id is theirs."""
-        one = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-        new = one.hint("merge").join(self.table(), "digest", "left_anti").select("digest", "keep_id")
-        new.repartition(self.buckets, "digest").write.insertInto(self.name)
+    def admit(self, rows: DataFrame) -> DataFrame:
+        """Appends the digests of rows (doc_id, digest) that the index doesn't have; the largest doc_id is theirs.
+
+        Returns digest, keep_id and group_size (in these rows) of every digest of rows. Equal digests are summed before
+        they are shuffled; the batch is bucketed as the index is, so the anti-join and the join read both in order.
+        """
+        name = _bucketed(self.spark, shared.scratch_path(self.spark, "batch"), "digest BINARY, last BIGINT, group_size BIGINT", self.buckets)
+        rows.groupBy("digest").agg(F.max("doc_id"), F.count("*")).write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+        batch = self.spark.table(name)
+        batch.hint("merge").join(self.table(), "digest", "left_anti").select("digest", "last").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
+        return batch.hint("merge").join(self.table(), "digest").select("digest", "keep_id", "group_size")
 
 
-def verdicts(found: DataFrame, index: DigestIndex) -> DataFrame:
-    """Of each row of found (doc_id, digest): keep_id, group_size and kept.
-
-    Counts are made by (digest, salt) first and the answer goes back to (digest, salt), so no task gets all rows of a text.
-    """
-    found = found.withColumn("salt", shared.salt("doc_id", SALTS))
-    parts = found.groupBy("digest", "salt").agg(F.count("*").alias("n"))
-    total = parts.groupBy("digest").agg(F.sum("n").alias("group_size")).join(index.table().hint("merge"), "digest")
-    answer = parts.select("digest", "salt").join(total, "digest")
-    repeat = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy("doc_id"))
-    return (
-        found.hint("merge").join(answer, ["digest", "salt"])
-        .withColumn("repeat", repeat)
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"), "digest")
-    )
-
-
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest of every row of docs. The index is a new one in the shared folder unless given.
 
-    Batches are ranges of doc_id, the largest ids first. keep_id may be of an earlier call if the index was given.
+    Both sides of the last join are shuffled as they are, so Spark splits the rows of a text that very many share.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, shared.scratch_path(spark, "digest-index"))
     found = shared.scratch(digests(docs), "digests")
-    low, high = found.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is not None:
-        edges = [low + (high - low + 1) * k // batches for k in range(batches)]
-        below = high + 1
-        for edge in reversed(edges):
-            index.admit(found.where((F.col("doc_id") >= edge) & (F.col("doc_id") < below)))
-            below = edge
-    index.admit(found.where(F.col("doc_id").isNull()))
-    return verdicts(found, index)
+    answer = shared.scratch(index.admit(found), "answers")
+    return found.hint("merge").join(answer, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +94,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that stay, with the columns of docs. A row is known by doc_id and digest, as ids may be null or repeat."""
-    found = shared.scratch(exact_dedup(docs), "verdicts")
+    found = shared.scratch(exact_dedup(docs).where("kept").select("doc_id", "digest"), "kept")
     own = with_digest(docs)
-    same = own["doc_id"].eqNullSafe(found["doc_id"]) & (own[DIGEST] == found["digest"])
-    rows = own.join(found.where("kept"), same, "left_semi")
-    if not found.where("not kept and doc_id <=> keep_id").isEmpty():
+    rows = own.join(found, own["doc_id"].eqNullSafe(found["doc_id"]) & (own[DIGEST] == found["digest"]), "left_semi")
+    if found.count() > found.select("digest").distinct().count():  # rows that repeat both
         rows = rows.dropDuplicates(["doc_id", DIGEST])
     return rows.select(docs.columns)
 
