@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, mixing, packing, wav_fingerprint
+from folioflow.llm import exact_dedup, mixing, packing, toxicity, wav_fingerprint
 
 QUERIES = {
     "op3_wav_fingerprint": wav_fingerprint.query,
     "op7_sum_of_squares_packing": packing.query,
+    "op8_toxicity_chain": toxicity.query,
     "op9_source_mix": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
