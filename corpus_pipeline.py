@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import exact_dedup, mixing, shared
+from folioflow.llm import exact_dedup, mixing, near_dup, packing, shared, toxicity
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("ngram_jaccard_join", near_dup.stage),
     ("source_mix", mixing.stage),
+    ("sum_of_squares_packing", packing.stage),
 ]
 
 #: Classifiers and packing can't be written in SQL.

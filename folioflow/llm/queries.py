@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, mixing, packing, toxicity, wav_fingerprint
+from folioflow.llm import exact_dedup, mixing, near_dup, packing, toxicity, wav_fingerprint
 
 QUERIES = {
+    "op1_ngram_jaccard_join": near_dup.query,
     "op3_wav_fingerprint": wav_fingerprint.query,
     "op7_sum_of_squares_packing": packing.query,
     "op8_toxicity_chain": toxicity.query,
