@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, mixing, near_dup, packing, toxicity, wav_fingerprint
+from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, toxicity, wav_fingerprint
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_dup.query,
     "op3_wav_fingerprint": wav_fingerprint.query,
+    "op5_byte_gru_language": language_id.query,
+    "op6_random_indexing_quality": quality.query,
     "op7_sum_of_squares_packing": packing.query,
     "op8_toxicity_chain": toxicity.query,
     "op9_source_mix": mixing.query,

@@ -55,13 +55,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, schema, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+#: Rows that a function sees at once; what it builds for them stays small beside the batch.
+ROWS = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
+def map_arrow(df: DataFrame, schema, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow for a function of one batch of ROWS rows at most, and at least one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+        return map(f, slices(batches))
 
     return df.mapInArrow(run, schema)
 
