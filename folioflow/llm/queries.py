@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, toxicity, wav_fingerprint
+from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, wav_fingerprint
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_dup.query,
     "op3_wav_fingerprint": wav_fingerprint.query,
+    "op4_suffix_array_dedup": substring_dedup.query,
     "op5_byte_gru_language": language_id.query,
     "op6_random_indexing_quality": quality.query,
     "op7_sum_of_squares_packing": packing.query,
