@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, wav_fingerprint
+from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, warc_audit, wav_fingerprint
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_dup.query,
+    "op2_warc_merkle_audit": warc_audit.query,
     "op3_wav_fingerprint": wav_fingerprint.query,
     "op4_suffix_array_dedup": substring_dedup.query,
     "op5_byte_gru_language": language_id.query,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc_merkle_audit": warc_audit.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
