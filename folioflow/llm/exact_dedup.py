@@ -96,7 +96,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that stay, with the columns of docs. A row is known by doc_id and digest, as ids may be null or repeat."""
     found = shared.scratch(exact_dedup(docs).where("kept").select("doc_id", "digest"), "kept")
     own = with_digest(docs)
-    rows = own.join(found, own["doc_id"].eqNullSafe(found["doc_id"]) & (own[DIGEST] == found["digest"]), "left_semi")
+    rows = own.hint("merge").join(found, own["doc_id"].eqNullSafe(found["doc_id"]) & (own[DIGEST] == found["digest"]), "left_semi")
     if found.count() > found.select("digest").distinct().count():  # rows that repeat both
         rows = rows.dropDuplicates(["doc_id", DIGEST])
     return rows.select(docs.columns)

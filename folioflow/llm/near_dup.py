@@ -164,7 +164,7 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
     nodes = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     met = shared.scratch(nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "trie-nodes")
-    edges = nodes.join(met, ["tree", "prefix"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    edges = nodes.hint("merge").join(met, ["tree", "prefix"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     tree = components(edges)
 
     members = tree.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
@@ -173,7 +173,8 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     members = members.join(sizes, "cluster").join(classes.select("rep", "copies"), "rep").select("rep", "cluster", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = shared.scratch(members, "members")
 
-    rows = texts.withColumnRenamed("doc_id", "rep").join(members, "rep").select("rep", "cluster", "copies", "blocks", "text")
+    # by merge at every size: a broadcast of few members would hide what the shuffle of all texts costs
+    rows = texts.withColumnRenamed("doc_id", "rep").hint("merge").join(members, "rep").select("rep", "cluster", "copies", "blocks", "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x).tobytes() for x in shared.raw(batch.column(4))]
@@ -189,7 +190,7 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     answer = classes.select("set_id", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     answer = shared.scratch(answer.select("set_id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "answers")
     # repeated copies of a text, however many, are split over tasks by Spark: both sides are shuffled as they are
-    out = found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(answer, "set_id", "left")
+    out = found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).hint("merge").join(answer, "set_id", "left")
     return out.select("doc_id", F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("copies", F.lit(1)).alias("class_size"), F.coalesce("root", "doc_id").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
 
 
@@ -200,7 +201,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one of the smallest doc_id."""
     kept = shared.scratch(near_dup(docs).where("doc_id <=> class_id").select("doc_id"), "kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = docs.hint("merge").join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     if kept.count() > kept.distinct().count():  # rows that repeat a doc_id
         rows = rows.dropDuplicates(["doc_id"])
     return rows.select(docs.columns)
