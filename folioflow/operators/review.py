@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioflow.functions import text as T
 
@@ -50,7 +51,7 @@ def answered(requests: DataFrame, answers: DataFrame) -> DataFrame:
 EDITS = "array<struct<before:string,after:string,confidence:double>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def apply_edits(text: pd.Series, edits: pd.Series) -> pd.Series:
     """Each edit in turn, if it is sure, short, in the text once, and leaves the text much the same."""
 
