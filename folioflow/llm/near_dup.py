@@ -32,9 +32,9 @@ from folioflow.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 20, 8
-BLOCK = 1024
+BLOCK = 512
 #: Rows that are verified in one call, in the mean.
-SLOT = 2048
+SLOT = 512
 
 _ODD = np.array([int.from_bytes(hashlib.sha256(b"fold %d" % k).digest()[:8], "big") | 1 for k in range(WORDS)], np.uint64)
 _A = np.array([int.from_bytes(hashlib.sha256(b"a %d" % k).digest()[:4], "big") | 1 for k in range(TREES * DEPTH)], np.uint32)
