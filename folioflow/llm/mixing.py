@@ -118,8 +118,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents of size 0 don't count against a budget and stay once."""
-    plan = shared.scratch(mix(docs).groupBy("doc_id").agg(F.first("copies").alias("copies"), F.first("size").alias("size")), "copies")
-    rows = docs.withColumnRenamed("doc_id", "__id").hint("merge").join(plan, F.col("__id").eqNullSafe(F.col("doc_id")))
-    rows = rows.withColumn("__times", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int"))
+    plan = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.first("copies").alias("__copies"), F.first("size").alias("__size"))
+    plan = shared.scratch(plan, "copies")
+    rows = docs.hint("merge").join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = rows.withColumn("__times", F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies")).cast("int"))
     rows = rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*[F.col("__id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+    return rows.select(docs.columns)
