@@ -198,10 +198,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup(shared.documents(spark, sf_dir))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with __key, and the table of keys (__id, __text, __key): a number for each pair of doc_id and text.
+
+    Numbers rise with doc_id, rows without one are last, by the text's digest; null text is empty. They are written before
+    they are used, so they stay.
+    """
+    own = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    pairs = own.select(F.col("doc_id").cast("long").alias("__id"), F.col("__digest").alias("__text")).distinct()
+    keys = shared.scratch(pairs.orderBy(F.col("__id").asc_nulls_last(), "__text").withColumn("__key", F.monotonically_increasing_id()), "keys")
+    rows = own.hint("merge").join(keys, own["doc_id"].cast("long").eqNullSafe(keys["__id"]) & (own["__digest"] == keys["__text"]))
+    return rows.select(*[own[f"`{c}`"] for c in docs.columns], "__key"), keys
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one of the smallest doc_id."""
-    kept = shared.scratch(near_dup(docs).where("doc_id <=> class_id").select("doc_id"), "kept")
-    rows = docs.hint("merge").join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.count() > kept.distinct().count():  # rows that repeat a doc_id
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.select(docs.columns)
+    """One row of each class, the one of the smallest doc_id; rows without doc_id are linked as well and come last.
+
+    Rows are known by doc_id and text, as ids may be null or repeat; of rows that repeat both one stays.
+    """
+    rows, keys = keyed(docs)
+    rows = shared.scratch(rows, "keyed")
+    if rows.count() > keys.count():  # rows that repeat both
+        rows = shared.scratch(rows.dropDuplicates(["__key"]), "keyed")
+    found = near_dup(rows.select(F.col("__key").alias("doc_id"), "text"))
+    kept = shared.scratch(found.where("doc_id = class_id").select(F.col("doc_id").alias("__kept")), "kept")
+    return rows.hint("merge").join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(docs.columns)

@@ -39,6 +39,17 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in found} == brute.near(both(rows))
 
 
+def test_stage_keeps_rows_without_or_with_repeated_ids(spark, sf_dir):
+    texts = [prose(k, 60) for k in range(20, 27)]
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    rows = [(None, texts[0]), (None, texts[1]), (None, near(texts[1])), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, near(texts[3])), (6, texts[4]), (4, near(texts[4])), (None, texts[5]), (7, texts[6]), (None, None), (5, "")]
+    found = [(r.doc_id, r.text) for r in near_dup.stage(spark, frame(spark, [(*r, "en", "a") for r in rows]), sf_dir).collect()]
+    either = [r for r in found if r in rows[1:3]]
+    assert len(either) == 1
+    wanted = [rows[k] for k in (0, 3, 4, 8, 9, 10, 11, 12)]
+    assert sorted((r for r in found if r not in either), key=str) == sorted(wanted, key=str)
+
+
 def test_prefix_is_shortened_until_the_recall(spark):
     d = near_dup.depth_for(0.8)
     assert 1 - (1 - 0.8**d) ** near_dup.TREES >= near_dup.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_dup.TREES
