@@ -18,6 +18,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.llm import shared
 
@@ -29,17 +30,23 @@ BITS, LEVELS = 10, 6
 SALTS = 64
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, h: the words of each document (runs of bytes other than ASCII white space) and a 60-bit hash."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with __size and __h: the words of each document (runs of bytes other than ASCII white space) and a 60-bit hash."""
+    at, names = docs.columns.index("text"), [*docs.columns, "__size"]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         # bytes.split cuts at space and 9 to 13, no other byte
-        sizes = pa.array([len(x.split()) for x in shared.raw(batch.column(2))], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["doc_id", "source", "size"])
+        sizes = pa.array([len((x or b"").split()) for x in shared.raw(batch.column(at))], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, sizes], names=names)
+
+    rows = shared.map_arrow(docs, StructType([*docs.schema.fields, StructField("__size", LongType())]), count)
+    return rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 64 - BITS * LEVELS))
 
-    rows = shared.map_arrow(rows, "doc_id long, source string, size long", count)
-    return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - BITS * LEVELS))
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h of every row of docs."""
+    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
+    return rows.select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -102,11 +109,16 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.join(found, plan["source"].eqNullSafe(found["s"]), "left").select("source", "source_size", "target", "times", F.coalesce("threshold", F.when(F.col("budget") > 0, F.shiftleft(F.lit(1).cast("long"), BITS * LEVELS)).otherwise(0)).alias("threshold"))
 
 
+def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """s, source_size, target, times, threshold for each source of rows (source, size, h)."""
+    plan = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
+    return shared.scratch(plan.withColumnRenamed("source", "s"), "thresholds")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of docs."""
     rows = shared.scratch(sized(docs), "sizes")
-    plan = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    plan = shared.scratch(plan.withColumnRenamed("source", "s"), "thresholds")
+    plan = planned(rows, weights, cap)
     # small plans are broadcast by their file size; with others Spark splits the rows of a large source over tasks
     out = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("copies", F.col("times") + (F.col("h") < F.col("threshold")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "h")
@@ -117,10 +129,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents of size 0 don't count against a budget and stay once."""
-    plan = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.first("copies").alias("__copies"), F.first("size").alias("__size"))
-    plan = shared.scratch(plan, "copies")
-    rows = docs.hint("merge").join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__times", F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies")).cast("int"))
-    rows = rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    """Each row as often as the mix takes it, by its own source and size; rows of size 0 don't count against a budget and stay once."""
+    plan = planned(shared.scratch(sized(docs), "sizes"))
+    plan = plan.select(F.col("s").alias("__source"), F.col("times").alias("__times"), F.col("threshold").alias("__threshold"))
+    rows = measured(docs)
+    rows = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]))
+    copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__times") + (F.col("__h") < F.col("__threshold")).cast("long")).cast("int")
+    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(docs.columns)

@@ -198,6 +198,15 @@ def test_mix(spark, odd):
     assert size[17] == len(re.findall(rb"[^\x20\x09-\x0D]+", odd[18][1].encode()))
 
 
+def test_mix_stage_takes_rows_by_their_own_source(spark, sf_dir):
+    rows = [(None if k % 7 == 0 else k, prose(100 * k + ord(s), 40), "en", s) for k in range(50) for s in "abc"] + [(1, "", "en", "a"), (1, None, "en", None)]
+    docs = frame(spark, rows)
+    copies = Counter({(r.doc_id, r.source, r.size): r.copies for r in mixing.mix(docs).collect()})
+    assert len({copies[(k, s, 40)] for k in range(1, 7) for s in "abc"}) > 1
+    wanted = Counter({r: copies[(r[0], r[3], 40)] if r[1] else 1 for r in rows})
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in mixing.stage(spark, docs, sf_dir).collect()) == +wanted
+
+
 def test_language(spark, odd):
     net_docs = frame(spark, [(k, ("the of and to in " if k % 2 else "der die und das ein ") * 9, "en" if k % 2 else "de", "a") for k in range(60)] + odd)
     windows, labels, names = language_id.sample(net_docs)
