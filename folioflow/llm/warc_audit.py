@@ -2,13 +2,14 @@
 
 Each record's hash is a leaf. Records of a shard are ordered by offset, and each run of FANOUT neighbours is a node: a hash
 over its children's hashes and its range of offsets, up to one root for a shard. The roots of two replicas are compared,
-and only below nodes that differ are the children of both compared, level by level, down to the records.
+and only below nodes that differ are the children of both compared, level by level, down to the records. Records at places
+that differ are then aligned by page_id and hash, so that those that only moved are not reported.
 
 Only hashes, lengths and ids are shuffled, once, by replica and shard; all levels of a tree are made where its leaves are.
 Shards are dealt by a hash and as many as keep each near SHARD bytes, so no host or run of pages makes a large one.
 
 Cases: null url or html are empty; a null page_id is written as empty and sorts first; records that repeat are leaves of
-their own; a record that one replica lacks moves those behind it, which are then reported as well, as their places differ;
+their own; a record that one replica lacks moves those behind it in its shard: they are descended to, but not reported;
 empty tables have no roots and nothing to report; columns besides page_id, url and html are not looked at.
 """
 
@@ -88,15 +89,31 @@ def trees(found: DataFrame) -> list[DataFrame]:
 
 
 def compare(nodes: DataFrame) -> DataFrame:
-    """The nodes of one level at which the two replicas differ."""
+    """shard, node of one level at which the two replicas differ."""
     side = F.when(F.col("replica") == "primary", 0).otherwise(1)
     both = nodes.groupBy("shard", "node").agg(F.max(F.when(side == 0, F.col("hash"))).alias("first"), F.max(F.when(side == 1, F.col("hash"))).alias("second"))
-    return both.where(~F.col("first").eqNullSafe(F.col("second"))).select("shard", "node", F.when(F.col("first").isNull(), "extra").when(F.col("second").isNull(), "missing").otherwise("changed").alias("status"))
+    return both.where(~F.col("first").eqNullSafe(F.col("second"))).select("shard", "node")
+
+
+def aligned(found: DataFrame) -> DataFrame:
+    """shard, page_id, low, high, status from the leaves of both replicas at places that differ.
+
+    Leaves of equal page_id and hash have only moved and cancel out, as often as both sides have them. Of what is left,
+    leaves of one page_id are paired in their hashes' order as changed; those without a partner are missing or extra.
+    """
+    same = Window.partitionBy("replica", "shard", "page_id", "hash").orderBy("node")
+    lone = found.withColumn("nth", F.row_number().over(same)).groupBy("shard", "page_id", "hash", "nth")
+    lone = lone.agg(F.count("*").alias("n"), F.max("replica").alias("replica"), F.max("low").alias("low"), F.max("high").alias("high")).where("n = 1")
+    lone = lone.withColumn("nth", F.row_number().over(Window.partitionBy("replica", "shard", "page_id").orderBy("hash", "nth")))
+    first, second = (F.max(F.when(own, F.struct("low", "high"))) for own in (F.col("replica") == "primary", F.col("replica") != "primary"))
+    both = lone.groupBy("shard", "page_id", "nth").agg(first.alias("first"), second.alias("second"))
+    status = F.when(F.col("first").isNull(), "extra").when(F.col("second").isNull(), "missing").otherwise("changed")
+    return both.withColumn("at", F.coalesce("first", "second")).select("shard", "page_id", "at.low", "at.high", status.alias("status"))
 
 
 def audit(primary: DataFrame, replica: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     """shard, page_id, low, high, status of each record where the replica differs: its place in the primary's archive, or in
-    the replica's if the primary has none there."""
+    the replica's if the primary lacks it."""
     size = primary.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     levels = trees(leaves(primary, "primary", shards).unionByName(leaves(replica, "replica", shards)))
@@ -105,9 +122,7 @@ def audit(primary: DataFrame, replica: DataFrame, shard_bytes: int = SHARD) -> D
         at = differ.select("shard", F.col("node").alias("above"))
         inside = below.withColumn("above", F.floor(F.col("node") / FANOUT)).join(at, ["shard", "above"], "left_semi")
         differ = shared.scratch(compare(inside), "differ")
-    places = levels[0].join(differ, ["shard", "node"])
-    shown = F.when(F.col("status") == "extra", F.col("replica") == "replica").otherwise(F.col("replica") == "primary")
-    return places.where(shown).select("shard", "page_id", "low", "high", "status")
+    return aligned(levels[0].join(differ, ["shard", "node"], "left_semi"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -312,6 +312,18 @@ def test_archives(spark):
     assert {r.status for r in warc_audit.audit(pages, pages.where("page_id is null or page_id <> 59"), 1 << 20).collect()} == {"missing"}
 
 
+@pytest.mark.parametrize("shard_bytes", [300, 1 << 20])
+def test_lost_and_inserted_records_are_told_from_moved_ones(spark, shard_bytes):
+    schema = "page_id long, url string, html string"
+    rows = [(k, f"http://x/{k}", "<p>" * (k % 7)) for k in range(60)] + [(7, "again", "h"), (8, "http://x/8", "<p>"), (None, "u", "h"), (None, "v", "h")]
+    lost = [r for r in rows if r[0] not in (3, 20) and r[1] not in ("again", "v")]
+    bad = [(k, u, "<q>" if k == 41 else h) for k, u, h in lost] + [(25, "http://x/25", "new"), (100, "n", "n"), (12, *rows[12][1:])]
+    found = warc_audit.audit(spark.createDataFrame(rows, schema), spark.createDataFrame(bad, schema), shard_bytes).collect()
+    wanted = [(3, "missing"), (20, "missing"), (7, "missing"), (None, "missing"), (41, "changed"), (25, "extra"), (100, "extra"), (12, "extra")]
+    assert sorted(((r.page_id, r.status) for r in found), key=str) == sorted(wanted, key=str)
+    assert all(r.low < r.high for r in found)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")
