@@ -176,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Scorer | N
     """None without labels. The labelled documents' features, not their texts, go to the driver."""
     marks = labels.where("quality is not null and doc_id is not null").where(remainder(5) != 0)
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    # labels that point at no document don't count against the bound
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     marks = marks.orderBy(F.xxhash64(F.lit("quality"), F.col("doc_id")), "doc_id").limit(SAMPLE)
     rows = shared.id_and_text(docs).join(F.broadcast(shared.scratch(marks, "labels")), "doc_id").select("doc_id", "text", "quality")
     sent = docs.sparkSession.sparkContext.broadcast(vectors)

@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
     """A chain of the labelled documents; None without any. Only their words' columns go to the driver, not their texts."""
     rank = F.xxhash64(F.lit("toxic"), F.col("doc_id"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.orderBy(rank, "doc_id").limit(sample)
+    # labels that point at no document don't count against the bound
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(rank, "doc_id").limit(sample)
     rows = shared.id_and_text(docs).join(F.broadcast(shared.scratch(marks, "labels")), "doc_id").select("doc_id", "text", "toxic")
 
     def brief(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -295,6 +295,16 @@ def test_classifiers_without_labels(spark, odd):
     assert toxicity.score(docs, toxicity.train(docs, one)).count() == len(odd)
 
 
+def test_bound_counts_labels_of_documents(spark, monkeypatch):
+    docs = frame(spark, [(k, prose(k, 5), "en", "a") for k in range(40)])
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "fit_chain", lambda texts, fold, toxic: len(texts))
+    assert toxicity.train(docs, labels, 20) == 20
+    monkeypatch.setattr(quality, "SAMPLE", 10)
+    monkeypatch.setattr(quality, "fit", lambda x, y, calibrate: len(x))
+    assert quality.train(docs, labels, np.zeros((quality.BUCKETS + 1, quality.DIMENSIONS), np.float32)) == 10
+
+
 def test_archives(spark):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>é" * (k % 7)) for k in range(60)] + [(7, None, None), (None, "u", "h")], "page_id long, url string, html string")
     rows = warc_audit.archives(pages, 3).orderBy("shard", "offset").collect()
