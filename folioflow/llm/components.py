@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import shared
 
+#: Steps between two writes: so many plans stay short, and few tables are written.
+STEPS = 2
+
+
+def _starred(pairs: DataFrame) -> DataFrame:
+    """pairs (node, smaller root) with each node's roots linked to the smallest of them."""
+    least = F.min("root").over(Window.partitionBy("node"))
+    rows = pairs.withColumn("least", least)
+    both = F.explode(F.array(F.struct("node", F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root"))))
+    return rows.select(both.alias("p")).select("p.*").where("node <> root").distinct()
+
+
+def _jumped(forest: DataFrame) -> DataFrame:
+    """forest (node, root, moved) with each root replaced by its own root, where it has one."""
+    above = forest.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return forest.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.col("moved") | F.col("above").isNotNull()).alias("moved"))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for the nodes of edges (a, b) that aren't their component's smallest; root is the smallest.
@@ -15,18 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     at most: a forest. Then each node's parent is replaced with its parent's parent until nothing changes.
     """
     pairs = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct()
-    pairs = shared.scratch(pairs, "links")
     while True:
-        least = pairs.groupBy("node").agg(F.min("root").alias("least"), F.count("*").alias("n"))
-        least = shared.scratch(least, "least")
-        if least.where("n > 1").isEmpty():
+        for _ in range(STEPS):
+            pairs = _starred(pairs)
+        pairs = shared.scratch(pairs, "links")
+        rows, nodes = pairs.agg(F.count("*"), F.count_distinct("node")).first()
+        if rows == nodes:
             break
-        moved = pairs.join(least.where("n > 1").select("node", "least"), "node").where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
-        pairs = shared.scratch(least.select("node", F.col("least").alias("root")).unionByName(moved).distinct(), "links")
-    forest = pairs
     while True:
-        above = forest.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = shared.scratch(forest.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "forest")
-        forest = jumped.select("node", "root")
-        if jumped.where("moved").isEmpty():
-            return forest
+        forest = pairs.select("node", "root", F.lit(False).alias("moved"))
+        for _ in range(STEPS):
+            forest = _jumped(forest)
+        forest = shared.scratch(forest, "forest")
+        pairs = forest.select("node", "root")
+        if forest.where("moved").isEmpty():
+            return pairs

@@ -1,4 +1,4 @@
-"""What the corpus operators share: scratch tables in the shared folder and Arrow helpers."""
+"""What the corpus operators share: scratch tables in the shared folder, private column names, and Arrow helpers."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's Python ends."""
+#: Scratch paths that are there, with the name of the table at each, if any.
+_MADE: dict[str, str | None] = {}
+
+
+def scratch_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new path in the shared folder; it is deleted when the driver's Python ends, or by `cleared`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if not _MADE:
+        atexit.register(_delete_all, spark)
+    _MADE[path] = table
     return path
 
 
@@ -40,12 +47,27 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete_all(spark: SparkSession) -> None:
+    for path in list(_MADE):
+        del _MADE[path]
+        try:
+            if spark._jsc is not None:
+                delete(spark, path)
+        except Exception:  # the JVM may have ended before; nothing depends on it
+            pass
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes the scratch tables that are made inside, at the end; what is returned must have been written elsewhere."""
+    before = set(_MADE)
     try:
-        if spark._jsc is not None:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            if table := _MADE.pop(path):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete(spark, path)
-    except Exception:  # the JVM may have ended before; nothing depends on it
-        pass
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -55,18 +77,47 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a function sees at once; what it builds for them stays small beside the batch.
-ROWS = 1000
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of a name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of each combination of keys: the one of the smallest hash over all columns, so reruns agree."""
+    row, rank = private(df, "row"), F.xxhash64(*columns(df))
+    found = df.groupBy(*map(named, keys)).agg(F.min_by(F.struct(*columns(df)), rank).alias(row))
+    return found.select(*[named(row).getField(c).alias(c) for c in df.columns])
+
+
+#: Rows and bytes that a function sees at once, a single row excepted; what it builds for them stays small beside the batch.
+ROWS, BYTES = 1000, 16 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, ROWS)
+            while part.num_rows > 1 and part.nbytes > BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            start += part.num_rows
+            yield part
 
 
 def map_arrow(df: DataFrame, schema, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """mapInArrow for a function of one batch of ROWS rows at most, and at least one."""
+    """mapInArrow for a function of one batch of ROWS rows and about BYTES bytes at most, and one row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(f, slices(batches))
@@ -84,6 +135,6 @@ def raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def salt(column: str, n: int):
-    """A number below n from a column, to spread the rows of one key."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
+def parallel(df: DataFrame, size: int, bytes_each: int) -> int:
+    """Tasks for a shuffle of size bytes: the session's number, or more where a task would have above bytes_each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
