@@ -15,10 +15,8 @@ gives equal results, however it is partitioned.
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.llm import shared
 
@@ -26,27 +24,21 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: A bucket is split into 2 ** BITS; LEVELS * BITS bits of the hash can be used.
 BITS, LEVELS = 10, 6
-#: Rows of one source are spread over so many keys when they are numbered or summed.
-SALTS = 64
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with __size and __h: the words of each document (runs of bytes other than ASCII white space) and a 60-bit hash."""
-    at, names = docs.columns.index("text"), [*docs.columns, "__size"]
+def size_of(text: Column) -> Column:
+    """Words: runs of characters other than ASCII white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # bytes.split cuts at space and 9 to 13, no other byte
-        sizes = pa.array([len((x or b"").split()) for x in shared.raw(batch.column(at))], pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns, sizes], names=names)
 
-    rows = shared.map_arrow(docs, StructType([*docs.schema.fields, StructField("__size", LongType())]), count)
-    return rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 64 - BITS * LEVELS))
+def hash_of(doc_id: Column) -> Column:
+    """A hash of BITS * LEVELS bits; null ids have one of their own."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))), 64 - BITS * LEVELS)
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, h of every row of docs."""
-    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
-    return rows.select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -131,9 +123,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, by its own source and size; rows of size 0 don't count against a budget and stay once."""
     plan = planned(shared.scratch(sized(docs), "sizes"))
-    plan = plan.select(F.col("s").alias("__source"), F.col("times").alias("__times"), F.col("threshold").alias("__threshold"))
-    rows = measured(docs)
-    rows = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]))
-    copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__times") + (F.col("__h") < F.col("__threshold")).cast("long")).cast("int")
-    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(docs.columns)
+    own, copy = (shared.private(docs, name) for name in ("copies", "copy"))
+    rows = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["s"]))
+    size = size_of(docs["text"])
+    taken = F.when(size == 0, 1).otherwise(plan["times"] + (hash_of(docs["doc_id"]) < plan["threshold"]).cast("long")).cast("int")
+    rows = rows.select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns], taken.alias(own)).where(F.col(own) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(shared.columns(docs))
