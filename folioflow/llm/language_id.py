@@ -1,11 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into windows of WINDOW bytes, the last one filled up. In each window one network reads forward and one
-backward; a linear layer over both states labels every position, and a document's probabilities are the means over all its
-positions. The network is trained in numpy by backpropagation through time.
+Texts are cut into windows of WINDOW bytes. One network reads each window forward, from MARGIN bytes before it on, and one
+backward, from MARGIN bytes behind it on; a linear layer over both states labels every position of the window, and a
+document's probabilities are the means over all its positions. States don't go over from window to window: what they know of the
+text is at least MARGIN bytes on each side. Before a text's first and behind its last byte states are zero. The network is
+trained in numpy by backpropagation through time.
 
-Training uses WINDOWS windows of each of the SAMPLE documents of the smallest hashes of their doc_id, spread over the whole
-text: a documented bound. Prediction reads every byte of every text.
+Training uses WINDOWS windows, spread over the whole text, of each of the SAMPLE documents of the smallest hashes of their
+doc_id, one text each: a documented bound on rows. Texts with fewer windows give all they have, so short ones are learned from
+too. Prediction reads every byte of every text.
 
 Cases: texts that are null or have no letter are `und` with score 0; labels that are null are not learned; without any
 label all are `und`; ties go to the language that sorts first; a null doc_id is never learned from and not held out; an
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import shared
 
-WINDOW, HIDDEN = 32, 8
+WINDOW, MARGIN, HIDDEN = 32, 8, 8
+SPAN = WINDOW + 2 * MARGIN
 SAMPLE, WINDOWS = 3000, 4
 STEPS, BATCH, RATE, SEED = 240, 256, 0.03, 7
 #: Windows that are run together.
@@ -75,24 +79,28 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return p
 
 
-def window_sums(net: Network, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(windows, languages): the sums of the positions' probabilities in each row of windows (n, WINDOW)."""
+def window_sums(net: Network, windows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(windows, languages): the sums of the positions' probabilities in each row of windows (n, SPAN), whose text is low to high."""
     found = np.empty((len(windows), len(net.names)), np.float32)
     for start in range(0, len(windows), BLOCK):
         byte = np.ascontiguousarray(windows[start : start + BLOCK].T)
-        length = lengths[start : start + BLOCK]
+        begin, end = low[start : start + BLOCK], high[start : start + BLOCK]
         n = byte.shape[1]
-        state, ahead = np.zeros((HIDDEN, n), np.float32), np.empty((WINDOW, len(net.names), n), np.float32)
-        for t in range(WINDOW):
+        state, ahead = np.zeros((HIDDEN, n), np.float32), np.empty((SPAN, len(net.names), n), np.float32)
+        for t in range(MARGIN + WINDOW):
             state = _step(np.take(net.x[0], byte[t], axis=1, mode="clip"), net.u[0], state)[3]
-            np.matmul(net.out[:, :HIDDEN], state, out=ahead[t])
+            if t < MARGIN:
+                state *= t >= begin
+            else:
+                np.matmul(net.out[:, :HIDDEN], state, out=ahead[t])
         state, total = np.zeros((HIDDEN, n), np.float32), np.zeros((len(net.names), n), np.float32)
-        for t in range(WINDOW - 1, -1, -1):
-            # the fill after a text's end is read by neither direction as a state for the text
-            inside = t < length
+        for t in range(SPAN - 1, MARGIN - 1, -1):
+            inside = t < end
             state = _step(np.take(net.x[1], byte[t], axis=1, mode="clip"), net.u[1], state)[3]
             if not inside.all():
                 state *= inside
+            if t >= MARGIN + WINDOW:
+                continue
             logits = ahead[t]
             logits += net.out[:, HIDDEN:] @ state
             logits += net.bias[:, None]
@@ -105,22 +113,26 @@ def window_sums(net: Network, windows: np.ndarray, lengths: np.ndarray) -> np.nd
     return found
 
 
-def _gradients(net: Network, byte: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Of the weighted cross-entropy of all positions of byte (WINDOW, n), by backpropagation through time."""
+def _gradients(net: Network, byte: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the cross-entropy of the positions of byte (SPAN, n), by backpropagation through time; a window's positions share its weight."""
     n, eye = byte.shape[1], np.eye(256, dtype=np.float32)
+    steps = (range(MARGIN + WINDOW), range(SPAN - 1, MARGIN - 1, -1))
+    inside = (np.arange(SPAN)[:, None] >= low) & (np.arange(SPAN)[:, None] < high)
+    labelled = inside[MARGIN : MARGIN + WINDOW]
+    share = (weight / np.maximum(1, labelled.sum(axis=0))).astype(np.float32)
     runs = []
     for d in range(2):
-        state, kept = np.zeros((HIDDEN, n), np.float32), [None] * WINDOW
-        for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+        state, kept = np.zeros((HIDDEN, n), np.float32), {}
+        for t in steps[d]:
             gates, held, candidate, new = _step(net.x[d][:, byte[t]], net.u[d], state)
-            kept[t] = (state, gates, held, candidate, new)
-            state = new
+            kept[t] = (state, gates, held, candidate, new * inside[t])
+            state = kept[t][4]
         runs.append(kept)
-    dout, dbias, dstate = np.zeros_like(net.out), np.zeros_like(net.bias), [[None] * WINDOW, [None] * WINDOW]
+    dout, dbias, dstate = np.zeros_like(net.out), np.zeros_like(net.bias), ({}, {})
     hot = np.eye(len(net.names), dtype=np.float32)[:, target]
-    for t in range(WINDOW):
+    for t in range(MARGIN, MARGIN + WINDOW):
         both = np.concatenate([runs[0][t][4], runs[1][t][4]])
-        e = (softmax(net.out @ both + net.bias[:, None]) - hot) * weight / WINDOW
+        e = (softmax(net.out @ both + net.bias[:, None]) - hot) * (share * inside[t])
         dout += e @ both.T
         dbias += e.sum(axis=1)
         back = net.out.T @ e
@@ -128,10 +140,10 @@ def _gradients(net: Network, byte: np.ndarray, target: np.ndarray, weight: np.nd
     dx, du = [np.zeros_like(a) for a in net.x], [np.zeros_like(a) for a in net.u]
     for d in range(2):
         carry = np.zeros((HIDDEN, n), np.float32)
-        for t in range(WINDOW - 1, -1, -1) if d == 0 else range(WINDOW):
+        for t in reversed(steps[d]):
             state, gates, held, candidate, _ = runs[d][t]
             update, reset = gates[:HIDDEN], gates[HIDDEN:]
-            dh = dstate[d][t] + carry
+            dh = (dstate[d].get(t, np.float32(0)) + carry) * inside[t]
             dc = dh * (1 - update) * (1 - candidate * candidate)
             dz = dh * (state - candidate) * update * (1 - update)
             dr = dc * held * reset * (1 - reset)
@@ -142,7 +154,7 @@ def _gradients(net: Network, byte: np.ndarray, target: np.ndarray, weight: np.nd
     return [*dx, *du, dout, dbias]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, names: list[str]) -> Network:
+def train(windows: np.ndarray, low: np.ndarray, high: np.ndarray, labels: np.ndarray, names: list[str]) -> Network:
     """Adam over random batches; languages weigh the same."""
     net, draw = fresh(names), np.random.default_rng(SEED)
     share = np.bincount(labels, minlength=len(names)) / len(labels)
@@ -151,50 +163,53 @@ def train(windows: np.ndarray, labels: np.ndarray, names: list[str]) -> Network:
     for step in range(1, STEPS + 1):
         at = draw.integers(0, len(windows), BATCH)
         rate = RATE * (1 - step / (STEPS + 1))
-        for a, g, m, v in zip(net.arrays(), _gradients(net, windows[at].T, labels[at], weight[at] / BATCH), first, second, strict=True):
+        for a, g, m, v in zip(net.arrays(), _gradients(net, windows[at].T, low[at], high[at], labels[at], weight[at] / BATCH), first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             a -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net
 
 
-def cut(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of a text and their lengths."""
+def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of a text with their margins, and where in each the text begins and ends."""
     n = -(-len(text) // WINDOW)
-    windows = np.zeros(n * WINDOW, np.uint8)
-    windows[: len(text)] = np.frombuffer(text, np.uint8)
-    lengths = np.full(n, WINDOW)
-    if n:
-        lengths[-1] = len(text) - (n - 1) * WINDOW
-    return windows.reshape(n, WINDOW), lengths
+    padded = np.zeros(n * WINDOW + 2 * MARGIN, np.uint8)
+    padded[MARGIN : MARGIN + len(text)] = np.frombuffer(text, np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::WINDOW] if n else np.zeros((0, SPAN), np.uint8)
+    low, high = np.zeros(n, np.int64), np.minimum(SPAN, len(text) + MARGIN - WINDOW * np.arange(n))
+    low[:1] = MARGIN
+    return windows, low, high
 
 
 def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
-    """Windows, labels and the languages' names of the documents to learn from; None without any."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null").where(remainder(4) != 2)
-    chosen = rows.select("doc_id").orderBy(F.xxhash64(F.lit("lang"), F.col("doc_id")), "doc_id").limit(SAMPLE).distinct()
+def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]] | None:
+    """Windows, their texts' begins and ends, labels and the languages' names of the documents to learn from; None without any."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text <> ''").where(remainder(4) != 2)
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("lang"), F.col("doc_id")), "doc_id").limit(SAMPLE)
     rows = rows.join(F.broadcast(shared.scratch(chosen, "sample")), "doc_id")
+    # the bound holds where ids repeat: of an id's rows the smallest is taken
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, langs, cuts = [], [], []
+        out = []
         for i, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.raw(batch.column(2)), strict=True):
-            for k in range(WINDOWS if len(text) >= WINDOW else 0):
-                start = (len(text) - WINDOW) * (2 * k + 1) // (2 * WINDOWS)
-                ids.append(i)
-                langs.append(lang)
-                cuts.append(text[start : start + WINDOW])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(cuts, pa.binary())], ["doc_id", "lang", "cut"])
-
-    found = shared.map_arrow(rows, "doc_id long, lang string, cut binary", spread).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("cut", "ascending")])
+            windows, low, high = cut(text)
+            n = len(windows)
+            for k in sorted({n * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS)}):
+                out.append((i, k, lang, windows[k].tobytes(), low[k], high[k]))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "lang", "cut", "low", "high"])
+
+    found = shared.map_arrow(rows, "doc_id long, k long, lang string, cut binary, low int, high int", spread).toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
     if not found.num_rows:
         return None
     names = sorted(set(found.column("lang").to_pylist()))
     labels = np.array([names.index(x) for x in found.column("lang").to_pylist()])
-    return np.frombuffer(b"".join(found.column("cut").to_pylist()), np.uint8).reshape(-1, WINDOW), labels, names
+    windows = np.frombuffer(b"".join(found.column("cut").to_pylist()), np.uint8).reshape(-1, SPAN)
+    return windows, found.column("low").to_numpy(), found.column("high").to_numpy(), labels, names
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -208,7 +223,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
         best, score, p = ["und"] * n, np.zeros(n), np.zeros((n, len(net.names) if net else 0))
         if any(known):
             cuts = [cut(x.encode()) for x, k in zip(texts, known, strict=True) if k]
-            sums = window_sums(net, np.concatenate([c[0] for c in cuts]), np.concatenate([c[1] for c in cuts]))
+            sums = window_sums(net, *(np.concatenate([c[k] for c in cuts]) for k in range(3)))
             starts = np.r_[0, np.cumsum([len(c[0]) for c in cuts])[:-1]]
             total = np.add.reduceat(sums.astype(np.float64), starts, axis=0)
             at = np.flatnonzero(known)

@@ -2,12 +2,14 @@
 
 Every word has an index vector: NONZERO of DIMENSIONS entries are 1 or -1, drawn from its hash. A word's vector is the sum
 of the index vectors of the words up to WINDOW places beside it, over all documents, scaled to length 1. Words are hashed
-to BUCKETS rows, so the vectors are a table of fixed size whatever the corpus holds. A document is the mean and the
+to BUCKETS rows, so the vectors are a table of fixed size whatever the corpus holds; words of one row share their vector
+(about 20 of them in 10,000 documents, most of them rare), none is left out. A document is the mean and the
 deviation of its words' vectors, with its number of words and the share of distinct ones; a network of two layers scores
 it, and a temperature fitted on labelled documents that the network didn't see makes the scores probabilities.
 
-Context sums are taken over all documents. The network learns from the SAMPLE labelled documents of the smallest hashes of
-their doc_id, a documented bound. Scoring reads every whole text.
+Context sums are taken over all documents: each task sums its own, and the sums of FAN_IN tasks are added until one is
+left, so no step sees more than FAN_IN tables' parts. The network learns from the SAMPLE labelled documents of the smallest hashes of
+their doc_id, one text each, a documented bound. Scoring reads every whole text.
 
 Cases: null and empty texts are scored like any other, from zeros; labels that are null or of no document are left out; of
 repeated labels the smallest counts; without labels the score is 0.5; a null doc_id is never learned from and not held out;
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from folioflow.llm import shared
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 SAMPLE, HIDDEN, STEPS, SEED = 8_000, 16, 400, 3
 ACCEPT = 0.3
-#: Buckets in a row of the shuffled sums, words counted at once, words a worker remembers.
-ROWS, CHUNK, WORDS = 256, 400_000, 200_000
+#: Buckets in a row of the shuffled sums, tasks whose sums are added at once, words counted at once, words a worker remembers.
+ROWS, FAN_IN, CHUNK, WORDS = 256, 64, 400_000, 200_000
 
 #: Runs of letters, of digits, and of other characters.
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -83,8 +86,11 @@ def context_sums(texts: list[bytes], into: np.ndarray, places: np.ndarray, signs
                 flat += np.bincount(right * DIMENSIONS + places[left, k], signs[left, k], size).astype(np.int64)
 
 
+SUMS = "part int, task long, sums binary"
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS + 1, DIMENSIONS): each task sums its documents, sums of ROWS buckets meet in one task; the table goes to the driver."""
+    """(BUCKETS + 1, DIMENSIONS): the table of fixed size goes to the driver."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, (places, signs), seen = np.zeros((BUCKETS + 1, DIMENSIONS), np.int64), index_vectors(), 0
@@ -92,39 +98,43 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             context_sums(shared.raw(batch.column(0)), total, places, signs)
             seen += batch.num_rows
         if seen:
-            parts = [total[k : k + ROWS].tobytes() for k in range(0, BUCKETS, ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
+            parts, task = [total[k : k + ROWS].tobytes() for k in range(0, BUCKETS, ROWS)], TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int64()), pa.array(parts, pa.binary())], [x.split()[0] for x in SUMS.split(", ")])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(ROWS * DIMENSIONS, np.int64)
         for x in table.column("sums").to_pylist():
             total += np.frombuffer(x, np.int64)
-        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = shared.id_and_text(docs).select("text").mapInArrow(sums, "part int, sums binary")
-    found = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)
-    for part, x in parts.groupBy("part").applyInArrow(add, "part int, sums binary").collect():  # BUCKETS / ROWS rows
-        found[part * ROWS : (part + 1) * ROWS] = np.frombuffer(x, np.int64).reshape(ROWS, DIMENSIONS)
-    return found / np.maximum(1e-9, np.linalg.norm(found, axis=1, keepdims=True))
+    found = shared.scratch(shared.id_and_text(docs).select("text").mapInArrow(sums, SUMS), "sums")
+    last = found.agg(F.max("task")).first()[0] or 0
+    while last > 0:
+        last //= FAN_IN
+        found = shared.scratch(found.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("part", "task").applyInArrow(add, SUMS), "sums")
+    out = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)
+    for part, _, x in found.collect():  # BUCKETS / ROWS rows
+        out[part * ROWS : (part + 1) * ROWS] = np.frombuffer(x, np.int64).reshape(ROWS, DIMENSIONS)
+    return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """(texts, 2 * DIMENSIONS + 2): mean and deviation of the words' vectors, log of the number of words, share of distinct ones."""
+    """(texts, 2 * DIMENSIONS + 2): mean and deviation of the words' vectors, log of the number of words, share of distinct
+    buckets. Each text goes by its distinct buckets and how often it has them."""
     bucket, starts = buckets_of(texts)
     n = np.diff(starts)
     out = np.zeros((len(texts), 2 * DIMENSIONS + 2), np.float32)
-    for i in range(len(texts)):
-        if n[i]:
-            own = bucket[starts[i] : starts[i + 1]]
-            if n[i] > 2000:  # long texts go by their distinct buckets
-                distinct, times = np.unique(own, return_counts=True)
-                x, w = vectors[distinct], (times / n[i]).astype(np.float32)
-                mean, square, kinds = w @ x, w @ (x * x), len(distinct)
-            else:
-                x = vectors[own]
-                mean, square, kinds = x.mean(axis=0), np.einsum("ij,ij->j", x, x) / n[i], len(set(own.tolist()))
-            out[i, :DIMENSIONS], out[i, DIMENSIONS:-2] = mean, np.sqrt(np.maximum(0, square - mean * mean))
-            out[i, -2:] = np.log1p(n[i]), kinds / n[i]
+    if not len(bucket):
+        return out
+    key, times = np.unique(np.repeat(np.arange(len(n), dtype=np.int64), n) * BUCKETS + bucket, return_counts=True)
+    text, row = key // BUCKETS, key % BUCKETS
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    some = text[first]
+    x, weight = vectors[row], (times / n[text]).astype(np.float32)[:, None]
+    mean = np.add.reduceat(x * weight, first, axis=0)
+    square = np.add.reduceat(x * x * weight, first, axis=0)
+    out[some, :DIMENSIONS], out[some, DIMENSIONS:-2] = mean, np.sqrt(np.maximum(0, square - mean * mean))
+    out[some, -2:] = np.column_stack([np.log1p(n[some]), np.diff(np.r_[first, len(key)]) / n[some]])
     return out
 
 
@@ -180,6 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Scorer | N
     marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     marks = marks.orderBy(F.xxhash64(F.lit("quality"), F.col("doc_id")), "doc_id").limit(SAMPLE)
     rows = shared.id_and_text(docs).join(F.broadcast(shared.scratch(marks, "labels")), "doc_id").select("doc_id", "text", "quality")
+    # the bound holds where ids repeat: of an id's texts the smallest is taken
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -135,10 +135,10 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns; feature is the number of pairs and the SHA-256 of both arrays."""
+    """The digest columns, both arrays, and feature: the number of pairs and the SHA-256 of both arrays."""
     found = features(encode(shared.documents(spark, sf_dir)))
     text = F.concat_ws(";", F.array_join(F.col("times").cast("array<string>"), ","), F.array_join(F.col("hashes").cast("array<string>"), ","))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(":", F.size("hashes").cast("string"), F.sha2(text, 256)).alias("feature"),
+        F.concat_ws(":", F.size("hashes").cast("string"), F.sha2(text, 256)).alias("feature"), "times", "hashes",
     )
