@@ -241,8 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kinds: int =
 
 def scored(docs: DataFrame, chain: Chain | None, name: str, kinds: int = KINDS) -> DataFrame:
     """docs with a column of a name: an array of the categories' probabilities in the chain's order."""
-    at, names = docs.columns.index("text"), [*docs.columns, name]
-    n = len(chain.names) if chain else kinds + 1
+    # numbered inside, as names with dots are not taken by mapInArrow
+    names = [f"c{k}" for k in range(len(docs.columns) + 1)]
+    at, rows, n = docs.columns.index("text"), docs.toDF(*names[:-1]), len(chain.names) if chain else kinds + 1
     # a bounded model: 2 * WIDTH weights for each category at most
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -254,7 +255,8 @@ def scored(docs: DataFrame, chain: Chain | None, name: str, kinds: int = KINDS)
         lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * n, found.ravel())
         return pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
 
-    return shared.map_arrow(docs, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType(), False), False)]), add)
+    schema = StructType([*rows.schema.fields, StructField(names[-1], ArrayType(DoubleType(), False), False)])
+    return shared.map_arrow(rows, schema, add).toDF(*docs.columns, name)
 
 
 def held_out(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, sample: int = SAMPLE) -> dict[str, int]:

@@ -2,6 +2,11 @@ import random
 
 import pytest
 
+#: Names that operators use for themselves, or used to.
+CLASHING = (
+    "digest", "size", "h", "key", "block", "group", "rep", "set_id", "taken", "score", "scores", "salt", "copies", "copy", "s", "times", "threshold", "id", "text_digest", "kept", "row", "cls", "node", "root",
+    "__id", "__digest", "__scores", "__copies", "__copy", "__size", "__times", "__key", "Digest_", "a.b",
+)
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -11,7 +16,7 @@ def frame(spark, rows, extra=False):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("digest", "size", "h", "key", "block", "group", "rep", "set_id", "taken", "score", "salt"):
+        for name in CLASHING:
             df = df.withColumn(name, F.lit("x"))
     return df
 
