@@ -68,6 +68,7 @@ def cleared(spark: SparkSession):
             if table := _MADE.pop(path):
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete(spark, path)
+        spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files and broadcasts of what is gone
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:

@@ -73,3 +73,29 @@ def targets(sizes, weights=(1, 2, 3), cap=3):
         if not above:
             return full | {s: weight[s] * level for s in free}
         full |= {s: cap * sizes[s] for s in above}
+
+
+def repeats(rows, length=50):
+    """Of texts without copies: (string, its occurrences) for every run of strings of a length that two ids have and that occur alike."""
+    texts, seen = [], set()
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        b = (t or "").encode()
+        if b not in seen:
+            texts.append((d, b))
+            seen.add(b)
+    at = defaultdict(list)
+    for k, (_, b) in enumerate(texts):
+        for p in range(len(b) - length + 1):
+            at[b[p : p + length]].append((k, p))
+    alike = lambda k, p, by: [(j, q - by) for j, q in at.get(texts[k][1][p + by : p + by + length], ())] if 0 <= p + by <= len(texts[k][1]) - length else None
+    found = set()
+    for places in at.values():
+        if len({texts[k][0] for k, _ in places}) < 2:
+            continue
+        (k, p), low, high = places[0], 0, 0
+        while alike(k, p, low - 1) == places:
+            low -= 1
+        while alike(k, p, high + 1) == places:
+            high += 1
+        found.add((texts[k][1][p + low : p + high + length], tuple(sorted((texts[j][0], q + low) for j, q in places))))
+    return found

@@ -164,6 +164,36 @@ def test_hot_anchors_and_pieces_of_long_texts(spark, odd):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=KEY) == sorted(brute.cut(both(rows)), key=KEY)
 
 
+@pytest.mark.parametrize("most", [2048, 3])
+def test_maximal_repeats_with_all_occurrences(spark, odd, most):
+    passage = prose(2, 400)
+    rows = [r for r in odd if r[0] not in (None, 15, 16)] + [(30 + k, f"{prose(600 + k, 9)} {passage[: 900 + 700 * (k % 3)]} {prose(700 + k, 9)}", None, "a") for k in range(9)] + [(50, "ab" * 90, None, "a"), (51, "ba" * 70 + "c", None, "a")]
+    found = defaultdict(list)
+    for r in substring_dedup.repeat_groups(frame(spark, rows), most=most).collect():
+        found[(r.digest, r.length, r.n)].append((r.doc_id, r.start))
+    texts = {}
+    for d, t in sorted(both(rows)):
+        if (t or "").encode() not in texts.values():
+            texts[d] = (t or "").encode()
+    got = set()
+    for (digest, length, n), places in found.items():
+        d, at = places[0]
+        string = texts[d][at : at + length]
+        assert hashlib.sha256(string).hexdigest() == digest and n == len(places)
+        everywhere = [(d, k) for d, t in texts.items() for k in range(len(t) - length + 1) if t.startswith(string, k)]
+        assert sorted(places) == everywhere and len({d for d, _ in places}) > 1
+        got.add((string, tuple(sorted(places))))
+    by_documents = defaultdict(list)
+    for string, places in got:
+        by_documents[tuple(d for d, _ in places)].append((string, [a for _, a in places]))
+    wanted = brute.repeats(both(rows))
+    for string, places in wanted:
+        starts = [a for _, a in places]
+        holding = [s for s, own in by_documents[tuple(d for d, _ in places)] if len({a - b for a, b in zip(starts, own, strict=True)}) == 1 and own[0] <= starts[0] and own[0] + len(s) >= starts[0] + len(string)]
+        assert len(holding) >= 1
+    assert any(len(s) > 800 for s, _ in wanted) and len(got) < 3 * len(wanted)
+
+
 def test_very_long_runs_are_cut(spark, odd):
     rows = [(1, "x" * 200_000, None, None), (2, "y" + "x" * 120_000 + "y", None, None)]
     found = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
