@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder."""
+    """Applies the stages to documents; each result is written to the shared folder, and what a stage wrote on the way is deleted."""
     docs = shared.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = shared.scratch(stage(spark, docs, sf_dir), name)
+        path = shared.scratch_path(spark, name)
+        with shared.cleared(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
