@@ -33,7 +33,7 @@ GROUP, FAN_IN = 1 << 14, 32
 #: Sequences with a smaller gap are left as they are.
 SMALL_GAP = 16
 #: Words whose ids a worker remembers; it starts anew beyond.
-WORDS = 400_000
+WORDS = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

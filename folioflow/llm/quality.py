@@ -35,7 +35,7 @@ BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 SAMPLE, HIDDEN, STEPS, SEED = 8_000, 16, 400, 3
 ACCEPT = 0.3
 #: Buckets in a row of the shuffled sums, tasks whose sums are added at once, words counted at once, words a worker remembers.
-ROWS, FAN_IN, CHUNK, WORDS = 256, 64, 400_000, 200_000
+ROWS, FAN_IN, CHUNK, WORDS = 256, 64, 400_000, 100_000
 
 #: Runs of letters, of digits, and of other characters.
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")

@@ -40,7 +40,7 @@ REJECT = 0.5
 #: APART: by how many standard deviations its documents' share of a class differs from all documents'.
 PASSES, RATE, L1, SEEN, APART = 150, 0.3, 5e-4, 5, 5.0
 #: Words a worker remembers.
-WORDS = 150_000
+WORDS = 50_000
 #: Beginnings of words, in bytes, and how many words that share one make a column of their own.
 PREFIXES, OFTEN = (5, 6, 7), 3
 
