@@ -191,7 +191,7 @@ def test_maximal_repeats_with_all_occurrences(spark, odd, most):
         starts = [a for _, a in places]
         holding = [s for s, own in by_documents[tuple(d for d, _ in places)] if len({a - b for a, b in zip(starts, own, strict=True)}) == 1 and own[0] <= starts[0] and own[0] + len(s) >= starts[0] + len(string)]
         assert len(holding) >= 1
-    assert any(len(s) > 800 for s, _ in wanted) and len(got) < 3 * len(wanted)
+    assert any(len(s) > 600 for s, _ in wanted) and len(got) < 3 * len(wanted)
 
 
 def test_very_long_runs_are_cut(spark, odd):
