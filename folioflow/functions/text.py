@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Fixed values
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOT_SPACE = "[^" + SPACE[1:]
 HANGUL = "[가-힣]"
 CORRUPT = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}\x00-\x08\x0B\x0C\x0E-\x1Fㄱ-ㆎ]"
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
@@ -31,6 +32,12 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def ascii_digits(text: Column) -> Column:
+    """Full-width, Arabic and Indic decimal digits as 0 to 9."""
+    zeros = (0xFF10, 0x0660, 0x06F0, 0x0966, 0x09E6)
+    return F.translate(text, "".join(chr(z + k) for z in zeros for k in range(10)), "0123456789" * len(zeros))
+
+
 def squeeze(text: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(text, SPACE, "")
@@ -137,6 +144,19 @@ def excerpt(text: Column, left: bool, size: int = 240) -> Column:
     return F.right(flat, F.lit(size)) if left else F.substring(flat, 1, size)
 
 
+#: What a paragraph can need an outside judgement for.
+REVIEWS = ("ocr_words", "spacing", "anomalies", "headings", "glosses", "figures")
+
+
+def needs_review(text: Column, kind: Column, on=frozenset(REVIEWS)) -> Column:
+    """Whether a paragraph goes to an outside judgement: any of the features that are on. Those that are off fold to false."""
+    rules = {
+        "ocr_words": is_mixed_script(text), "spacing": has_long_hangul(text), "anomalies": is_corrupt(text),
+        "headings": is_heading_like(text, kind), "glosses": has_bracket(text), "figures": is_figure_residue(text),
+    }
+    return reduce(lambda found, name: found | rules[name] if name in on else found, REVIEWS, F.lit(False))
+
+
 def fix_typos(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Whole words replaced whatever their case, in order."""
     return reduce(lambda t, p: F.regexp_replace(t, rf"(?iU)\b{p[0]}\b", p[1]), pairs, text)

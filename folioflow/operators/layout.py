@@ -30,13 +30,13 @@ class Layout:
 TERMINAL = "[.!?。！？][”’\"')\\]}】》〉]*\\z"
 LEFT_SUFFIX = "(?:의|을|를|은|는|이|가|에|에서|에게|께|으로|로|와|과|도|만|까지|부터|보다|처럼|하며|하고|하여|해서)\\z"
 RIGHT_PREFIX = "\\A(?:때문(?:에|이다)|따라|위해|통해|관하여|대하여|비해|뿐만|등(?:은|을|이|의|과))(?:" + T.SPACE + "|\\z)"
-LIST_ITEM = r"\A(?:\d+[.)]|[•●])"
+LIST_ITEM = r"\A(?:(?U:\d)+[.)]|[•●])"
 KEYS = ["book_id", "page", "id"]
 
 
 def page_number(layout: Layout = Layout()) -> Column:
     """Whether a block is a number of four digits at most, alone or between dashes, in a margin."""
-    number = T.strip(F.col("text")).rlike(r"\A(?:[-–—]\s*)?(?U:\d){1,4}(?:\s*[-–—])?\z")
+    number = T.strip(F.col("text")).rlike(rf"\A(?:[-–—]{T.SPACE}*)?(?U:\d){{1,4}}(?:{T.SPACE}*[-–—])?\z")
     return number & ((F.col("y1") <= F.lit(layout.zone) * F.col("height")) | (F.col("y0") >= F.lit(1 - layout.zone) * F.col("height")))
 
 
@@ -64,8 +64,8 @@ def repeated_text(candidates: DataFrame, layout: Layout = Layout()) -> DataFrame
 
 def repeated_offset(candidates: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Candidates whose first number keeps one distance from the page's on pages nearby, whatever the label says."""
-    rows = candidates.withColumn("number", F.regexp_extract("text", "([0-9]{1,4})", 1)).where("number <> ''")
-    return _recurring(rows.withColumn("offset", F.col("number").cast("int") - F.col("page")), "offset", layout.offset_pages, layout)
+    rows = candidates.withColumn("number", F.regexp_extract("text", r"((?U:\d){1,4})", 1)).where("number <> ''")
+    return _recurring(rows.withColumn("offset", T.ascii_digits(F.col("number")).cast("int") - F.col("page")), "offset", layout.offset_pages, layout)
 
 
 def margins(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -87,7 +87,6 @@ def without(blocks: DataFrame, *removed: DataFrame) -> DataFrame:
     return blocks
 
 
-
 def simple_paragraphs(blocks: DataFrame, removed: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, first (position of the first line), text, ids, stray: lines of a page joined by gaps and indents.
 
@@ -125,6 +124,8 @@ def line_features(lines: DataFrame) -> DataFrame:
     """Lines with their region's measures (baseline, right, size, region_ord) and whether they begin something."""
     c = F.col
     lines = lines.withColumn("region", region(c("id"))).withColumn("t", T.strip(c("text")))
+    if "ids" not in lines.columns:
+        lines = lines.withColumn("ids", F.array("id"))
     whole, order = Window.partitionBy("book_id", "page", "region"), Window.partitionBy("book_id", "page", "region").orderBy("reading_order", "pos")
     lines = lines.withColumns({
         "baseline": F.min("x0").over(whole), "right": F.max("x1").over(whole), "size": F.median(F.greatest(F.lit(1), c("y1") - c("y0"))).over(whole),
@@ -140,7 +141,7 @@ def line_features(lines: DataFrame) -> DataFrame:
 def reconstruct(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """book_id, ord, text, kind, sources, lone of paragraphs that may go on over regions and pages; strays are left out.
 
-    lines: line_features of visual lines; sizes: body_size of all blocks.
+    lines: line_features of blocks or of visual lines, whose sources are all their runs; sizes: body_size of all blocks.
     """
     c = F.col
     order = Window.partitionBy("book_id").orderBy("page", "region_ord", "reading_order", "pos")
@@ -153,12 +154,13 @@ def reconstruct(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("starts", starts & ~F.coalesce(goes_on, F.lit(False)) | c("page0").isNull())
     rows = rows.withColumn("ord", F.sum(c("starts").cast("int")).over(order))
-    line = F.struct("page", "region_ord", "reading_order", "pos", "t", "id", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"))
+    line = F.struct("page", "region_ord", "reading_order", "pos", "t", "ids", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"))
     found = rows.groupBy("book_id", "ord").agg(F.array_sort(F.collect_list(line)).alias("lines")).withColumn("page", c("lines")[0]["page"])
     found = found.join(sizes.withColumnRenamed("size", "body"), ["book_id", "page"])
-    one, lone = c("lines")[0], F.size("lines") == 1
+    one = c("lines")[0]
+    lone = (F.size("lines") == 1) & (F.size(one["ids"]) == 1)
     found = found.where(~(lone & T.is_stray(one["t"], one["w"], one["h"], c("body"))))
-    return found.select("book_id", "ord", F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.when(one["heading"], "heading").otherwise("body").alias("kind"), F.transform("lines", lambda x: F.struct(x["page"].alias("page"), x["id"].alias("block_id"))).alias("sources"), lone.alias("lone"))
+    return found.select("book_id", "ord", F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.when(one["heading"], "heading").otherwise("body").alias("kind"), F.flatten(F.transform("lines", lambda x: F.transform(x["ids"], lambda i: F.struct(x["page"].alias("page"), i.alias("block_id"))))).alias("sources"), lone.alias("lone"))
 
 
 def joins(left: Column, right: Column, tags: tuple[Column, Column] | None = None) -> Column:

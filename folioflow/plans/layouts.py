@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.operators import layout as L
+from folioflow.operators import notes as N
 from folioflow.plans.texts import _STRIP, _TIDY, _WS
 from folioflow.sources import blocks as B
 
@@ -81,6 +82,44 @@ def _recon(b, m):
     return L.reconstruct(L.line_features(L.body_lines(b, m)), L.body_size(b))
 
 
+def document_words(spark, sf_dir):
+    """Every word of documents as a run of a text layer: glyphs of 12 pixels, 4 to 14 between words."""
+    lines = B.document_blocks(spark, sf_dir).where("id not in ('head', 'foot')")
+    rows = lines.select("book_id", "page", "width", "height", F.col("pos").alias("line"), "y0", "type", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    before = F.coalesce(F.sum(12 * F.length("text") + 4 + F.col("k") % 3 * 5).over(L.Window.partitionBy("book_id", "page", "line").orderBy("k").rowsBetween(L.Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumns({"x0": before + 100, "pos": (F.col("line") * 65536 + F.col("k")).cast("int")})
+    return rows.where("text <> ''").select("book_id", "page", "width", "height", "pos", F.format_string("text-%d-%d", "line", "k").alias("id"), "text", "x0", "y0", (F.col("x0") + 12 * F.length("text")).cast("int").alias("x1"), (F.col("y0") + 15).alias("y1"), F.lit(1.0).alias("confidence"), F.col("pos").alias("reading_order"), "type")
+
+
+_none = "book_id string, page int, id string"
+
+
+def _visual(spark, sf_dir):
+    words = document_words(spark, sf_dir)
+    return N.visual_lines(L.body_lines(words, spark.createDataFrame([], _none)))
+
+
+def _text_layer(spark, sf_dir):
+    words = document_words(spark, sf_dir)
+    removed = L.margins(words)
+    return L.reconstruct(L.line_features(N.visual_lines(L.body_lines(words, removed))), L.body_size(words))
+
+
+#: Blocks that are words, and the lines one sees of them: on one height a gap of 80 pixels parts lines, so windows can tell.
+_WORDS_SQL = B.BLOCKS_SQL.replace("blocks AS (", "whole AS (") + """,
+ws AS (SELECT book_id, page, width, height, pos AS line, y0, type, unnest(string_split(text, ' ')) AS text, CAST(unnest(range(len(string_split(text, ' ')))) AS INT) AS k FROM whole WHERE id NOT IN ('head', 'foot')),
+wp AS (SELECT *, CAST(100 + coalesce(sum(12 * length(text) + 4 + k % 3 * 5) OVER (PARTITION BY book_id, page, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS x0 FROM ws),
+blocks AS (SELECT book_id, page, width, height, line * 65536 + k AS pos, 'text-' || line || '-' || k AS id, text, x0, y0, CAST(x0 + 12 * length(text) AS INT) AS x1, y0 + 15 AS y1, 1.0::double AS confidence, line * 65536 + k AS reading_order, type FROM wp WHERE text <> '')"""
+_SEEN = """vs AS (SELECT *, CASE WHEN lag(y0) OVER w = y0 AND x0 - lag(x1) OVER w BETWEEN -15 AND 80 THEN 0 ELSE 1 END AS st FROM kk WINDOW w AS (PARTITION BY book_id, page ORDER BY pos)),
+vi AS (SELECT *, sum(st) OVER (PARTITION BY book_id, page ORDER BY pos) AS ln FROM vs),
+vc AS (SELECT *, lag(t) OVER v AS pt, x0 - lag(x1) OVER v AS apart, (lag(x1) OVER v - first(x0) OVER v)::double / greatest(1, sum(length(replace(t, ' ', ''))) OVER (PARTITION BY book_id, page, ln ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS g1,
+ (x1 - x0)::double / greatest(1, length(replace(t, ' ', ''))) AS g2 FROM vi WINDOW v AS (PARTITION BY book_id, page, ln ORDER BY pos)),
+vl AS (SELECT *, CASE WHEN pt IS NULL OR contains(',.!?:;)]}〉》”’', left(t, 1)) OR contains('([{〈《“"', right(pt, 1)) OR apart <= least(g1, g2) * 0.45::double THEN '' ELSE ' ' END AS led FROM vc),
+seen AS (SELECT book_id, page, CAST(min(ln) OVER (PARTITION BY book_id, page, ln) - 1 AS INT) AS line, * EXCLUDE (book_id, page) FROM vl),
+lines AS (SELECT book_id, page, 'body' AS region, line, min(width) AS width, min(height) AS height, min(pos) AS pos, arg_min(id, pos) AS id, string_agg(led || t, '' ORDER BY pos) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+ 1.0::double AS confidence, min(pos) AS reading_order, arg_min(type, pos) AS type, string_agg(id, ',' ORDER BY pos) AS ids FROM seen GROUP BY book_id, page, line)"""
+
+
 def _flat(df):
     return df.withColumn("sources", F.array_join(F.transform("sources", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["block_id"])), ","))
 
@@ -94,6 +133,12 @@ def listening_paragraphs(spark, sf_dir):
     return L.listening(L.simple_paragraphs(blocks, L.margins(blocks)).where("not stray").select(*_simple_columns))
 
 
+#: The same rules over the lines one sees; a line's sources are all its runs.
+_TEXT_LAYER = (
+    _RECON.replace(B.BLOCKS_SQL, _WORDS_SQL).replace("\nk AS (SELECT *,", "\nkk AS (SELECT *,")
+    .replace(f"AND {_T} <> ''),", f"AND {_T} <> ''), {_SEEN}, k AS (SELECT *, text AS t FROM lines),", 1)
+    .replace("string_agg(page || ':' || id, ','", "string_agg(page || ':' || replace(ids, ',', ',' || page || ':'), ','").replace("count(*) AS n, min(t)", "count(*) + sum(contains(ids, ',')::INT) AS n, min(t)")
+)
 _flags = ["first", "gap", "short", "heading", "indented", "item"]
 QUERIES = {
     "blocks_explode": lambda s, d: B.explode_pages(B.nest_blocks(B.document_blocks(s, d))),
@@ -113,6 +158,8 @@ QUERIES = {
     "context_merge": _over(lambda b, m: _flat(L.merge_by_context(_recon(b, m))).select("book_id", "ord", "text", "kind", "sources")),
     "boundary_triage": _over(lambda b, m: L.neighbours(_recon(b, m)).where("left is not null").select("book_id", "ord", L.boundary_route(F.col("left"), F.col("text")).alias("route"))),
     "listening_paragraphs": listening_paragraphs,
+    "visual_lines": lambda s, d: _visual(s, d).withColumn("ids", F.array_join("ids", ",")),
+    "reconstruct_text_layer": lambda s, d: _flat(_text_layer(s, d)).select("book_id", "ord", "text", "kind", "sources"),
     "missing_pages": lambda s, d: B.missing_pages(B.document_blocks(s, d).groupBy("book_id").agg(F.max("page").alias("n_pages")), B.document_blocks(s, d).where("page % 3 <> 1")),
 }
 
@@ -141,5 +188,7 @@ ORACLE_SQL = {
     "context_merge": f"{_RECON}, {_NEXT}, cg AS (SELECT *, sum(CASE WHEN l IS NOT NULL AND {_JOIN} THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY ord) AS grp FROM nx) SELECT book_id, min(ord) AS ord, string_agg(text, ' ' ORDER BY ord) AS text, arg_min(kind, ord) AS kind, string_agg(sources, ',' ORDER BY ord) AS sources FROM cg GROUP BY book_id, grp",
     "boundary_triage": f"{_RECON}, {_NEXT} SELECT book_id, ord, CASE WHEN {_JOIN} THEN 'join' WHEN {_STRIP % 'l'} <> '' AND {_T} <> '' AND NOT {_TERM} THEN 'ask' ELSE 'split' END AS route FROM nx WHERE l IS NOT NULL",
     "listening_paragraphs": f"{_SIMPLE}, {_PAREN_OUT} SELECT * FROM res WHERE text <> ''",
-    "missing_pages": "SELECT source AS book_id, CAST(page AS INT) AS page FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) WHERE page % 3 = 1",
+    "missing_pages": f"WITH {B.BLOCKS_SQL} SELECT book_id, page FROM pg WHERE page % 3 = 1",
+    "visual_lines": f"WITH {_WORDS_SQL}, kk AS (SELECT *, {_T} AS t FROM blocks WHERE {_T} <> '' AND NOT {_NUMBER}), {_SEEN} SELECT * FROM lines",
+    "reconstruct_text_layer": f"{_TEXT_LAYER} SELECT book_id, ord, text, kind, sources FROM recon",
 }

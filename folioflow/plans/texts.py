@@ -40,22 +40,6 @@ s AS (SELECT *, sum(d) OVER (PARTITION BY part, id ORDER BY i) AS depth FROM w),
 g AS (SELECT part, id, min(depth) AS low, arg_max(depth, i) AS final, coalesce(string_agg(ch, '' ORDER BY i) FILTER (WHERE depth = 0 AND d = 0), '') AS kept FROM s GROUP BY part, id)
 SELECT part, id, CASE WHEN g.id IS NULL THEN '' WHEN low < 0 OR final <> 0 THEN text ELSE {_TIDY % "kept"} END AS value FROM samples LEFT JOIN g USING (part, id)
 """
-_OPTIONS = "ocr_words spacing anomalies headings glosses figures".split()
-
-
-def needs_review(text, kind, on=frozenset(_OPTIONS)):
-    """Whether a paragraph goes to an outside judgement: any of the features that are on. Those that are off fold to false."""
-    rules = {
-        "ocr_words": T.is_mixed_script(text), "spacing": T.has_long_hangul(text), "anomalies": T.is_corrupt(text),
-        "headings": T.is_heading_like(text, kind), "glosses": T.has_bracket(text), "figures": T.is_figure_residue(text),
-    }
-    found = F.lit(False)
-    for name in _OPTIONS:
-        if name in on:
-            found = found | rules[name]
-    return found
-
-
 _SPACED = f"array_to_string(list_transform(range(1, length(x) + 1), lambda i: (CASE WHEN i > 1 AND regexp_matches(x[i - 1], '[가-힣]') AND regexp_matches(x[i], '[가-힣]') AND i % 3 = 0 THEN ' ' ELSE '' END) || x[i]), '')"
 
 
@@ -82,11 +66,26 @@ QUERIES = {
     "stray_flag": _query(lambda t: [T.is_stray(t, 3 + F.length(t), F.lit(5), F.lit(15.0)).alias("tiny"), T.is_stray(t, F.lit(20), F.lit(20), F.lit(20.0)).alias("normal")]),
     "excerpts": _query(lambda t: [T.excerpt(t, True, 24).alias("before"), T.excerpt(t, False, 24).alias("after")]),
     "typo_fixes": _one(lambda t: T.fix_typos(t, [("the", "teh"), ("der", "dre")])),
-    "needs_review": _one(lambda t: needs_review(t, F.lit("body"))),
-    "review_features_off": _one(lambda t: needs_review(t, F.lit("body"), {"glosses", "spacing"})),
+    "needs_review": _one(lambda t: T.needs_review(t, F.lit("body"))),
+    "review_features_off": _one(lambda t: T.needs_review(t, F.lit("body"), {"glosses", "spacing"})),
 }
 
+_WORD = "\\p{L}\\p{M}\\p{N}\\p{Pc}"
+
+
+def _whole_word(value: str, old: str, new: str) -> str:
+    """Twice, as the character after a word is used up by its match and may be what the next one begins with."""
+    once = f"regexp_replace(%s, '(?i)(^|[^{_WORD}]){old}($|[^{_WORD}])', '\\1{new}\\2', 'g')"
+    return once % (once % value)
+
+
+def junk_sql(value: str) -> str:
+    s = _STRIP % value
+    return f"({s} = '' OR NOT regexp_matches({s}, '[\\p{{L}}\\p{{N}}]') OR (length({s}) <= 10 AND regexp_matches({s}, '[A-Za-z]') AND NOT regexp_matches({s}, '[가-힣]') AND NOT regexp_matches({s}, '\\p{{Nd}}') AND NOT regexp_matches(lower({s}), 'tel|fax|isbn')))"
+
+
 ORACLE_SQL = {
+    "typo_fixes": _sql(_whole_word(_whole_word("text", "the", "teh"), "der", "dre")),
     "tidy_whitespace": _sql(_TIDY % "text"),
     "strip_unicode": _sql(_S),
     "collapse_whitespace": _sql(_STRIP % f"regexp_replace(text, '{_WS}+', ' ', 'g')"),
@@ -99,7 +98,7 @@ ORACLE_SQL = {
     "heading_candidate": _sql(_HEADING),
     "gloss_flag": _sql("(contains(text, '(') OR contains(text, ')') OR contains(text, '（') OR contains(text, '）'))"),
     "figure_residue": _sql(_FIGURE),
-    "junk_flag": _sql(f"({_S} = '' OR NOT regexp_matches({_S}, '[\\p{{L}}\\p{{N}}]') OR (length({_S}) <= 10 AND regexp_matches({_S}, '[A-Za-z]') AND NOT regexp_matches({_S}, '[가-힣]') AND NOT regexp_matches({_S}, '\\p{{Nd}}') AND NOT regexp_matches(lower({_S}), 'tel|fax|isbn')))"),
+    "junk_flag": _sql(junk_sql("text")),
     "stray_flag": f"WITH {SAMPLES_SQL}, q AS (SELECT part, id, text, {_S} AS t FROM samples), r AS (SELECT *, NOT regexp_matches(t, '{_NUMBERS}') AND regexp_matches(t, '[^IVXLCDM]') AS odd FROM q) SELECT part, id, length(t) BETWEEN 1 AND 2 AND ((5 < 15.0::double * 0.35::double AND 3 + length(text) < 15.0::double * 0.35::double) OR odd) AS tiny, length(t) BETWEEN 1 AND 2 AND odd AS normal FROM r",
     "excerpts": f"WITH {SAMPLES_SQL}, q AS (SELECT part, id, {_STRIP % f"regexp_replace(text, '{_WS}+', ' ', 'g')"} AS t FROM samples) SELECT part, id, right(t, 24) AS before, left(t, 24) AS after FROM q",
     "needs_review": _sql(f"({_MIXED} OR regexp_matches(text, '[가-힣]{{12}}') OR regexp_matches(text, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}\\x{{00}}-\\x{{08}}\\x{{0B}}\\x{{0C}}\\x{{0E}}-\\x{{1F}}\\x{{3131}}-\\x{{318E}}]') OR {_HEADING} OR regexp_matches(text, '[()（）]') OR {_FIGURE})"),
