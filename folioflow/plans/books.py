@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from folioflow.operators import layout as L
 from folioflow.plans.layouts import _SIMPLE
-from folioflow.plans.texts import _STRIP
+from folioflow.plans.texts import _STRIP, junk_sql
 from folioflow.sources import archive as A
 from folioflow.sources import blocks as B
 from folioflow.sources import recognised as S
@@ -32,7 +37,7 @@ l AS (SELECT conv_id, turn, i // 8 AS line, min(i) AS f, min(10 + i % 8 * 60) AS
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, f) - 1 AS INT) AS reading_order, text, x0, y0, x1, y1, confidence FROM l"""
 
 
-def _lines(spark, sf_dir, limit=None):
+def _lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "text"))
 
@@ -129,15 +134,62 @@ def _round_trip(spark, sf_dir):
     return A.read_blocks(A.write_edited(own, plan))
 
 
+@F.pandas_udf(BinaryType())
+def _damaged(content: pd.Series, kind: pd.Series) -> pd.Series:
+    """Books' files with a damage each: 1 no ZIP file, 2 another mimetype, 3 a byte of the chapter's compressed data, 4 a member
+    less, 5 one that isn't XML, 6 a byte of the mimetype, 7 a chapter with capital tags and HTML's own entities, 8 with an unknown one."""
+
+    def one(data: bytes, k: int) -> bytes:
+        if k == 1:
+            return b"no book"
+        book, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
+        if k in (3, 6):
+            info, raw = book.getinfo(A.MEMBERS[3] if k == 3 else "mimetype"), bytearray(data)
+            raw[info.header_offset + 30 + len(info.filename) + info.compress_size // 2] ^= 0xFF
+            return bytes(raw)
+        with zipfile.ZipFile(out, "w") as z:
+            for info in book.infolist():
+                body = book.read(info)
+                if k == 2 and info.filename == "mimetype":
+                    body = b"text/plain"
+                if k in (4, 5) and info.filename == A.MEMBERS[2]:
+                    if k == 4:
+                        continue
+                    body = b"<html>"
+                if k in (7, 8) and info.filename == A.MEMBERS[3]:
+                    body = body.replace(b"<body>", b"<body><P>&check; planted</P>" if k == 7 else b"<body><p>&nosuch;</p>")
+                z.writestr(info, body)
+        return out.getvalue()
+
+    return pd.Series([one(bytes(d), k) for d, k in zip(content, kind, strict=True)])
+
+
+def damaged_books(spark, sf_dir):
+    """Each book with the damage that its source's number names."""
+    kind = F.regexp_extract("book_id", r"(\d+)/", 1).cast("int") % 9
+    return books(spark, sf_dir).select("book_id", _damaged("content", kind).alias("content"))
+
+
+def _edit_damaged(spark, sf_dir):
+    """Damaged books after an edit of their first block: what can't be read stays as it was, byte for byte."""
+    own = damaged_books(spark, sf_dir)
+    plan = own.select(c("book_id").alias("book_id"), F.lit(A.MEMBERS[3]).alias("document"), F.lit(0).alias("idx"), F.lit("edited").alias("after"))
+    new = A.write_edited(own, plan).withColumnRenamed("content", "new")
+    first = A.read_blocks(new.withColumnRenamed("new", "content")).where("idx = 0").select("book_id", c("text").alias("first"))
+    return own.join(new, "book_id").join(first, "book_id", "left").select("book_id", (c("content") == c("new")).alias("same"), "first")
+
+
 _PARAS = f"{_SIMPLE}, ps AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, first) AS INT) AS ord, text FROM simple WHERE NOT stray)"
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _READ = f"{_PARAS}, rb AS (SELECT book_id, 'OEBPS/chapter.xhtml' AS document, ord AS idx, array_to_string(list_filter(string_split_regex(text, '[\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> ''), ' ') AS text FROM ps UNION ALL SELECT DISTINCT book_id, 'OEBPS/chapter.xhtml', 0, book_id FROM ps)"
 
+_JUNK = junk_sql("p")
+
 QUERIES = {
     "parse_tsv": lambda s, d: S.lines_of_words(words(s, d), ["conv_id"]),
     "polygon_blocks": _polygons,
     "native_spacing": _respaced,
-    "text_layer_blocks": lambda s, d: S.text_layer(_rects(s, d), ["doc_id", "page"]).drop("confidence"),
+    "text_layer_blocks": lambda s, d: S.text_layer(_rects(s, d), ["doc_id", "page"]),
     "text_layer_summary": lambda s, d: S.layer_summary(_rects(s, d), "doc_id", "page"),
     "dark_runs": lambda s, d: S.gutters(_profile(s, d), ["doc_id"]),
     "title_bottom": lambda s, d: S.title_bottoms(_rows_profile(s, d), ["doc_id"]),
@@ -147,7 +199,9 @@ QUERIES = {
     "fingerprints": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", S.fingerprint(F.coalesce("html", F.lit("")).cast("binary")).alias("sha256"), S.book_title(F.lit(" "), c("url")).alias("title")),
     "book_fragments": lambda s, d: A.fragments(paragraphs(s, d)),
     "package_book": lambda s, d: books(s, d).select("book_id", F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes")),
-    "structure_valid": lambda s, d: books(s, d).select("book_id", A.problem("content").alias("problem")),
+    "structure_valid": lambda s, d: damaged_books(s, d).select("book_id", A.problem("content").alias("problem")),
+    "read_damaged_books": lambda s, d: A.read_blocks(damaged_books(s, d)),
+    "edit_damaged_books": _edit_damaged,
     "read_blocks": lambda s, d: A.read_blocks(books(s, d)),
     "edit_round_trip": _round_trip,
     "junk_free_markup": lambda s, d: A.junk_free(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), c("html")).select("page_id", "n", "p"),
@@ -157,7 +211,7 @@ ORACLE_SQL = {
     "parse_tsv": _WORDS,
     "polygon_blocks": _POLY,
     "native_spacing": f"{_LINES} SELECT doc_id, i AS reading_order, {_STRIP % 'text'} AS text FROM ln WHERE trim(text) <> ''",
-    "text_layer_blocks": f"{_RECT} SELECT doc_id, page, pos, text, width, height, x0, y0, x1, y1 FROM x WHERE chars >= 20 AND t <> '' AND x1 > x0 AND y1 > y0",
+    "text_layer_blocks": f"{_RECT} SELECT doc_id, page, pos, text, width, height, x0, y0, x1, y1, 1.0::double AS confidence FROM x WHERE chars >= 20 AND t <> '' AND x1 > x0 AND y1 > y0",
     "text_layer_summary": f"{_RECT} SELECT doc_id, count(*) AS page_count, count(*) FILTER (WHERE chars >= 20) AS pages_with_text_layer FROM (SELECT doc_id, page, max(chars) AS chars FROM s GROUP BY ALL) GROUP BY doc_id",
     "dark_runs": _RUNS,
     "title_bottom": _TITLE,
@@ -166,7 +220,13 @@ ORACLE_SQL = {
     "spine_documents": "SELECT source AS book_id, doc_id AS ord, 'c' || doc_id || '.xhtml' AS path FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 10 <> 7",
     "fingerprints": "SELECT page_id, sha256(coalesce(html, '')) AS sha256, regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') AS title FROM pages",
     "book_fragments": f"{_PARAS} SELECT book_id, ord - 1 AS n, length(text) <= 20 AS heading, {_ESC} AS label, CASE WHEN length(text) <= 20 THEN '<h2 id=\"heading-' || (ord - 1) || '\">' || {_ESC} || '</h2>' ELSE '<p>' || {_ESC} || '</p>' END AS xhtml FROM ps",
-    "structure_valid": "SELECT DISTINCT source AS book_id, CAST(NULL AS VARCHAR) AS problem FROM documents",
+    "structure_valid": f"""WITH {B.BLOCKS_SQL}, bk AS (SELECT DISTINCT book_id, CAST(regexp_extract(book_id, '(\\d+)/', 1) AS INT) % 9 AS kind FROM blocks)
+SELECT book_id, CASE kind WHEN 1 THEN 'not a ZIP file' WHEN 2 THEN 'mimetype' WHEN 3 THEN 'damaged: OEBPS/chapter.xhtml' WHEN 4 THEN 'missing: OEBPS/nav.xhtml' WHEN 5 THEN 'not XML: OEBPS/nav.xhtml' WHEN 6 THEN 'mimetype'
+ WHEN 7 THEN 'not XML: OEBPS/chapter.xhtml' WHEN 8 THEN 'not XML: OEBPS/chapter.xhtml' END AS problem FROM bk""",
+    "read_damaged_books": f"""{_READ}, kd AS (SELECT *, CAST(regexp_extract(book_id, '(\\d+)/', 1) AS INT) % 9 AS kind FROM rb)
+SELECT book_id, document, idx + CASE WHEN kind = 7 THEN 1 ELSE 0 END AS idx, text FROM kd WHERE kind NOT IN (1, 3, 8) UNION ALL SELECT DISTINCT book_id, document, 0, chr(10003) || ' planted' FROM kd WHERE kind = 7""",
+    "edit_damaged_books": f"""{_READ}, kd AS (SELECT DISTINCT book_id, CAST(regexp_extract(book_id, '(\\d+)/', 1) AS INT) % 9 AS kind FROM rb) SELECT book_id, kind IN (1, 3, 8) AS same, CASE WHEN kind NOT IN (1, 3, 8) THEN 'edited' END AS first FROM kd""",
+    "junk_free_markup": f"""WITH m AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages), u AS (SELECT page_id, CAST(unnest(range(len(ps))) AS INT) AS n, unnest(ps) AS p FROM m) SELECT page_id, n, p FROM u WHERE NOT {_JUNK}""",
     "read_blocks": f"{_READ} SELECT * FROM rb",
     "edit_round_trip": f"{_READ} SELECT book_id, document, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS INT) AS idx, CASE WHEN idx > 0 AND idx % 5 = 0 THEN '<new> & ' || text ELSE text END AS text FROM rb WHERE idx = 0 OR idx % 7 <> 0",
 }
