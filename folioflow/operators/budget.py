@@ -1,7 +1,7 @@
 """Tokens, prices and budgets of outside calls, and the planning of runs over many books.
 
-A budget admits calls by a running sum of their largest possible costs. That never exceeds the limit; as what a call leaves
-unused isn't given back, it may admit fewer calls than a run that waits for each.
+A budget reserves a call's largest possible cost, and gives back what it leaves unused when its own cost is known. Calls are
+made in order, so what is spent and reserved before each is a running sum.
 """
 
 from __future__ import annotations
@@ -43,6 +43,27 @@ def rated(usage: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.withColumns({**{p: F.coalesce(p, f"top_{p}", F.lit(0.0)) for p in prices}, "verified": F.coalesce("verified", F.lit(False))}).drop(*[f"top_{p}" for p in prices])
 
 
+def default_models(rates: DataFrame) -> DataFrame:
+    """provider, model, and prices of each provider's cheapest verified model: by output, then input price, then name."""
+    best = F.min(F.struct(F.coalesce(~F.col("verified"), F.lit(True)), "output_price", "input_price", "model", "cached_price"))
+    return rates.groupBy("provider").agg(best.alias("m")).select("provider", "m.model", "m.input_price", "m.cached_price", "m.output_price")
+
+
+def rollup(snapshots: DataFrame) -> DataFrame:
+    """Over the snapshots of many books: totals, whether any reached its limit, and each feature's cost."""
+    each = snapshots.select(F.explode("features").alias("feature", "cost")).groupBy("feature").agg(F.bround(F.sum("cost"), 8).alias("cost"))
+    parts = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "cost")))).alias("features"))  # a handful of features
+    whole = snapshots.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.bround(F.sum("cost"), 8).alias("cost"), F.bool_or("limit_reached").alias("limit_reached"))
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  a row each
+    return one(whole).join(one(parts), "one").drop("one")
+
+
+def batch_estimate(books: DataFrame, price: float, output_price: float) -> DataFrame:
+    """Over the estimates of many books: sums of tokens, and the largest cost of a book."""
+    cost = (F.col("most_input") * price + F.col("most_output") * output_price) / F.lit(1e6)
+    return books.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.max(cost).alias("most_cost"))
+
+
 def split_usage(calls: DataFrame) -> DataFrame:
     """calls (features, input, output, cached) as a row for each distinct feature; the parts sum to the call's exactly."""
     rows = calls.withColumn("names", F.array_distinct("features")).withColumn("n", F.size("names")).select("*", F.posexplode("names").alias("k", "feature"))
@@ -78,12 +99,29 @@ def edit_estimate(books: DataFrame) -> DataFrame:
     return books.withColumns({"input": tokens, "output": blocks * 25, "most_output": some(characters * 3 + blocks * 40), "most_input": F.ceil(tokens * F.lit(1.35))})
 
 
-def admitted(calls: DataFrame, key: str, order: list[str], limit: float | None) -> DataFrame:
-    """calls (worst) with spent and admitted: until the first that could pass the limit; none means no limit."""
-    own = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = calls.withColumn("spent", F.sum("worst").over(own))
+def admitted(calls: DataFrame, key: str, order: list[str], limit: float | None, actual: str | None = None, in_flight: int = 0) -> DataFrame:
+    """calls (worst) with spent and admitted: until the first that could pass the limit; none means no limit.
+
+    spent: the cost of the calls before, and the call's own largest one. Of the calls before, those that are done count with
+    their actual cost, if that is known (a column); the last in_flight of them are still running and count with their largest.
+    """
+    order_ = Window.partitionBy(key).orderBy(*order)
+    upto = order_.rowsBetween(Window.unboundedPreceding, 0)
+    if actual is None:
+        spent = F.sum("worst").over(upto)
+    else:
+        done = F.sum(actual).over(order_.rowsBetween(Window.unboundedPreceding, -in_flight - 1))
+        spent = F.coalesce(done, F.lit(0.0)) + F.sum("worst").over(order_.rowsBetween(-in_flight, 0))
+    rows = calls.withColumn("spent", spent)
     fits = F.lit(True) if limit is None else F.col("spent") <= F.lit(limit) + F.lit(SLACK)
-    return rows.withColumn("admitted", F.min(fits).over(own))
+    return rows.withColumn("admitted", F.min(fits).over(upto))
+
+
+def duration_text(seconds: Column) -> Column:
+    """h:mm:ss, or m:ss below an hour; null stays."""
+    s = F.floor(F.greatest(F.lit(0), seconds)).cast("int")
+    hours, minutes = (s / 3600).cast("int"), (s % 3600 / 60).cast("int")
+    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", hours, minutes, s % 60)).otherwise(F.format_string("%d:%02d", minutes, s % 60))
 
 
 def book_stats(blocks: DataFrame) -> DataFrame:

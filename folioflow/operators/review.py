@@ -6,6 +6,8 @@ A judge is any function of a DataFrame of batches; none is built in. Answers cou
 from __future__ import annotations
 
 import difflib
+import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +29,15 @@ def batches(rows: DataFrame, book: str, order: list[str], size: int) -> DataFram
 
 def cache_key(text: Column, model: str, features: list[str]) -> Column:
     """SHA-256 of a JSON object with sorted keys and features."""
-    names = ", ".join(f'"{f}"' for f in sorted(features))
+    head = json.dumps({"features": sorted(features), "model": model, "schema": 1}, ensure_ascii=False)[:-1] + ', "text": '
+    return F.sha2(F.concat(F.lit(head), json_text(text), F.lit("}")), 256)
+
+
+def json_text(text: Column) -> Column:
+    """The text as Python's json writes it: control characters by small hexadecimal digits."""
     literal = F.regexp_replace(F.to_json(F.array(text)), r"\A\[|\]\z", "")
-    return F.sha2(F.concat(F.lit(f'{{"features": [{names}], "model": "{model}", "schema": 1, "text": '), literal, F.lit("}")), 256)
+    small = reduce(lambda c, x: F.regexp_replace(c, r"(?<!\\)((?:\\\\)*\\u00[01])" + x, "$1" + x.lower()), "ABCDEF", literal)
+    return F.when(text.rlike(r"[\x00-\x1f]"), small).otherwise(literal)
 
 
 def split_cached(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,8 @@ from folioflow.operators import layout as L
 from folioflow.operators import notes as N
 from folioflow.operators import review as R
 from folioflow.plans.layouts import _SIMPLE
-from folioflow.plans.texts import _FIGURE, _STRIP, needs_review
+from folioflow.functions import text as T
+from folioflow.plans.texts import _FIGURE, _STRIP, _TIDY
 from folioflow.sources import blocks as B
 
 c = F.col
@@ -31,15 +32,6 @@ nt AS (SELECT book_id, page, id, CAST(regexp_extract(text, '^([0-9])\\) ', 1) AS
 rest AS (SELECT *, {_STRIP % "text"} AS t FROM noted WHERE NOT hit)"""
 
 
-def document_words(spark, sf_dir):
-    """Every word of documents as a run of a text layer: glyphs of 12 pixels, 4 to 14 between words."""
-    lines = B.document_blocks(spark, sf_dir).where("id not in ('head', 'foot')")
-    rows = lines.select("book_id", "page", "width", "height", c("pos").alias("line"), "y0", "type", F.posexplode(F.split("text", " ")).alias("k", "text"))
-    before = F.coalesce(F.sum(12 * F.length("text") + 4 + c("k") % 3 * 5).over(L.Window.partitionBy("book_id", "page", "line").orderBy("k").rowsBetween(L.Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    rows = rows.withColumns({"x0": before + 100, "pos": (c("line") * 65536 + c("k")).cast("int")})
-    return rows.where("text <> ''").select("book_id", "page", "width", "height", "pos", F.format_string("text-%d-%d", "line", "k").alias("id"), "text", "x0", "y0", (c("x0") + 12 * F.length("text")).cast("int").alias("x1"), (c("y0") + 15).alias("y1"), F.lit(1.0).alias("confidence"), c("pos").alias("reading_order"), "type")
-
-
 def paragraphs(spark, sf_dir):
     blocks = B.document_blocks(spark, sf_dir)
     return L.simple_paragraphs(blocks, L.margins(blocks)).where("not stray").select("book_id", "page", "first", "text")
@@ -47,7 +39,7 @@ def paragraphs(spark, sf_dir):
 
 def selected(spark, sf_dir):
     """Paragraphs that go to judgement, in batches; long ones leave after they are numbered."""
-    rows = R.batches(paragraphs(spark, sf_dir).where(needs_review(c("text"), F.lit("body"), {"headings", "glosses"})), "book_id", ["page", "first"], R.ENHANCE)
+    rows = R.batches(paragraphs(spark, sf_dir).where(T.needs_review(c("text"), F.lit("body"), {"headings", "glosses"})), "book_id", ["page", "first"], R.ENHANCE)
     return rows.where(F.length("text") <= R.LONGEST).withColumn("key", R.cache_key(c("text"), "m1", ["spacing", "glosses"]))
 
 
@@ -84,13 +76,13 @@ def calls(spark, sf_dir):
 
 
 _CALLS = "WITH calls AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS input, length(coalesce(text, '')) % 97 AS output, length(coalesce(text, '')) % 13 AS cached, CASE turn % 3 WHEN 0 THEN ['spacing', 'glosses'] WHEN 1 THEN ['headings'] ELSE ['figures', 'headings', 'ocr_words'] END AS names FROM conversations)"
-_PRICE = "(((input - greatest(0, least(cached, input))) * 0.25::double + greatest(0, least(cached, input)) * 0.025::double + output * 2.0::double) / 1e6::double)"
+_PRICE = "(((input - greatest(0, least(cached, input))) * 0.3::double + greatest(0, least(cached, input)) * 0.03::double + output * 1.7::double) / 1e6::double)"
 _PARTS = f"{_CALLS}, ex AS (SELECT conv_id, turn, input, output, cached, len(names) AS n, unnest(names) AS feature, unnest(range(len(names))) AS k FROM calls), parts AS (SELECT conv_id, turn, feature, input // n + CASE WHEN k < input % n THEN 1 ELSE 0 END AS input_part, output // n + CASE WHEN k < output % n THEN 1 ELSE 0 END AS output_part, cached // n + CASE WHEN k < cached % n THEN 1 ELSE 0 END AS cached_part FROM ex)"
-_COST = "((input_part - least(cached_part, input_part)) * 0.25::double + least(cached_part, input_part) * 0.025::double + output_part * 2.0::double) / 1e6::double"
+_COST = "((input_part - least(cached_part, input_part)) * 0.3::double + least(cached_part, input_part) * 0.03::double + output_part * 1.7::double) / 1e6::double"
 
 
 def _cost(i="input", o="output", k="cached"):
-    return U.token_cost(c(i), c(o), c(k), F.lit(0.25), F.lit(0.025), F.lit(2.0))
+    return U.token_cost(c(i), c(o), c(k), F.lit(0.3), F.lit(0.03), F.lit(1.7))
 
 
 def _parts(spark, sf_dir):
@@ -104,7 +96,7 @@ def rates(spark):
 
 
 _RATES = "rates AS (SELECT * FROM (VALUES ('user', 'a', 0.25::double, 0.025::double, 2.0::double, true), ('user', 'b', 1.0, 0.1, 8.0, true), ('assistant', 'a', 0.5, 0.05, 4.0, false)) v(provider, model, input_price, cached_price, output_price, verified))"
-_LIMIT = 0.0008
+_LIMIT = 0.000800005
 
 
 def _rated(spark, sf_dir):
@@ -117,6 +109,29 @@ def _admission(spark, sf_dir):
     return U.admitted(calls(spark, sf_dir).withColumn("worst", worst), "conv_id", ["turn"], _LIMIT * 3).select("conv_id", "turn", "admitted")
 
 
+def _release(spark, sf_dir):
+    """Two calls run at once; the others' costs are known."""
+    worst = (U.input_ceiling(c("text")) * 0.3 + 300 * 1.7) / 1e6
+    rows = calls(spark, sf_dir).withColumns({"worst": worst, "cost": _cost()})
+    return U.admitted(rows, "conv_id", ["turn"], _LIMIT * 2, "cost", 1).select("conv_id", "turn", "admitted")
+
+
+def _shown(usage):
+    """Costs in units of 1e-8, which both engines write alike."""
+    unit = lambda x: F.round(x * F.lit(1e8)).cast("long")
+    costs = F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit("="), unit(e["value"]).cast("string")))
+    return usage.withColumns({"cost": unit(c("cost")), "features": F.array_join(F.array_sort(costs), ",")})
+
+
+def _without_notes(spark, sf_dir):
+    """Simple paragraphs of pages without their heads, notes and references to notes, and the ids that were removed."""
+    blocks = noted(spark, sf_dir)
+    removed = L.margins(blocks).unionByName(N.note_ids(blocks)).distinct()
+    paragraphs = L.simple_paragraphs(blocks, removed).select("book_id", "page", "first", "text", F.array_join("ids", ",").alias("ids"))
+    gone = L.removed_ids(blocks, removed).select("book_id", "page", F.lit(None).cast("int").alias("first"), F.lit(None).cast("string").alias("text"), "ids")
+    return paragraphs.unionByName(gone)
+
+
 def _books(spark, sf_dir):
     return B.document_blocks(spark, sf_dir).groupBy("book_id").agg(F.max("page").cast("long").alias("pages"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"))
 
@@ -183,7 +198,7 @@ SELECT folder, idx, stem, printf('%03d_%s', idx, stem) || CASE WHEN n > 1 THEN '
 QUERIES = {
     "footnotes": lambda s, d: N.footnotes(noted(s, d)),
     "superscript_refs": lambda s, d: N.superscripts(noted(s, d), noted(s, d).where(c("text").rlike(r"\A[0-9]\) ") & (c("y1") - c("y0") == 11)).select("book_id", "page", "id")),
-    "visual_lines": lambda s, d: N.visual_lines(document_words(s, d)).drop("ids"),
+    "paragraphs_without_notes": _without_notes,
     "review_batches": lambda s, d: selected(s, d).select("book_id", "page", "first", "batch", "slot"),
     "cache_hits": _cached(True),
     "cache_misses": _cached(False),
@@ -191,13 +206,15 @@ QUERIES = {
     "token_cost": lambda s, d: calls(s, d).select("conv_id", "turn", _cost().alias("cost")),
     "token_ceilings": lambda s, d: calls(s, d).groupBy("conv_id").agg(F.count("*").alias("items"), F.sum(F.octet_length("text")).alias("size"), F.sum(F.length("text")).alias("length")).select("conv_id", *[x.alias(n) for n, x in U.output_ceilings(c("items"), c("size"), c("length")).items()]),
     "usage_split": lambda s, d: _parts(s, d).select("conv_id", "turn", "feature", "input_part", "output_part", "cached_part"),
-    "usage_rollup": lambda s, d: _parts(s, d).groupBy("feature").agg(F.count("*").alias("requests"), F.sum("input_part").alias("input"), F.sum("output_part").alias("output"), F.round(F.sum("cost"), 6).alias("cost")),
-    "usage_snapshot": lambda s, d: U.snapshot(_parts(s, d), "conv_id", _LIMIT).select("conv_id", "input", "output", F.round("cost", 7).alias("cost"), F.size("features").alias("features")),
+    "usage_rollup": lambda s, d: _shown(U.rollup(U.snapshot(_parts(s, d), "conv_id", _LIMIT))),
+    "usage_snapshot": lambda s, d: _shown(U.snapshot(_parts(s, d), "conv_id", _LIMIT)),
+    "default_models": lambda s, d: U.default_models(rates(s)),
+    "budget_release": _release,
     "model_rates": _rated,
     "budget_admission": _admission,
     "book_estimate": lambda s, d: U.book_estimate(_books(s, d).withColumn("features", F.array(*map(F.lit, _FEATURES)))).select("book_id", "input", "output", "most_output", "most_input"),
     "edit_estimate": lambda s, d: U.edit_estimate(_books(s, d)).select("book_id", "input", "output", "most_output", "most_input"),
-    "batch_estimate": lambda s, d: U.edit_estimate(_books(s, d)).agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.max("most_input").alias("most_input")),
+    "batch_estimate": lambda s, d: U.batch_estimate(U.edit_estimate(_books(s, d)), 0.3, 1.7),
     "apply_edits": _edits,
     "apply_glosses": _glosses,
     "resolve_kind": _resolve,
@@ -209,6 +226,11 @@ QUERIES = {
     "output_names": _names,
 }
 
+_SNAPSHOT = f"""{_PARTS}, pf AS (SELECT conv_id, feature, sum(input_part) AS input, sum(output_part) AS output, CAST(round(sum({_COST}) * 1e8) AS BIGINT) AS cost FROM parts GROUP BY ALL),
+sn AS (SELECT conv_id, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cost) AS BIGINT) AS cost, sum(cost) >= {_LIMIT}::double * 1e8 AS limit_reached, string_agg(feature || '=' || cost, ',' ORDER BY feature) AS features FROM pf GROUP BY conv_id)"""
+#: A span (2nd of each pair) cut out of a value, if it is there once and a third of it at most.
+_CUT = "CASE WHEN length(@v) >= 3 * length(@s) AND length(@v) - length(replace(@v, @s, '')) = length(@s) THEN " + _TIDY % "replace(@v, @s, '')" + " ELSE @v END"
+_cut = lambda value, span: _CUT.replace("@v", value).replace("@s", span)
 _CHUNKS = f"{_BOOKS}, cs AS (SELECT *, greatest(1, least(3, pages // 4)) AS n FROM books), cz AS (SELECT *, CAST(ceil(pages / n) AS BIGINT) AS size FROM cs), ck AS (SELECT book_id, pages, size, unnest(range(1, pages + 1, size)) AS first FROM cz), chunks AS (SELECT book_id, first, least(pages, first + size - 1) AS last FROM ck)"
 ORACLE_SQL = {
     "superscript_refs": f"{_NOTED} SELECT DISTINCT s.book_id, s.page, s.id FROM rest s JOIN nt ON s.book_id = nt.book_id AND s.page = nt.page AND CAST(nt.n AS VARCHAR) = s.t JOIN rest b ON b.book_id = s.book_id AND b.page = s.page AND b.id <> s.id WHERE regexp_matches(s.t, '^[0-9]{{1,3}}$') AND length(b.t) >= 8 AND s.y1 > s.y0 AND s.y1 - s.y0 <= (b.y1 - b.y0) * 0.85::double AND s.x0 BETWEEN b.x1 - (b.y1 - b.y0) * 0.6::double AND b.x1 + (b.y1 - b.y0) * 0.7::double AND s.y0 BETWEEN b.y0 - (b.y1 - b.y0) * 0.4::double AND b.y0 + (b.y1 - b.y0) * 0.25::double AND s.y1 <= b.y1",
@@ -219,13 +241,16 @@ ORACLE_SQL = {
     "token_cost": f"{_CALLS} SELECT conv_id, turn, {_PRICE} AS cost FROM calls",
     "token_ceilings": f"{_CALLS}, g AS (SELECT conv_id, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS b, CAST(sum(length(text)) AS BIGINT) AS l FROM calls GROUP BY conv_id) SELECT conv_id, greatest(300, least(32000, 220 * n)) AS enhance, greatest(300, least(32000, 220 * n + b)) AS enhance_spacing, greatest(160, least(1200, 48 * n + 80)) AS boundary, greatest(600, least(32000, l + 200 * n)) AS edit FROM g",
     "usage_split": f"{_PARTS} SELECT * FROM parts",
-    "usage_rollup": f"{_PARTS} SELECT feature, count(*) AS requests, CAST(sum(input_part) AS BIGINT) AS input, CAST(sum(output_part) AS BIGINT) AS output, round(sum({_COST}), 6) AS cost FROM parts GROUP BY feature",
-    "usage_snapshot": f"{_PARTS} SELECT conv_id, CAST(sum(input_part) AS BIGINT) AS input, CAST(sum(output_part) AS BIGINT) AS output, round(round(sum({_COST}), 8), 7) AS cost, CAST(count(DISTINCT feature) AS INT) AS features FROM parts GROUP BY conv_id",
+    "usage_rollup": f"{_SNAPSHOT}, fe AS (SELECT feature, sum(cost) AS cost FROM pf GROUP BY feature) SELECT CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cost) AS BIGINT) AS cost, bool_or(limit_reached) AS limit_reached, (SELECT string_agg(feature || '=' || cost, ',' ORDER BY feature) FROM fe) AS features FROM sn",
+    "usage_snapshot": f"{_SNAPSHOT} SELECT conv_id, input, output, cost, limit_reached, features FROM sn",
+    "default_models": f"WITH {_RATES} SELECT provider, model, input_price, cached_price, output_price FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY NOT verified, output_price, input_price, model) AS k FROM rates) WHERE k = 1",
+    "budget_release": f"{_CALLS}, w AS (SELECT conv_id, turn, ((strlen(text) + 768) * 0.3::double + 300 * 1.7::double) / 1e6::double AS worst, {_PRICE} AS cost FROM calls), r AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) + sum(worst) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS spent FROM w) SELECT conv_id, turn, min((spent <= {_LIMIT * 2}::double)::INT) OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS admitted FROM r",
+    "apply_glosses": f"{_SIMPLE}, g0 AS (SELECT book_id, page, first, text, left(text, 4) AS s1, right(text, 3) AS s3 FROM simple WHERE NOT stray), g1 AS (SELECT *, {_cut('text', 's1')} AS v1 FROM g0) SELECT book_id, page, first, {_cut('v1', 's3')} AS text FROM g1",
     "model_rates": f"{_CALLS}, {_RATES}, u AS (SELECT conv_id, turn, role AS provider, ['a', 'b', 'z'][turn % 3 + 1] AS model FROM calls), t AS (SELECT provider, max(input_price) AS i, max(cached_price) AS k, max(output_price) AS o FROM rates GROUP BY provider) SELECT conv_id, turn, provider, model, coalesce(input_price, i, 0) AS input_price, coalesce(cached_price, k, 0) AS cached_price, coalesce(output_price, o, 0) AS output_price, coalesce(verified, false) AS verified FROM u LEFT JOIN rates USING (provider, model) LEFT JOIN t USING (provider)",
     "budget_admission": f"{_CALLS}, w AS (SELECT conv_id, turn, sum(((strlen(text) + 768) * 0.25::double + 600.0::double) / 1e6::double) OVER (PARTITION BY conv_id ORDER BY turn) AS spent FROM calls) SELECT conv_id, turn, spent <= {_LIMIT * 3}::double + 1e-12::double AS admitted FROM w",
     "book_estimate": f"{_BOOKS} SELECT book_id, pages * 3200 AS input, pages * 2040 AS output, pages * 4210 AS most_output, CAST(ceil(pages * 3200 * 1.35::double) AS BIGINT) AS most_input FROM books",
     "edit_estimate": f"{_BOOKS} SELECT book_id, characters * 3 + blocks * 40 + 800 * greatest(1, blocks // 16) AS input, blocks * 25 AS output, characters * 3 + blocks * 40 AS most_output, CAST(ceil((characters * 3 + blocks * 40 + 800 * greatest(1, blocks // 16)) * 1.35::double) AS BIGINT) AS most_input FROM books",
-    "batch_estimate": f"{_BOOKS} SELECT CAST(sum(characters * 3 + blocks * 40 + 800 * greatest(1, blocks // 16)) AS BIGINT) AS input, CAST(sum(blocks * 25) AS BIGINT) AS output, max(CAST(ceil((characters * 3 + blocks * 40 + 800 * greatest(1, blocks // 16)) * 1.35::double) AS BIGINT)) AS most_input FROM books",
+    "batch_estimate": f"{_BOOKS}, es AS (SELECT characters * 3 + blocks * 40 + 800 * greatest(1, blocks // 16) AS input, blocks * 25 AS output, characters * 3 + blocks * 40 AS most FROM books) SELECT CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, max((CAST(ceil(input * 1.35::double) AS BIGINT) * 0.3::double + most * 1.7::double) / 1e6::double) AS most_cost FROM es",
     "resolve_kind": f"{_SIMPLE}, rs AS (SELECT book_id, page, first, text, first % 3 AS r, CASE WHEN page % 4 = 0 THEN first % 3 ELSE 0 END AS lv FROM simple WHERE NOT stray) SELECT book_id, page, first, CASE WHEN page % 2 = 0 AND {_FIGURE} THEN '' ELSE text END AS text, CASE WHEN lv > 0 OR r = 0 THEN 'heading' ELSE 'body' END AS kind, lv AS heading_level FROM rs",
     "plan_changes": f"WITH {_PLAN} SELECT * FROM ch",
     "apply_plan": f"WITH {_PLAN}, al AS (SELECT document, idx, CASE WHEN idx % 4 = 1 THEN 'last wins' ELSE after END AS after FROM ch) SELECT document, idx, coalesce(al.after, text) AS text FROM pl LEFT JOIN al USING (document, idx) WHERE NOT (al.idx IS NOT NULL AND al.after IS NULL)",

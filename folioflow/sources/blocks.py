@@ -30,11 +30,20 @@ def region(id: Column) -> Column:
     return F.when(id.startswith("region-"), F.substring_index(id, ":", 1)).otherwise("body")
 
 
+#: Pages of a book of documents at most.
+PAGES = 500
+
+
+def document_book() -> Column:
+    return F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / PAGES).cast("string"))
+
+
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as books (source), pages (by doc_id) and blocks (lines), with a running head and a foot on each page."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = docs.select(F.col("source").alias("book_id"), page.alias("page"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    """documents as books (source, and each PAGES ids), pages (by doc_id) and blocks (lines), with a running head and a foot on
+    each page. No book has more than PAGES pages, however large its source is."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("book_id", document_book())
+    page = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    docs = docs.select("book_id", page.alias("page"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     docs = docs.withColumn("n", F.size("lines")).withColumn("height", F.greatest(F.lit(1000), 200 + 25 * F.col("n")))
     length = lambda x: F.length(x).cast("int")
 
@@ -54,7 +63,8 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS_SQL = """
-pg AS (SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+dk AS (SELECT *, source || '/' || (doc_id // 500) AS book_id FROM documents),
+pg AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS INT) AS page, string_split(coalesce(text, ''), chr(10)) AS ls FROM dk),
 ln AS (SELECT book_id, page, CAST(len(ls) AS INT) AS n, unnest(ls) AS text, CAST(unnest(range(len(ls))) AS INT) AS i FROM pg),
 blocks AS (
 SELECT book_id, page, 1000 AS width, greatest(1000, 200 + 25 * n) AS height, i + 1 AS pos,

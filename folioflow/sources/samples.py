@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASES = [
-    "지라(계2:5)", "말했다(A) 그리고(B) 끝.", "중첩(바깥(안쪽)바깥) 문장", "전각（테스트）문장", "(전체가 괄호)", "문장이 끝난다 (참조).", "(((", "a)b(", "열림( 안 닫힘",
-    "안g녕하세요 반갑습니다.", "ㅁㅁㅁㅁ …", "깨진 � 글자", "가나다라마바사아자차카타파하거너더", "제3장 새로운 시작", "T ←", "Q ∠", "F ←", "L", "진재혁 목사", "그렇다.",
-    "성서본문을읽는다", "  여백　있는 글 ,  끝 。", "a  b\t\tc !", "", "   ", "<b>&'\"</b>", "bad\x01char\x0b", "A4용지", "3장", "IV", ";", "8", "②", "½", "tel", "abc", "...", "12", "ㄱ", "", "정상 문장입니다.", "", "\U000f0001", "a b  .", " c 　\x85\xa0d ", "x ", "등은 그렇다", "책을",
+    "나무(표3:1)", "갔다(가) 또(나) 왔다.", "겹친(하나(둘)셋) 글", "넓은（괄호）글", "(모두 괄호)", "글이 끝났다 (보기).", "(((", "a)b(", "열림( 안 닫힘",
+    "하x늘이 맑습니다.", "ㅁㅁㅁㅁ …", "상한 � 글", "바람부는언덕에올라먼바다를보았다네", "제7장 여름 바다", "R ←", "P ∠", "G →", "L", "푸른 언덕", "맞는다.",
+    "바다노래를듣는다", "  여백　있는 글 ,  끝 。", "a  b\t\tc !", "", "   ", "<b>&'\"</b>", "bad\x01char\x0b", "A4용지", "3장", "IV", ";", "8", "②", "½", "tel", "abc", "...", "12", "ㄱ", "", "정상 문장입니다.", "", "\U000f0001", "a b  .", " c 　\x85\xa0d ", "x ", "등은 크다", "책을",
 ]
 
 

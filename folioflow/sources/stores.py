@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLAN = "document string, idx int, before string, after string"
@@ -14,8 +14,14 @@ CACHE = "key string, value string"
 
 
 def book_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """path and content of a folder's own files of a kind, by name without case; folders inside aren't opened."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder).orderBy(F.lower(F.element_at(F.split("path", "/"), -1)), "path")
+    """ord, path and content of a folder's own files of a kind; ord is the order of names without case. Folders inside aren't opened.
+
+    Only names are sorted: contents are read after, where they are.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
+    order = Window.orderBy(F.lower(F.element_at(F.split("path", "/"), -1)), "path")
+    names = files.select("path").withColumn("ord", F.row_number().over(order) - 1)
+    return files.select("path", "content").join(names, "path").select("ord", "path", "content")
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +45,8 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def add_to_cache(new: DataFrame, path: str) -> None:
-    """Appends one value for each key that the cache doesn't have."""
-    found = new.select("key", "value").where("value is not null").dropDuplicates(["key"])
+    """Appends one value for each key that the cache doesn't have; of several the smallest."""
+    found = new.where("value is not null").groupBy("key").agg(F.min("value").alias("value"))
     found.join(read_cache(new.sparkSession, path), "key", "left_anti").write.mode("append").json(path)
 
 
@@ -49,6 +55,34 @@ def settings_key(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def cache_identity(**parts: str | int | bytes) -> str:
+    """One name for what a recogniser's results depend on: contents (as bytes) by their hash, settings as they are."""
+    plain = {k: hashlib.sha256(v).hexdigest() if isinstance(v, bytes) else v for k, v in parts.items()}
+    return json.dumps(plain, sort_keys=True, ensure_ascii=False)
+
+
+MANIFEST = "version int, source string, page_count int, settings string, generation string, status string, output string"
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The last state of a project; None of a new one."""
+    try:
+        row = spark.read.schema("at long, " + MANIFEST).json(path).where("at is not null").orderBy(F.desc("at")).first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return row.asDict() if row else None
+
+
+def write_manifest(spark: SparkSession, path: str, **state) -> None:
+    """Appends a project's state: what isn't told stays as it was."""
+    last = read_manifest(spark, path) or {"at": -1, "version": 1, "generation": "initial"}
+    row = last | state | {"at": last["at"] + 1}
+    schema = "at long, " + MANIFEST
+    spark.createDataFrame([tuple(row.get(c.split()[0]) for c in schema.split(", "))], schema).coalesce(1).write.mode("append").json(path)
+
+
 def checked_settings(kind: type, found: dict):
     """A dataclass from a loaded JSON object: values of another type than the default's, and unknown names, are left out."""
     default = kind()
