@@ -30,20 +30,20 @@ def column(spark, f, texts):
 
 
 @pytest.mark.parametrize(("text", "wanted"), [
-    ("지라(계2:5)", "지라"), ("말했다(A) 그리고(B) 끝.", "말했다 그리고 끝."), ("중첩(바깥(안쪽)바깥) 문장", "중첩 문장"), ("전각（테스트）문장", "전각문장"), ("(전체가 괄호)", ""), ("열림( 안", "열림( 안"), ("문장이 끝난다 (참조).", "문장이 끝난다."),
+    ("나무(표3:1)", "나무"), ("갔다(가) 또(나) 왔다.", "갔다 또 왔다."), ("겹친(하나(둘)셋) 글", "겹친 글"), ("넓은（괄호）글", "넓은글"), ("(모두 괄호)", ""), ("열림( 안", "열림( 안"), ("글이 끝났다 (보기).", "글이 끝났다."),
 ])
 def test_remove_parenthetical(spark, text, wanted):
     assert column(spark, T.remove_parenthetical, [text]) == [wanted]
 
 
 def test_spacing_takes_only_spaces_between_hangul(spark):
-    pair = spark.createDataFrame([("성서본문을읽는다", "성서 본문을 읽는다"), ("성서본문", "성서 본믄"), ("성서본문 John Smith (롬 4:24)", "성서 본문 JohnSmith(롬4:24)")], "t string, p string")
-    assert [r[0] for r in pair.select(T.correct_spacing(F.col("t"), F.col("p"))).collect()] == ["성서 본문을 읽는다", "성서본문", "성서 본문 John Smith (롬 4:24)"]
+    pair = spark.createDataFrame([("바다노래를듣는다", "바다 노래를 듣는다"), ("바다노래", "바다 노러"), ("바다노래 Ann Lee (쪽 7:2)", "바다 노래 AnnLee(쪽7:2)")], "t string, p string")
+    assert [r[0] for r in pair.select(T.correct_spacing(F.col("t"), F.col("p"))).collect()] == ["바다 노래를 듣는다", "바다노래", "바다 노래 Ann Lee (쪽 7:2)"]
 
 
 def test_corruption_and_figures(spark):
     assert column(spark, T.is_corrupt, ["a�", "ㄱ", "", "\U000f0001", "정상 Text"]) == [True, True, True, True, False]
-    assert column(spark, T.is_figure_residue, ["T ←", "Q ∠", "L", "진재혁 목사", "그렇다."]) == [True, True, True, False, False]
+    assert column(spark, T.is_figure_residue, ["R ←", "P ∠", "K", "푸른 언덕", "맞는다."]) == [True, True, True, False, False]
 
 
 def heads(spark, texts, y=(30, 45), pages=None, height=1000):
@@ -52,13 +52,13 @@ def heads(spark, texts, y=(30, 45), pages=None, height=1000):
 
 def test_margins(spark):
     ids = lambda b: sorted((r.page, r.id) for r in L.margins(b).collect())
-    assert ids(heads(spark, ["반복 표제"] * 4)) == [(k, "m") for k in range(1, 5)]
-    assert ids(heads(spark, ["반복 표제"] * 2)) == []
-    assert ids(heads(spark, ["반복 표제"] * 3, pages=[1, 20, 40])) == []
-    assert len(ids(heads(spark, [f"저자 서문{n}" for n in range(9, 20)], pages=list(range(9, 20))))) == 11
+    assert ids(heads(spark, ["같은 머리"] * 4)) == [(k, "m") for k in range(1, 5)]
+    assert ids(heads(spark, ["같은 머리"] * 2)) == []
+    assert ids(heads(spark, ["같은 머리"] * 3, pages=[1, 20, 40])) == []
+    assert len(ids(heads(spark, [f"여는 말{n}" for n in range(9, 20)], pages=list(range(9, 20))))) == 11
     changing = heads(spark, [f"{chr(0xAC00 + n * 588)}제목{n - 1}" for n in range(1, 20)], (940, 955))
     assert len(ids(changing)) == 19
-    assert ids(heads(spark, ["인용(계22:13)"] * 2, pages=[5, 6])) == []
+    assert ids(heads(spark, ["보기(표7:1)"] * 2, pages=[5, 6])) == []
 
 
 def lines(spark, rows):
@@ -82,14 +82,43 @@ def test_simple_paragraphs(spark):
 
 
 def test_visual_lines_grow_with_their_runs(spark):
-    runs = [("text-0", "이", (100, 200, 120, 220)), ("text-1", "책 은", (145, 200, 205, 220)), ("text-2", "쉽게", (230, 200, 280, 220)), ("text-3", ".", (281, 214, 285, 220)), ("text-4", "다음 줄입니다.", (100, 225, 285, 245))]
+    runs = [("text-0", "그", (100, 200, 120, 220)), ("text-1", "집 은", (145, 200, 205, 220)), ("text-2", "크다", (230, 200, 280, 220)), ("text-3", ".", (281, 214, 285, 220)), ("text-4", "아래 줄이다.", (100, 225, 285, 245))]
     found = N.visual_lines(page(spark, [(1, i, t, b) for i, t, b in runs])).orderBy("line").collect()
-    assert [r.text for r in found] == ["이 책 은 쉽게.", "다음 줄입니다."]
+    assert [r.text for r in found] == ["그 집 은 크다.", "아래 줄이다."]
     assert found[0].ids == ["text-0", "text-1", "text-2", "text-3"]
     apart = N.visual_lines(page(spark, [(1, "text-0", "왼쪽", (80, 200, 250, 220)), (1, "text-1", "오른쪽", (650, 200, 850, 220))]))
     assert apart.count() == 2
 
 
+def test_a_text_layer_is_reconstructed_with_all_its_runs(spark):
+    runs = [("text-0", "그", (100, 200, 120, 220)), ("text-1", "집은", (145, 200, 205, 220)), ("text-2", "크다.", (230, 200, 280, 220)), ("text-3", "아래 줄이다.", (100, 225, 285, 245))]
+    blocks = page(spark, [(1, i, t, b) for i, t, b in runs])
+    lines = L.line_features(N.visual_lines(L.body_lines(blocks, page(spark, []).select("book_id", "page", "id"))))
+    found = L.reconstruct(lines, L.body_size(blocks)).collect()
+    assert [(r.text, [s.block_id for s in r.sources], r.lone) for r in found] == [("그 집은 크다. 아래 줄이다.", [f"text-{k}" for k in range(4)], False)]
+    apart = page(spark, [(1, "text-0", "왼쪽 글", (80, 200, 250, 220)), (1, "text-1", "오른쪽 글", (650, 200, 850, 220))])
+    assert L.reconstruct(L.line_features(N.visual_lines(apart)), L.body_size(apart)).count() == 2
+
+
+def test_lines_go_on_over_arrow_batches(spark):
+    rows = [(p, f"text-{k}", f"w{k}", (100 + 40 * k, 200, 130 + 40 * k, 220)) for p in range(1, 8) for k in range(9)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = N.visual_lines(page(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(r.page for r in found) == list(range(1, 8)) and {r.text for r in found} == {" ".join(f"w{k}" for k in range(9))}
+
+
+def test_full_width_digits(spark):
+    assert column(spark, T.ascii_digits, ["１２a", "٣"]) == ["12a", "3"]
+    feet = heads(spark, [f"{chr(0xAC00 + n * 588)}장{''.join(chr(0xFF10 + int(d)) for d in str(n))}" for n in range(1, 8)], (940, 955))
+    assert L.margins(feet).count() == 7
+    numbers = page(spark, [(1, "a", "１２", (0, 10, 20, 20)), (1, "b", "-　７　-", (0, 960, 20, 970))])
+    assert sorted(r.id for r in numbers.where(L.page_number()).collect()) == ["a", "b"]
+
+
 def recon(spark, rows):
     blocks = page(spark, rows)
     none = page(spark, []).select("book_id", "page", "id")
@@ -107,7 +136,7 @@ def test_reconstruction_goes_on_over_pages(spark):
 
 
 def test_context_joins_dependent_paragraphs(spark):
-    pairs = spark.createDataFrame([("고대 근동의", "문화를 설명한다."), ("끝났다.", "새 문단"), ("열림 (", "닫힘"), ("", "x")], "l string, r string")
+    pairs = spark.createDataFrame([("오래된 마을의", "골목을 걷는다."), ("끝났다.", "새 문단"), ("열림 (", "닫힘"), ("", "x")], "l string, r string")
     assert [r[0] for r in pairs.select(L.joins(F.col("l"), F.col("r"))).collect()] == [True, False, True, False]
 
 
@@ -121,13 +150,43 @@ def test_footnotes_and_references(spark):
     assert N.footnotes(page(spark, body)).count() == 0
 
 
+def note_page(body=8, note_y=780, notes=7, h=15, texts=None):
+    rows = [(1, f"l{k}", "본문의 한 줄입니다", (100, 200 + 30 * k, 800, 225 + 30 * k)) for k in range(body)]
+    return rows + [(1, f"n{k}", (texts or {}).get(k, "주석이 이어진다"), (100, note_y + 20 * k, 800, note_y + 20 * k + h)) for k in range(notes)]
+
+
+def test_runs_of_small_type_are_notes(spark):
+    ids = lambda rows: sorted(r.id for r in N.footnotes(page(spark, rows)).collect())
+    assert ids(note_page()) == [f"n{k}" for k in range(7)]  # set off by a gap, to the page's foot
+    assert ids(note_page(notes=3)) == []  # ends above the foot
+    assert ids(note_page(notes=3, texts={0: "1. 첫 주석"})) == ["n0", "n1", "n2"]
+    assert ids(note_page(notes=1, note_y=850, texts={0: "* 별표 주석"})) == ["n0"]
+    assert ids(note_page(notes=2, h=25, texts={0: "3) 같은 크기"})) == []
+    assert ids(note_page(body=0)) == []
+    assert ids(note_page(texts={0: "１２）x", 1: "１２) 넓은 숫자"}, notes=3)) == ["n1", "n2"]
+    headed = note_page(notes=3, texts={0: "1. 첫 주석"})
+    headed[-2] = (*headed[-2], "heading")
+    assert ids(headed) == ["n0"]  # a heading ends the run
+
+
+def test_paragraphs_without_notes_and_references(spark):
+    rows = note_page(notes=2, texts={0: "18) 주석의 내용", 1: "이어진다"})
+    rows.insert(8, (1, "ref", "18", (796, 409, 810, 422)))
+    blocks = page(spark, rows)
+    removed = N.note_ids(blocks)
+    assert sorted(r.id for r in removed.collect()) == ["n0", "n1", "ref"]
+    found = L.simple_paragraphs(blocks, removed).collect()
+    assert len(found) == 1 and found[0].ids == [f"l{k}" for k in range(8)]
+    assert L.removed_ids(blocks, removed).first().ids == "ref,n0,n1"
+
+
 def test_edits_and_glosses(spark):
     e = "array<struct<before:string,after:string,confidence:double>>"
     long = "이것은 아주 긴 문장으로서 글자 하나를 고쳐도 비율이 크게 달라지지 않습니다 정말로"
     rows = spark.createDataFrame([(long, [("문장으로서", "문장으로써", 0.95)]), (long, [("문장으로서", "문장으로써", 0.5)]), ("짧은 글", [("짧은", "긴", 0.99)]), (long, None)], f"t string, e {e}")
     assert [r[0] for r in rows.select(R.apply_edits("t", "e")).collect()] == [long.replace("으로서", "으로써"), long, "짧은 글", long]
-    g = spark.createDataFrame([("그것은 정의(체다카)라고 불리는 것이다", ["(체다카)"]), ("짧다(아주길다)", ["(아주길다)"]), ("가가 나나", ["가"])], "t string, s array<string>")
-    assert [r[0] for r in g.select(R.apply_glosses(F.col("t"), F.col("s"))).collect()] == ["그것은 정의라고 불리는 것이다", "짧다(아주길다)", "가가 나나"]
+    g = spark.createDataFrame([("이 나무는 소나무(솔)라고 불리는 것이다", ["(솔)"]), ("짧다(아주길다)", ["(아주길다)"]), ("가가 나나", ["가"])], "t string, s array<string>")
+    assert [r[0] for r in g.select(R.apply_glosses(F.col("t"), F.col("s"))).collect()] == ["이 나무는 소나무라고 불리는 것이다", "짧다(아주길다)", "가가 나나"]
 
 
 def test_usage_parts_sum_exactly(spark):
@@ -143,6 +202,18 @@ def test_budget_is_sticky(spark):
     assert all(r.admitted for r in U.admitted(calls, "k", ["n"], None).collect())
 
 
+def test_budget_gives_back_what_is_left(spark):
+    calls = spark.createDataFrame([("b", n, 0.5, 0.1) for n in range(1, 7)], "k string, n int, worst double, cost double")
+    ask = lambda flight: [r.admitted for r in U.admitted(calls, "k", ["n"], 0.8, "cost", flight).orderBy("n").collect()]
+    assert ask(0) == [True] * 4 + [False] * 2
+    assert ask(1) == [True] + [False] * 5
+
+
+def test_durations(spark):
+    rows = spark.createDataFrame([(0.4,), (61.0,), (3725.9,), (-3.0,)], "s double")
+    assert [r[0] for r in rows.select(U.duration_text(F.col("s"))).collect()] == ["0:00", "1:01", "1:02:05", "0:00"]
+
+
 def test_names():
     assert U.checked_name(2, "books", "test") == "002_books_test.epub"
     for stem in ("", "../x", "CON", "a|b"):
@@ -151,14 +222,14 @@ def test_names():
 
 
 def test_books_round_trip(spark):
-    rows = spark.createDataFrame([("책", 1, "제1장", "heading", 0), ("책", 2, "첫 문단 <&>입니다.", "body", 0), ("책", 3, "T ←", "body", 0), ("책", 4, "둘째 문단입니다.", "body", 0)], "book_id string, ord int, text string, kind string, heading_level int")
+    rows = spark.createDataFrame([("책", 1, "첫 장", "heading", 0), ("책", 2, "한 문단 <&>이다.", "body", 0), ("책", 3, "R ←", "body", 0), ("책", 4, "또 한 문단이다.", "body", 0)], "book_id string, ord int, text string, kind string, heading_level int")
     books = A.package(A.fragments(rows)).cache()
     assert books.select(A.problem("content")).first()[0] is None
     read = A.read_blocks(books).orderBy("idx").collect()
-    assert [r.text for r in read] == ["책", "제1장", "첫 문단 <&>입니다.", "T ←", "둘째 문단입니다."]
+    assert [r.text for r in read] == ["책", "첫 장", "한 문단 <&>이다.", "R ←", "또 한 문단이다."]
     plan = spark.createDataFrame([("책", read[0].document, 2, "고친 문단"), ("책", read[0].document, 3, None)], "book_id string, document string, idx int, after string")
     edited = A.write_edited(books, plan).cache()
-    assert [r.text for r in A.read_blocks(edited).orderBy("idx").collect()] == ["책", "제1장", "고친 문단", "둘째 문단입니다."]
+    assert [r.text for r in A.read_blocks(edited).orderBy("idx").collect()] == ["책", "첫 장", "고친 문단", "또 한 문단이다."]
     old, new = (zipfile.ZipFile(BytesIO(df.first().content)) for df in (books, edited))
     assert new.namelist() == old.namelist() and all(new.read(n) == old.read(n) for n in old.namelist() if not n.endswith("chapter.xhtml"))
     bad = spark.createDataFrame([(bytearray(b"no"),)], "content binary")
@@ -166,6 +237,29 @@ def test_books_round_trip(spark):
     assert A.read_blocks(spark.createDataFrame([("x", bytearray(b"no"))], "book_id string, content binary")).count() == 0
 
 
+def test_leaf_blocks_of_any_markup():
+    root = A._parsed("<DIV>loose<P>a&check;&nbsp;b</P><div> </div><ul><LI>c <b>d</b></LI></ul><blockquote><p>e</p></blockquote></DIV>".encode())
+    assert [(p.tag, e.tag, t) for p, e, t in A.leaf_blocks(root)] == [("DIV", "P", "a✓ b"), ("ul", "LI", "c d"), ("blockquote", "p", "e")]
+    assert [t for *_, t in A.leaf_blocks(A._parsed(b"<p>alone</p>"))] == ["alone"]
+    assert A._tried(A._parsed, b"<p>&nosuch;</p>") is None
+
+
+def test_only_sound_books_are_published(spark, tmp_path):
+    rows = spark.createDataFrame([(b, 1, "글", "body", 0) for b in ("가", "나")], "book_id string, ord int, text string, kind string, heading_level int")
+    books = A.package(A.fragments(rows)).withColumn("content", F.when(F.col("book_id") == "나", F.lit(b"no")).otherwise(F.col("content")))
+    out = str(tmp_path / "books")
+    assert [(r.book_id, r.problem) for r in A.published(books, out).collect()] == [("나", "not a ZIP file")]
+    assert [r.book_id for r in A.read_published(spark, out).collect()] == ["가"] and not (tmp_path / "books.pending").exists()
+    with pytest.raises(FileExistsError):
+        A.published(books, out)
+    refuse = lambda c: F.lit("never")
+    assert A.published(books, str(tmp_path / "none"), refuse).count() == 2 and A.read_published(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_titles_in_markup(spark):
+    assert column(spark, A.markup_title, ["<metadata><dc:title>\n 바다  노래</dc:title>", "<p>x</p>"]) == ["바다 노래", None]
+
+
 def test_recognised_lines(spark):
     head = "p int, level string, page_num string, block_num string, par_num string, line_num string, left string, top string, width string, height string, conf string, text string, pos int"
     rows = [(1, "5", "1", "1", "1", "1", "10", "20", "25", "10", "90", "한국어", 0), (1, "5", "1", "1", "1", "1", "40", "20", "25", "10", "80", "문장", 1), (1, "5", "1", "1", "1", "2", "10", "40", "20", "10", "-1", "둘째", 2)]
@@ -196,6 +290,7 @@ def test_pages_are_stored_once(spark, tmp_path):
         arrivals.store_arriving(spark, str(source), store, str(tmp_path / "state")).awaitTermination()
     found = B.explode_pages(spark.read.schema(arrivals.SCHEMA).parquet(store)).collect()
     assert [r.text for r in found] == ["first"]
+    assert len(list((tmp_path / "store").glob("bucket=*"))) == 1 and arrivals.stored_book(spark, store, "b").count() == 1 and arrivals.stored_book(spark, store, "c").count() == 0
 
 
 def test_ranges_and_validation(spark):
