@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folioflow.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from tests.llm import brute
