@@ -3,6 +3,7 @@
 import zipfile
 from io import BytesIO
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,27 @@ def test_footnotes_and_references(spark):
     assert N.footnotes(page(spark, body)).count() == 0
 
 
+def test_an_analysers_tags_join_paragraphs(spark):
+    rows = [("앞 글", "뒤 글", "ETM", "NNG"), ("앞 글", "뒤 글", "NNG", "XSV"), ("앞 글", "뒤 글", "NNG", "NNG"), ("끝났다.", "뒤 글", "ETM", "XSV"), ("앞 글", "뒤 글", None, None)]
+    pairs = spark.createDataFrame(rows, "l string, r string, a string, b string")
+    assert [r[0] for r in pairs.select(L.joins(F.col("l"), F.col("r"), (F.col("a"), F.col("b")))).collect()] == [True, True, False, False, False]
+    tags = lambda left, right: L.joins(left, right, (F.when(left.endswith("읽을"), "ETM"), F.lit(None).cast("string")))
+    found = L.merge_by_context(spark.createDataFrame([("b", k, t, "body", [(1, f"l{k}")]) for k, t in enumerate(["내가 읽을", "책", "탁자"])], "book_id string, ord int, text string, kind string, sources array<struct<page:int,block_id:string>>"), tags)
+    assert sorted(r.text for r in found.collect()) == ["내가 읽을 책", "탁자"]
+
+
+def test_recognisers_are_passed_in(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.png").write_bytes(b"x" * (k + 1))
+
+    def engine(frames):
+        for frame in frames:
+            yield pd.DataFrame({"page": [int(p.rsplit("/", 1)[1][0]) for p in frame["path"]], "text": [f"{len(c)} bytes" for c in frame["content"]]})
+
+    found = S.recognise(spark.read.format("binaryFile").load(str(tmp_path)), engine, "page int, text string")
+    assert sorted(map(tuple, found.collect())) == [(0, "1 bytes"), (1, "2 bytes"), (2, "3 bytes")]
+
+
 def note_page(body=8, note_y=780, notes=7, h=15, texts=None):
     rows = [(1, f"l{k}", "본문의 한 줄입니다", (100, 200 + 30 * k, 800, 225 + 30 * k)) for k in range(body)]
     return rows + [(1, f"n{k}", (texts or {}).get(k, "주석이 이어진다"), (100, note_y + 20 * k, 800, note_y + 20 * k + h)) for k in range(notes)]
