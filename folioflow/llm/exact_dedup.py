@@ -139,12 +139,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
     spark = docs.sparkSession
     found = shared.scratch(digests(docs), "digests")
     rows, low, high = found.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if index is None:
+    own = index is None
+    if own:
         path = shared.scratch_path(spark, "digest-index")
         index = DigestIndex(spark, path, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET)))
     for batch in _batches(found, low, high, batches):
         index.admit(batch)
     answer = shared.scratch(found.groupBy("digest").agg(F.count("*").alias("group_size")).hint("merge").join(index.table(), "digest"), "answers")
+    if own:
+        spark.sql(f"DROP TABLE {index.name}")
     return found.hint("merge").join(answer, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
