@@ -51,7 +51,7 @@ def margin_candidates(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame
 
 def _recurring(rows: DataFrame, key: str, pages: int, layout: Layout) -> DataFrame:
     around = Window.partitionBy("book_id", "side", key).orderBy("page").rangeBetween(-pages, pages)
-    rows = rows.withColumn("around", F.collect_list(F.struct("page", "place")).over(around))
+    rows = rows.withColumn("around", F.collect_set(F.struct("page", "place")).over(around))
     near = F.array_distinct(F.transform(F.filter("around", lambda x: F.abs(x["place"] - F.col("place")) <= F.lit(layout.near)), lambda x: x["page"]))
     return rows.where(F.size(near) >= layout.least_pages).select(*KEYS)
 
