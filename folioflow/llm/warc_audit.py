@@ -22,6 +22,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from folioflow.llm import shared
 
 #: Bytes of a shard and of a segment, in the mean; bits of a key; children of a node as bits; records of a lowest node, in the mean.
-SHARD, SEGMENT, KEY, CHILDREN, LOWEST = 64 << 20, 4 << 20, 60, 4, 4
+SHARD, SEGMENT, KEY, CHILDREN, LOWEST = 64 << 20, 1 << 20, 60, 4, 4
+#: Segments that are read at once.
+AT_ONCE = 8
 END = "\r\n"
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 STORE = "shard int, segment long, offset long, data binary"
@@ -180,10 +183,25 @@ def aligned(found: DataFrame) -> DataFrame:
     return both.withColumn("at", F.coalesce("first", "second")).select("shard", "page_id", "at.low", "at.high", status.alias("status")).unionByName(torn)
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession, n: int):
+    """Jobs inside read and send n rows at once, as a row of a store is large."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name in names:
+            spark.conf.set(name, n)
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 def audit(primary: DataFrame, replica: DataFrame, bits: int) -> DataFrame:
     """shard, page_id, low, high, status of each record where the replica's store differs from the primary's: its range of
     offsets in the primary's WARC file, or in the replica's if the primary lacks it. bits: those of the stores' shards."""
-    found = shared.scratch(leaves(primary, "primary").unionByName(leaves(replica, "replica")), "leaves")
+    with few_rows_at_once(primary.sparkSession, AT_ONCE):
+        found = shared.scratch(leaves(primary, "primary").unionByName(leaves(replica, "replica")), "leaves")
     n = found.count() / 2 / 2**bits
     depth = min((KEY - bits) // CHILDREN, max(1, math.ceil(math.log2(max(1.0, n / LOWEST)) / CHILDREN)))
     levels = trees(found, bits, depth)
