@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, warc_audit, wav_fingerprint
+from folioflow.llm import divergence, exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, warc_audit, wav_fingerprint
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_dup.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity_chain": toxicity.query,
     "op9_source_mix": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLE_SQL = {
     "op2_warc_merkle_audit": warc_audit.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
