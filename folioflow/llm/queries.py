@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import alignment, divergence, exact_dedup, language_id, mixing, near_dup, packing, quality, substring_dedup, toxicity, warc_audit, wav_fingerprint
+from folioflow.llm import alignment, divergence, exact_dedup, language_id, mixing, near_dup, ngram_lm, packing, quality, substring_dedup, toxicity, warc_audit, wav_fingerprint
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_dup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity_chain": toxicity.query,
     "op9_source_mix": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_elias_fano_lm": ngram_lm.query,
     "op12_tokenizer_alignment": alignment.query,
     "op13_source_divergence": divergence.query,
 }
@@ -22,6 +23,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc_merkle_audit": warc_audit.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
-    "op12_tokenizer_alignment": alignment.query,
     "op13_source_divergence": divergence.ORACLE_SQL,
 }

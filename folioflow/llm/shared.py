@@ -78,6 +78,24 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As scratch, dealt by key into as many buckets as there are shuffle partitions: later groups by key need no shuffle of it."""
+    spark = df.sparkSession
+    table = f"scratch_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name, table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
+class Numbers(dict):
+    """Numbers new keys as they are met: map(numbers.__getitem__, keys)."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def private(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
