@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,52 +45,55 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-def cells(langs: list[str], words: list[bytes], width: int) -> np.ndarray:
-    """The cell of each (lang, term) in each row of the sketch, numbered over all rows."""
-    seeds = {lang: xxhash.xxh64_intdigest(lang.encode()) for lang in set(langs)}
-    h = np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in zip(langs, words, strict=True)), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        at = [((h * odd) ^ (h >> np.uint64(29))) * odd >> np.uint64(64 - width) for odd in _ODD]
-    return np.stack([a.astype(np.int64) + (r << width) for r, a in enumerate(at)])
+def cells(lang: str, words: list[bytes], width: int) -> np.ndarray:
+    """The cell of each of a language's terms in each row of the sketch."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(xxhash.xxh64_intdigest(lang.encode()))), np.uint64, len(words))
+    return np.stack([(((h * odd) ^ (h >> np.uint64(29))) * odd >> np.uint64(64 - width)).astype(np.int64) for odd in _ODD])
 
 
 class Sketch:
     """Count-min sketch of document frequencies whose cells stop at LEAST."""
 
     def __init__(self, width: int):
-        self.width, self.cells = width, np.zeros(DEPTH << width, np.uint8)
+        self.width, self.cells = width, np.zeros((DEPTH, 1 << width), np.uint8)
 
     def add(self, at: np.ndarray, documents: np.ndarray) -> None:
-        for row in at:
-            own, inverse = np.unique(row, return_inverse=True)
-            sums = np.bincount(inverse, np.minimum(documents, LEAST))
-            self.cells[own] = np.minimum(LEAST, self.cells[own] + sums)
+        for row, own in zip(at, self.cells, strict=True):
+            sums = np.zeros(len(own), np.int32)
+            np.add.at(sums, row, np.minimum(documents, LEAST).astype(np.int32))
+            np.minimum(LEAST, sums + own, out=sums)
+            own[:] = sums
 
     def chunks(self) -> Iterator[tuple[int, bytes]]:
-        for k in range(0, len(self.cells), CHUNK):
-            part = self.cells[k : k + CHUNK]
+        flat = self.cells.ravel()
+        for k in range(0, len(flat), CHUNK):
+            part = flat[k : k + CHUNK]
             if part.any():
                 yield k // CHUNK, part.tobytes()
 
 
-def counted(batches: Iterator[pa.RecordBatch], gathered: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Keys (lang, source, term), occurrences and documents of the rows (text, lang, source); a key can come again later."""
-    number: dict[tuple[str, str], dict[bytes, int]] = {}
-    found: dict[tuple[str, str], list[np.ndarray]] = {}
+def counted(batches: Iterator[pa.RecordBatch], gathered: int) -> Iterator[tuple[str, list[bytes], dict[str, tuple[np.ndarray, np.ndarray]]]]:
+    """A lang, terms of it, and by source the occurrences and documents of each term, from rows (text, lang, source); more of the
+    same may come later."""
+    number: dict[str, shared.Numbers] = {}
+    found: dict[str, dict[str, list[np.ndarray]]] = {}
     n = 0
 
     def out():
-        for (lang, source), own in number.items():
-            at, times = np.concatenate(found[lang, source], axis=1)
-            yield (lang, source, list(own)), np.bincount(at, times, len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
+        for lang, own in number.items():
+            sums = {}
+            for source, rows in found[lang].items():
+                at, times = np.concatenate(rows, axis=1)
+                sums[source] = np.bincount(at, times, len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
+            yield lang, list(own), sums
 
     for batch in shared.slices(batches):
         for text, lang, source in zip(shared.raw(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = terms(text)
             if words:
-                own = number.setdefault((lang, source), {})
-                at = np.unique(np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words)), return_counts=True)
-                found.setdefault((lang, source), []).append(np.stack(at))
+                own = number.setdefault(lang, shared.Numbers())
+                at = np.unique(np.fromiter(map(own.__getitem__, words), np.int64, len(words)), return_counts=True)
+                found.setdefault(lang, {}).setdefault(source, []).append(np.stack(at))
                 n += len(at[0])
         if n > gathered:
             yield from out()
@@ -107,8 +111,8 @@ def frequent_cells(docs: DataFrame, width: int) -> np.ndarray:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketch(width)
-        for (lang, _, words), _, documents in counted(batches, GATHERED):
-            own.add(cells([lang] * len(words), words, width), documents)
+        for lang, words, sums in counted(batches, GATHERED):
+            own.add(cells(lang, words, width), sum(documents for _, documents in sums.values()))
         for k, part in own.chunks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["chunk", "cells"])
 
@@ -145,13 +149,16 @@ def counts(docs: DataFrame, width: int | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bits.value
-        for (lang, source, words), times, documents in counted(batches, GATHERED):
-            at = cells([lang] * len(words), words, width)
-            kept = np.flatnonzero((own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0))
-            if len(kept):
-                names = pa.array([words[k] for k in kept.tolist()], pa.binary()).cast(pa.string())
-                same = lambda x: pa.array([x] * len(kept), pa.string())
-                yield pa.RecordBatch.from_arrays([same(lang), same(source), names, pa.array(times[kept]), pa.array(documents[kept])], ["lang", "source", "term", "n", "documents"])
+        for lang, words, sums in counted(batches, GATHERED):
+            frequent = np.ones(len(words), bool)
+            for at in cells(lang, words, width) + (np.arange(DEPTH) << width)[:, None]:
+                frequent &= (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            names = pa.array(words, pa.binary()).cast(pa.string())
+            for source, (times, documents) in sums.items():
+                kept = np.flatnonzero(frequent & (times > 0))
+                if len(kept):
+                    same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(kept), np.int32)))
+                    yield pa.RecordBatch.from_arrays([same(lang), same(source), names.take(pa.array(kept)), pa.array(times[kept]), pa.array(documents[kept])], ["lang", "source", "term", "n", "documents"])
 
     rows = _rows(docs).mapInArrow(count, "lang string, source string, term string, n long, documents long").repartition("lang", "term")
     rows = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
