@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +16,31 @@ PLAN = "document string, idx int, before string, after string"
 CACHE = "key string, value string"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one in local mode where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to path to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """The table at path; where none was written to its end, what make gives is, once. Without a path it goes to the shared folder."""
+    path = path or shared_path(spark, "kept")
+    if not exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def book_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """ord, path and content of a folder's own files of a kind; ord is the order of names without case. Folders inside aren't opened.
 
