@@ -8,9 +8,12 @@ sorted.
 A source whose target is k times its size and a bit takes every document k times and the documents below the threshold
 once more, so no document is taken more than CAP times.
 
-Cases: null text has size 0; null is a source of its own, the last; sources of size 0 have target 0 and take nothing;
-documents that repeat a doc_id have the same hash and are taken alike; an empty table gives an empty result. Equal input
-gives equal results, however it is partitioned.
+The hash is that of the whole row and of its number among rows that are equal in all columns, so that neither null nor
+repeated ids, nor copies of one row, share a hash: a threshold takes some of them and leaves the others. Equal rows are
+numbered by where they lie, but what is taken of them is the same however they lie.
+
+Cases: null text has size 0; null is a source of its own, the last; sources of size 0 have target 0 and take nothing; an
+empty table gives an empty result. Equal input gives equal results, however it is partitioned.
 """
 
 from __future__ import annotations
@@ -31,14 +34,27 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """A hash of BITS * LEVELS bits; null ids have one of their own."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))), 64 - BITS * LEVELS)
+def keys_of(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row."""
+    return tuple(F.xxhash64(F.lit(seed), *shared.columns(docs)) for seed in ("mix", "row"))
+
+
+def hash_of(key: Column, number: Column) -> Column:
+    """A hash of BITS * LEVELS bits of a row and its number among equal ones."""
+    return F.shiftrightunsigned(F.xxhash64(key, number.cast("long")), 64 - BITS * LEVELS)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, h of every row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
+    """doc_id, source, size, a, b (the row's keys), n (how many rows are equal), h of every row of docs, written."""
+    a, b = keys_of(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), a.alias("a"), b.alias("b"))
+    rows = shared.scratch(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "rows")
+    # equal rows of one part are numbered there, and parts one after the other, so no task has all of them
+    own = Window.partitionBy("a", "b")
+    parts = rows.groupBy("a", "b", "part").agg(F.count("*").alias("k"))
+    parts = parts.withColumns({"before": F.sum("k").over(own.orderBy("part")) - F.col("k"), "n": F.sum("k").over(own)}).drop("k")
+    rows = rows.join(parts, ["a", "b", "part"]).withColumn("number", F.col("before") + F.row_number().over(Window.partitionBy("a", "b", "part").orderBy("at")) - 1)
+    return shared.scratch(rows.select("doc_id", "source", "size", "a", "b", "n", hash_of(F.col("a"), F.col("number")).alias("h")), "sizes")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of docs."""
-    rows = shared.scratch(sized(docs), "sizes")
+    rows = sized(docs)
     plan = planned(rows, weights, cap)
     # small plans are broadcast by their file size; with others Spark splits the rows of a large source over tasks
     out = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("copies", F.col("times") + (F.col("h") < F.col("threshold")).cast("long"))
@@ -120,12 +136,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Copies of a row that are put out from one array.
+COPIES = 4096
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, by its own source and size; rows of size 0 don't count against a budget and stay once."""
-    plan = planned(shared.scratch(sized(docs), "sizes"))
-    own, copy = (shared.private(docs, name) for name in ("copies", "copy"))
-    rows = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["s"]))
-    size = size_of(docs["text"])
-    taken = F.when(size == 0, 1).otherwise(plan["times"] + (hash_of(docs["doc_id"]) < plan["threshold"]).cast("long")).cast("int")
-    rows = rows.select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns], taken.alias(own)).where(F.col(own) > 0)
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(shared.columns(docs))
+    """Each row as often as the mix takes it, by its own source and size; rows of size 0 don't count against a budget and stay once.
+
+    Rows that no other equals are decided where they are read. Equal ones are one row, put out as often as they are taken together.
+    """
+    rows = sized(docs)
+    plan = planned(rows)
+    a, b, own, n = (shared.private(docs, name) for name in ("a", "b", "copies", "n"))
+    taken = lambda size, h: F.when(size == 0, 1).otherwise(F.col("times") + (h < F.col("threshold")).cast("long"))
+    again = rows.where("n > 1").join(plan, rows["source"].eqNullSafe(plan["s"]))
+    again = shared.scratch(again.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.sum(taken(F.col("size"), F.col("h"))).alias(own)), "equal")
+
+    first, second = keys_of(docs)
+    found = docs.withColumns({a: first, b: second})
+    some = not again.isEmpty()
+    one = found.join(again, [a, b], "left_anti") if some else found
+    one = one.join(plan, shared.named("source").cast("string").eqNullSafe(plan["s"]))
+    one = one.select(*shared.columns(docs), taken(size_of(shared.named("text")), hash_of(shared.named(a), F.lit(0))).alias(own))
+    if some:
+        row = shared.private(docs, "row")
+        each = found.join(again.drop(own), [a, b], "left_semi").groupBy(shared.named(a), shared.named(b)).agg(F.first(F.struct(*shared.columns(docs))).alias(row))
+        one = one.unionByName(each.join(again, [a, b]).select(*[shared.named(row).getField(c).alias(c) for c in docs.columns], own))
+    one = one.where(shared.named(own) > 0).withColumn(n, F.explode(F.sequence(F.lit(0), (shared.named(own) - 1).cast("long"), F.lit(COPIES).cast("long"))))
+    return one.withColumn(n, F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), shared.named(own) - shared.named(n)).cast("int")))).select(shared.columns(docs))

@@ -302,13 +302,13 @@ def test_sum_of_squares_takes_the_best_place():
 def test_mix(spark, odd):
     docs = frame(spark, odd * 3 + [(1000 + k, prose(k, 40), "en", f"s{k % 7}") for k in range(400)])
     found = mixing.mix(docs).collect()
-    again = {(r.doc_id, r.source): r.taken for r in mixing.mix(docs.repartition(3)).collect()}
+    assert Counter(map(tuple, found)) == Counter(map(tuple, mixing.mix(docs.repartition(3)).collect()))
     sizes, taken, target = Counter(), Counter(), {}
     for r in found:
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
-        assert r.taken <= 3 * r.size and r.taken == again[(r.doc_id, r.source)]
+        assert r.taken <= 3 * r.size
     wanted = brute.targets(sizes)
     assert target == pytest.approx(wanted)
     largest = defaultdict(int)
@@ -322,10 +322,31 @@ def test_mix(spark, odd):
 def test_mix_stage_takes_rows_by_their_own_source(spark, sf_dir):
     rows = [(None if k % 7 == 0 else k, prose(100 * k + ord(s), 40), "en", s) for k in range(50) for s in "abc"] + [(1, "", "en", "a"), (1, None, "en", None)]
     docs = frame(spark, rows)
-    copies = Counter({(r.doc_id, r.source, r.size): r.copies for r in mixing.mix(docs).collect()})
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[(r.doc_id, r.source, r.size)] += r.copies if r.size else 1
     assert len({copies[(k, s, 40)] for k in range(1, 7) for s in "abc"}) > 1
-    wanted = Counter({r: copies[(r[0], r[3], 40)] if r[1] else 1 for r in rows})
-    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in mixing.stage(spark, docs, sf_dir).collect()) == +wanted
+    found = mixing.stage(spark, docs, sf_dir).collect()
+    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in found) == +copies and {(r.doc_id, r.text, r.lang, r.source) for r in found} <= set(rows)
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: None if k % 3 == 0 else k, lambda k: 5, lambda k: k])
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_comes_within_a_document_of_its_targets(spark, sf_dir, ids, same):
+    rows = [(ids(k), prose(0 if same else k, 25), "en", "a") for k in range(400)] + [(ids(k), prose(0 if same else k, 10), "en", "b") for k in range(1000)] + [(None, None, "en", None)] * 5
+    docs = frame(spark, rows)
+    found = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= {"a": 25, "b": 10, None: 0}[s] for s in target) and target["b"] == pytest.approx(2 * target["a"])
+    assert Counter(map(tuple, found)) == Counter(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    put = [Counter((r.doc_id, r.text, r.source) for r in mixing.stage(spark, df, sf_dir).collect()) for df in (docs, docs.repartition(7))]
+    words = Counter()
+    for (_, text, source), n in put[0].items():
+        words[source] += n * len((text or "").split())
+    assert put[0] == put[1] and words == +taken and put[0][(None, None, None)] == 5
 
 
 def test_language(spark, odd):
