@@ -17,6 +17,7 @@ columns besides text, lang and source are not looked at. All arithmetic is on in
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -92,9 +93,10 @@ def counted(batches: Iterator[pa.RecordBatch], gathered: int) -> Iterator[tuple[
             words = terms(text)
             if words:
                 own = number.setdefault(lang, shared.Numbers())
-                at = np.unique(np.fromiter(map(own.__getitem__, words), np.int64, len(words)), return_counts=True)
-                found.setdefault(lang, {}).setdefault(source, []).append(np.stack(at))
-                n += len(at[0])
+                each = Counter(words)
+                at = np.stack([np.fromiter(x, np.int64, len(each)) for x in (map(own.__getitem__, each), each.values())])
+                found.setdefault(lang, {}).setdefault(source, []).append(at)
+                n += len(each)
         if n > gathered:
             yield from out()
             number, found, n = {}, {}, 0
