@@ -1,8 +1,9 @@
 """Source divergence audit: how a source's use of words differs from the other sources of its language, and by which words.
 
-Two passes over the texts. The first one adds up count-min sketches of document frequencies by (lang, term); cells stop at
-the least frequency that is asked for. A sketch never underestimates, so a term with a smaller cell can't be kept, and the
-second pass drops it before anything is shuffled. What is left is counted exactly, with exact document frequencies.
+Texts are read once: each task writes what it counted of its own documents, where they are. Count-min sketches of document
+frequencies by (lang, term) are added up from that; cells stop at the least frequency that is asked for. A sketch never
+underestimates, so a term with a smaller cell can't be kept, and is dropped before any term is shuffled. What is left is
+counted exactly, with exact document frequencies.
 
 Divergences of pairs of sources are sums over all kept terms of the language. Terms that neither source has give the same
 each; terms that one has are summed by their count (a count's share is the same for all terms); terms that both have come
@@ -35,7 +36,8 @@ LEAST, RANKS, UNIT = 3, 200, 1_000_000_000
 #: The largest sketch is DEPTH * 2 ** MOST cells: 64 MB in a task, and 8 MB of bits that are broadcast.
 DEPTH, FEWEST, MOST = 4, 14, 24
 #: Cells that are merged as one row, and (document, term) that a task gathers before it puts them out.
-CHUNK, GATHERED = 1 << 14, 4_000_000
+CHUNK, GATHERED = 1 << 14, 2_000_000
+TALLIES = "lang string, words binary, sources array<string>, at array<binary>, n array<binary>, documents array<binary>"
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Bytes of terms: A-Z in lower case, a-z and all above ASCII as they are; others part terms.
@@ -108,13 +110,41 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(text("text"), text("lang"), text("source"))
 
 
-def frequent_cells(docs: DataFrame, width: int) -> np.ndarray:
-    """The merged sketch as bits: whether a cell reached LEAST. Chunks of cells are merged where they meet, a row at a time."""
+def tallies(docs: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """What each task counted: terms of a language, and for each source which of them it has, how often, and in how many documents."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, sums in counted(batches, gathered):
+            lists = [[], [], []]
+            for times, documents in sums.values():
+                at = np.flatnonzero(times)
+                for own, x in zip(lists, (at.astype(np.int32), times[at], documents[at].astype(np.int32)), strict=True):
+                    own.append(x.tobytes())
+            binaries = [pa.array([x], pa.list_(pa.binary())) for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b" ".join(words)], pa.binary()), pa.array([list(sums)], pa.list_(pa.string())), *binaries], [x.split()[0] for x in TALLIES.split(", ")])
+
+    return shared.scratch(_rows(docs).mapInArrow(tally, TALLIES), "tallies", "zstd")
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Each tally's lang, terms, and of each source the terms' places, occurrences and documents."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lang, words, sources, *lists = (c[k].as_py() for c in batch.columns)
+            own = [[np.frombuffer(x, kind) for x in part] for part, kind in zip(lists, (np.int32, np.int64, np.int32), strict=True)]
+            yield lang, words.split(b" "), list(zip(sources, *own, strict=True))
+
+
+def frequent_cells(found: DataFrame, width: int) -> np.ndarray:
+    """The merged sketch of tallies as bits: whether a cell reached LEAST. Chunks of cells are merged where they meet, a row at a time."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketch(width)
-        for lang, words, sums in counted(batches, GATHERED):
-            own.add(cells(lang, words, width), sum(documents for _, documents in sums.values()))
+        for lang, words, sources in _told(batches):
+            total = np.zeros(len(words), np.int64)
+            for _, at, _, documents in sources:
+                total[at] += documents
+            own.add(cells(lang, words, width), total)
         for k, part in own.chunks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["chunk", "cells"])
 
@@ -136,7 +166,7 @@ def frequent_cells(docs: DataFrame, width: int) -> np.ndarray:
         if at is not None:
             yield row()
 
-    parts = _rows(docs).mapInArrow(sketch, "chunk int, cells binary").repartition("chunk").sortWithinPartitions("chunk")
+    parts = found.mapInArrow(sketch, "chunk int, cells binary").repartition("chunk").sortWithinPartitions("chunk")
     bits = np.zeros(DEPTH << width >> 3, np.uint8)
     for r in parts.mapInArrow(merge, "chunk int, bits binary").toLocalIterator():  # DEPTH * 2 ** MOST bits at most
         bits[r.chunk * CHUNK >> 3 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
@@ -147,22 +177,23 @@ def counts(docs: DataFrame, width: int | None = None) -> DataFrame:
     """lang, term, source, n, total (the term's in its language), first (one row of each lang and term): kept terms, counted exactly."""
     if width is None:
         width = max(FEWEST, min(MOST, (16 * docs.count()).bit_length() - 1))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, width))
+    found = tallies(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(found, width))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bits.value
-        for lang, words, sums in counted(batches, GATHERED):
+        for lang, words, sources in _told(batches):
             frequent = np.ones(len(words), bool)
             for at in cells(lang, words, width) + (np.arange(DEPTH) << width)[:, None]:
                 frequent &= (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             names = pa.array(words, pa.binary()).cast(pa.string())
-            for source, (times, documents) in sums.items():
-                kept = np.flatnonzero(frequent & (times > 0))
+            for source, at, times, documents in sources:
+                kept = np.flatnonzero(frequent[at])
                 if len(kept):
                     same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(kept), np.int32)))
-                    yield pa.RecordBatch.from_arrays([same(lang), same(source), names.take(pa.array(kept)), pa.array(times[kept]), pa.array(documents[kept])], ["lang", "source", "term", "n", "documents"])
+                    yield pa.RecordBatch.from_arrays([same(lang), same(source), names.take(pa.array(at[kept])), pa.array(times[kept]), pa.array(documents[kept].astype(np.int64))], ["lang", "source", "term", "n", "documents"])
 
-    rows = _rows(docs).mapInArrow(count, "lang string, source string, term string, n long, documents long").repartition("lang", "term")
+    rows = found.mapInArrow(count, "lang string, source string, term string, n long, documents long").repartition("lang", "term")
     rows = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     whole = Window.partitionBy("lang", "term")
     rows = rows.withColumns({"in_lang": F.sum("documents").over(whole), "total": F.sum("n").over(whole), "first": F.row_number().over(whole.orderBy("source")) == 1})

@@ -71,10 +71,10 @@ def cleared(spark: SparkSession):
         spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files and broadcasts of what is gone
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: later steps start from the files, whatever executors are lost."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
