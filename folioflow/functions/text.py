@@ -19,6 +19,8 @@ CORRUPT = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}\x
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 SHAPES = "[←→↑↓↔⇐⇒⇔∠△▲□■○●◇◆※＊✓✔·•]"
 NUMERALS = "IVXLCDM"
+CLOSED = "[.!?。」』\"'’”)\\]]\\z"
+CONTACTS = "tel|fax|isbn"
 #: Digits that aren't decimal: superscript, subscript and circled ones.
 OTHER_DIGITS = "²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 
@@ -108,7 +110,7 @@ def has_long_hangul(text: Column) -> Column:
 
 
 def is_heading_like(text: Column, kind: Column) -> Column:
-    closed = F.regexp_replace(text, rf"{SPACE}+\z", "").rlike("[.!?。」』\"'’”)\\]]\\z")
+    closed = F.regexp_replace(text, rf"{SPACE}+\z", "").rlike(CLOSED)
     return (kind == "heading") | ((F.length(text) <= 60) & ~closed)
 
 
@@ -126,7 +128,7 @@ def is_figure_residue(text: Column) -> Column:
 def is_junk(text: Column) -> Column:
     """Nothing but punctuation, or ten characters of Latin at most without Hangul or digit, other than contact labels."""
     t = strip(text)
-    short = (F.length(t) <= 10) & t.rlike("[A-Za-z]") & ~t.rlike(HANGUL) & ~t.rlike(r"(?U)\d") & ~F.lower(t).rlike("tel|fax|isbn")
+    short = (F.length(t) <= 10) & t.rlike("[A-Za-z]") & ~t.rlike(HANGUL) & ~t.rlike(r"(?U)\d") & ~F.lower(t).rlike(CONTACTS)
     return (t == "") | ~t.rlike(r"[\p{L}\p{N}]") | short
 
 
@@ -145,16 +147,21 @@ def excerpt(text: Column, left: bool, size: int = 240) -> Column:
 
 
 #: What a paragraph can need an outside judgement for.
-REVIEWS = ("ocr_words", "spacing", "anomalies", "headings", "glosses", "figures")
+REVIEWS = ("ocr_words", "spacing", "anomalies", "structure", "headings", "glosses", "figures")
 
 
 def needs_review(text: Column, kind: Column, on=frozenset(REVIEWS)) -> Column:
-    """Whether a paragraph goes to an outside judgement: any of the features that are on. Those that are off fold to false."""
+    """Whether a paragraph goes to an outside judgement: any of the features that are on. Those that are off fold to false.
+
+    Blank text never goes; structure looks at what headings does; a name that isn't one of REVIEWS is an error.
+    """
+    if wrong := sorted(set(on) - set(REVIEWS)):
+        raise ValueError(f"no such reviews: {', '.join(wrong)}")
     rules = {
         "ocr_words": is_mixed_script(text), "spacing": has_long_hangul(text), "anomalies": is_corrupt(text),
-        "headings": is_heading_like(text, kind), "glosses": has_bracket(text), "figures": is_figure_residue(text),
+        "structure": is_heading_like(text, kind), "headings": is_heading_like(text, kind), "glosses": has_bracket(text), "figures": is_figure_residue(text),
     }
-    return reduce(lambda found, name: found | rules[name] if name in on else found, REVIEWS, F.lit(False))
+    return (strip(text) != "") & reduce(lambda found, name: found | rules[name] if name in on else found, REVIEWS, F.lit(False))
 
 
 def fix_typos(text: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -43,6 +43,11 @@ def rated(usage: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.withColumns({**{p: F.coalesce(p, f"top_{p}", F.lit(0.0)) for p in prices}, "verified": F.coalesce("verified", F.lit(False))}).drop(*[f"top_{p}" for p in prices])
 
 
+def registry(rates: DataFrame, defaults: DataFrame) -> DataFrame:
+    """A caller's rates, and defaults for what they don't name."""
+    return rates.unionByName(defaults.join(rates.select("provider", "model"), ["provider", "model"], "left_anti"))
+
+
 def default_models(rates: DataFrame) -> DataFrame:
     """provider, model, and prices of each provider's cheapest verified model: by output, then input price, then name."""
     best = F.min(F.struct(F.coalesce(~F.col("verified"), F.lit(True)), "output_price", "input_price", "model", "cached_price"))
@@ -51,11 +56,13 @@ def default_models(rates: DataFrame) -> DataFrame:
 
 def rollup(snapshots: DataFrame) -> DataFrame:
     """Over the snapshots of many books: totals, whether any reached its limit, and each feature's cost."""
-    each = snapshots.select(F.explode("features").alias("feature", "cost")).groupBy("feature").agg(F.bround(F.sum("cost"), 8).alias("cost"))
-    parts = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "cost")))).alias("features"))  # a handful of features
-    whole = snapshots.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.bround(F.sum("cost"), 8).alias("cost"), F.bool_or("limit_reached").alias("limit_reached"))
-    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  a row each
-    return one(whole).join(one(parts), "one").drop("one")
+    # one row of each book stands for its totals; all are summed by feature, and those sums once more
+    rows = snapshots.select("input", "output", "cost", "limit_reached", F.posexplode_outer(F.map_entries("features")).alias("k", "f"))
+    whole = F.coalesce(F.col("k"), F.lit(0)) == 0
+    first = lambda c: F.sum(F.when(whole, F.col(c))).alias(c)
+    each = rows.groupBy(F.col("f.key").alias("feature")).agg(F.bround(F.sum("f.value"), 8).alias("part"), first("input"), first("output"), first("cost"), F.bool_or("limit_reached").alias("limit_reached"))
+    named = F.filter(F.collect_list(F.struct("feature", F.col("part").alias("cost"))), lambda x: x["feature"].isNotNull())  # a handful of features
+    return each.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.bround(F.sum("cost"), 8).alias("cost"), F.bool_or("limit_reached").alias("limit_reached"), F.map_from_entries(F.sort_array(named)).alias("features"))
 
 
 def batch_estimate(books: DataFrame, price: float, output_price: float) -> DataFrame:

@@ -31,6 +31,10 @@ TERMINAL = "[.!?。！？][”’\"')\\]}】》〉]*\\z"
 LEFT_SUFFIX = "(?:의|을|를|은|는|이|가|에|에서|에게|께|으로|로|와|과|도|만|까지|부터|보다|처럼|하며|하고|하여|해서)\\z"
 RIGHT_PREFIX = "\\A(?:때문(?:에|이다)|따라|위해|통해|관하여|대하여|비해|뿐만|등(?:은|을|이|의|과))(?:" + T.SPACE + "|\\z)"
 LIST_ITEM = r"\A(?:(?U:\d)+[.)]|[•●])"
+LEFT_OPEN, RIGHT_CLOSED = "[(\\[{〈《“\"]\\z", "\\A[)\\]}〉》,.:;]"
+DEPENDENT_LAST = ("EC", "ETM", "JKS", "JKC", "JKG", "JKO", "JKB", "JKV", "JKQ", "JX", "JC", "MM", "XPN")
+DEPENDENT_FIRST = "\\A(?:E|XS)"
+
 KEYS = ["book_id", "page", "id"]
 
 
@@ -49,35 +53,52 @@ def margin_candidates(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame
     return rows.where(kept).select("book_id", "page", "id", "side", ((c("y0") + c("y1")) / (2 * c("height"))).alias("place"), c("bare").alias("text"))
 
 
-def _recurring(rows: DataFrame, key: str, pages: int, layout: Layout) -> DataFrame:
-    around = Window.partitionBy("book_id", "side", key).orderBy("page").rangeBetween(-pages, pages)
+def _text_key() -> tuple[Column, Column]:
+    """The key of a text without a page number fused to it, and whether there is one."""
+    label = F.regexp_replace("text", r"\A(?U:\d){1,4}|(?U:\d){1,4}\z", "")
+    return F.concat(F.lit("text "), label), F.length(label).between(2, 60)
+
+
+def _offset_key() -> tuple[Column, Column]:
+    """The key of the distance between the first number and the page's, and whether there is one."""
+    number = F.regexp_extract("text", r"((?U:\d){1,4})", 1)
+    return F.concat(F.lit("offset "), (T.ascii_digits(number).cast("int") - F.col("page")).cast("string")), number != ""
+
+
+def _recurring(candidates: DataFrame, layout: Layout, **pages: int) -> DataFrame:
+    """Candidates that have a key (text, offset) in place on enough pages within so many pages; one window for all keys."""
+    kinds = {"text": _text_key, "offset": _offset_key}
+    keys = [F.when(there, F.struct(key.alias("key"), F.lit(n).alias("pages"))) for name, n in pages.items() for key, there in [kinds[name]()]]
+    rows = candidates.withColumn("k", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))).select(*KEYS, "side", "place", "k.key", "k.pages")
+    widest = max(pages.values())
+    around = Window.partitionBy("book_id", "side", "key").orderBy("page").rangeBetween(-widest, widest)
     rows = rows.withColumn("around", F.collect_set(F.struct("page", "place")).over(around))
-    near = F.array_distinct(F.transform(F.filter("around", lambda x: F.abs(x["place"] - F.col("place")) <= F.lit(layout.near)), lambda x: x["page"]))
-    return rows.where(F.size(near) >= layout.least_pages).select(*KEYS)
+    near = F.filter("around", lambda x: (F.abs(x["page"] - F.col("page")) <= F.col("pages")) & (F.abs(x["place"] - F.col("place")) <= F.lit(layout.near)))
+    return rows.where(F.size(F.array_distinct(F.transform(near, lambda x: x["page"]))) >= layout.least_pages).select(*KEYS)
 
 
 def repeated_text(candidates: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Candidates whose text, without a page number fused to it, recurs in place on pages nearby."""
-    rows = candidates.withColumn("label", F.regexp_replace("text", r"\A(?U:\d){1,4}|(?U:\d){1,4}\z", "")).where(F.length("label").between(2, 60))
-    return _recurring(rows, "label", layout.text_pages, layout)
+    return _recurring(candidates, layout, text=layout.text_pages)
 
 
 def repeated_offset(candidates: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Candidates whose first number keeps one distance from the page's on pages nearby, whatever the label says."""
-    rows = candidates.withColumn("number", F.regexp_extract("text", r"((?U:\d){1,4})", 1)).where("number <> ''")
-    return _recurring(rows.withColumn("offset", T.ascii_digits(F.col("number")).cast("int") - F.col("page")), "offset", layout.offset_pages, layout)
+    return _recurring(candidates, layout, offset=layout.offset_pages)
 
 
 def margins(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, id of repeated heads and feet."""
-    found = margin_candidates(blocks, layout)
-    return repeated_text(found, layout).union(repeated_offset(found, layout)).distinct()
+    return _recurring(margin_candidates(blocks, layout), layout, text=layout.text_pages, offset=layout.offset_pages).distinct()
+
+
+def _height() -> Column:
+    return F.when(F.length(T.strip(F.col("text"))) > 3, F.col("y1") - F.col("y0"))
 
 
 def body_size(blocks: DataFrame) -> DataFrame:
     """book_id, page, size: the median height of blocks of more than three characters, 0 without any."""
-    wide = F.when(F.length(T.strip(F.col("text"))) > 3, F.col("y1") - F.col("y0"))
-    return blocks.groupBy("book_id", "page").agg(F.coalesce(F.median(wide), F.lit(0.0)).alias("size"))
+    return blocks.groupBy("book_id", "page").agg(F.coalesce(F.median(_height()), F.lit(0.0)).alias("size"))
 
 
 def without(blocks: DataFrame, *removed: DataFrame) -> DataFrame:
@@ -87,37 +108,63 @@ def without(blocks: DataFrame, *removed: DataFrame) -> DataFrame:
     return blocks
 
 
+def flagged(blocks: DataFrame, removed: DataFrame, layout: Layout = Layout(), also: Column | None = None) -> DataFrame:
+    """blocks with number (of a page), gone (among the removed ids, or also), and body (`body_size` of all blocks of the page).
+
+    What follows reads these columns, so blocks are read once for their own sake and once for the margins.
+    """
+    ids = removed.select(*KEYS).distinct().withColumn("gone", F.lit(True))
+    rows = blocks.join(ids, KEYS, "left")
+    gone = F.coalesce("gone", F.lit(False))
+    body = F.coalesce(F.median(_height()).over(Window.partitionBy("book_id", "page")), F.lit(0.0))
+    return rows.withColumns({"number": page_number(layout), "gone": gone if also is None else gone | also, "body": body})
+
+
 def simple_paragraphs(blocks: DataFrame, removed: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, first (position of the first line), text, ids, stray: lines of a page joined by gaps and indents.
 
     Stray ones, a lone block of noise, are marked and not left out, so their ids can be reported.
     """
+    return paragraphs_of(flagged(blocks, removed, layout))
+
+
+def paragraphs_of(rows: DataFrame) -> DataFrame:
+    """`simple_paragraphs` of flagged blocks."""
     c = F.col
     order = Window.partitionBy("book_id", "page").orderBy("reading_order", "pos")
-    rows = without(blocks.where(~page_number(layout)), removed).withColumn("t", T.strip(c("text")))
+    rows = rows.where(~c("number") & ~c("gone")).withColumn("t", T.strip(c("text")))
     last = lambda x: F.lag(x).over(order)
     rows = rows.withColumns({"t0": last("t"), "type0": last("type"), "x00": last("x0"), "y10": last("y1"), "h0": F.greatest(F.lit(1), last(c("y1") - c("y0")))})
     starts = c("t0").isNull() | (c("t0") == "") | (c("type") == "heading") | (c("type0") == "heading") | (c("y0") - c("y10") > c("h0") * F.lit(0.9)) | (c("x0") - c("x00") > c("h0") * F.lit(1.5))
     rows = rows.withColumn("starts", starts).withColumn("para", F.sum(c("starts").cast("int")).over(order)).where("t <> ''")
-    line = F.struct("reading_order", "pos", "t", "id", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"))
-    found = rows.groupBy("book_id", "page", "para").agg(F.array_sort(F.collect_list(line)).alias("lines")).join(body_size(blocks), ["book_id", "page"])
+    line = F.struct("reading_order", "pos", "t", "id", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
+    found = rows.groupBy("book_id", "page", "para").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     one = c("lines")[0]
-    stray = (F.size("lines") == 1) & T.is_stray(one["text"], one["w"], one["h"], c("size"))
+    stray = (F.size("lines") == 1) & T.is_stray(one["text"], one["w"], one["h"], one["body"])
     return found.select("book_id", "page", one["pos"].alias("first"), F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.transform("lines", lambda x: x["id"]).alias("ids"), stray.alias("stray"))
 
 
 def removed_ids(blocks: DataFrame, removed: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, ids: page numbers and removed blocks in the blocks' order, then strays."""
-    marked = removed.select(*KEYS).distinct().withColumn("gone", F.lit(True))
-    own = blocks.join(marked, KEYS, "left").where(page_number(layout) | F.col("gone")).select("book_id", "page", F.lit(0).alias("part"), "pos", "id")
-    stray = simple_paragraphs(blocks, removed, layout).where("stray").select("book_id", "page", F.lit(1).alias("part"), F.col("first").alias("pos"), F.col("ids")[0].alias("id"))
+    return removed_of(flagged(blocks, removed, layout))
+
+
+def removed_of(rows: DataFrame) -> DataFrame:
+    """`removed_ids` of flagged blocks."""
+    own = rows.where("number or gone").select("book_id", "page", F.lit(0).alias("part"), "pos", "id")
+    stray = paragraphs_of(rows).where("stray").select("book_id", "page", F.lit(1).alias("part"), F.col("first").alias("pos"), F.col("ids")[0].alias("id"))
     rows = own.unionByName(stray).groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "id"))).alias("all"))
     return rows.select("book_id", "page", F.array_join(F.transform("all", lambda x: x["id"]), ",").alias("ids"))
 
 
 def body_lines(blocks: DataFrame, removed: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Blocks that are read: no page numbers, removed ones or blanks."""
-    return without(blocks.where(~page_number(layout) & (T.strip(F.col("text")) != "")), removed)
+    return lines_of(flagged(blocks, removed, layout))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """`body_lines` of flagged blocks; body stays."""
+    return rows.where(~F.col("number") & ~F.col("gone") & (T.strip(F.col("text")) != "")).drop("number", "gone")
 
 
 def line_features(lines: DataFrame) -> DataFrame:
@@ -138,12 +185,15 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def reconstruct(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+def reconstruct(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """book_id, ord, text, kind, sources, lone of paragraphs that may go on over regions and pages; strays are left out.
 
-    lines: line_features of blocks or of visual lines, whose sources are all their runs; sizes: body_size of all blocks.
+    lines: line_features of blocks or of visual lines, whose sources are all their runs; sizes: body_size of all blocks, where
+    lines don't have it as body.
     """
     c = F.col
+    if sizes is not None:
+        lines = lines.drop("body").join(sizes.withColumnRenamed("size", "body"), ["book_id", "page"])
     order = Window.partitionBy("book_id").orderBy("page", "region_ord", "reading_order", "pos")
     last = lambda x: F.lag(x).over(order)
     rows = lines.withColumns({"heading0": last("heading"), "y10": last("y1"), "x10": last("x1"), "height0": last("height"), "right0": last("right"), "page0": last("page"), "t0": last("t")})
@@ -154,24 +204,23 @@ def reconstruct(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("starts", starts & ~F.coalesce(goes_on, F.lit(False)) | c("page0").isNull())
     rows = rows.withColumn("ord", F.sum(c("starts").cast("int")).over(order))
-    line = F.struct("page", "region_ord", "reading_order", "pos", "t", "ids", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"))
-    found = rows.groupBy("book_id", "ord").agg(F.array_sort(F.collect_list(line)).alias("lines")).withColumn("page", c("lines")[0]["page"])
-    found = found.join(sizes.withColumnRenamed("size", "body"), ["book_id", "page"])
+    line = F.struct("page", "region_ord", "reading_order", "pos", "t", "ids", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
+    found = rows.groupBy("book_id", "ord").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     one = c("lines")[0]
     lone = (F.size("lines") == 1) & (F.size(one["ids"]) == 1)
-    found = found.where(~(lone & T.is_stray(one["t"], one["w"], one["h"], c("body"))))
+    found = found.where(~(lone & T.is_stray(one["t"], one["w"], one["h"], one["body"])))
     return found.select("book_id", "ord", F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.when(one["heading"], "heading").otherwise("body").alias("kind"), F.flatten(F.transform("lines", lambda x: F.transform(x["ids"], lambda i: F.struct(x["page"].alias("page"), i.alias("block_id"))))).alias("sources"), lone.alias("lone"))
 
 
 def joins(left: Column, right: Column, tags: tuple[Column, Column] | None = None) -> Column:
     """Whether two paragraphs are one, by their end and beginning. tags: last and first part-of-speech tag, if an analyser gives them."""
     left, right = F.regexp_replace(left, rf"{T.SPACE}+\z", ""), F.regexp_replace(right, rf"\A{T.SPACE}+", "")
-    open_ = left.rlike("[(\\[{〈《“\"]\\z") | right.rlike("\\A[)\\]}〉》,.:;]")
+    open_ = left.rlike(LEFT_OPEN) | right.rlike(RIGHT_CLOSED)
     words = left.rlike(LEFT_SUFFIX) | right.rlike(RIGHT_PREFIX)
     tagged = F.lit(False)
     if tags is not None:
-        strong = tags[0].isin("EC", "ETM", "JKS", "JKC", "JKG", "JKO", "JKB", "JKV", "JKQ", "JX", "JC", "MM", "XPN")
-        tagged = F.coalesce(strong, F.lit(False)) | F.coalesce(tags[1].rlike("\\A(?:E|XS)"), F.lit(False))
+        strong = tags[0].isin(*DEPENDENT_LAST)
+        tagged = F.coalesce(strong, F.lit(False)) | F.coalesce(tags[1].rlike(DEPENDENT_FIRST), F.lit(False))
     return (left != "") & (right != "") & ~left.rlike(TERMINAL) & (open_ | tagged | words)
 
 

@@ -15,6 +15,7 @@ from folioflow.plans.texts import _STRIP, junk_sql
 from folioflow.sources import archive as A
 from folioflow.sources import blocks as B
 from folioflow.sources import recognised as S
+from folioflow.sources import stores
 
 c = F.col
 
@@ -167,7 +168,7 @@ def _damaged(content: pd.Series, kind: pd.Series) -> pd.Series:
 def damaged_books(spark, sf_dir):
     """Each book with the damage that its source's number names."""
     kind = F.regexp_extract("book_id", r"(\d+)/", 1).cast("int") % 9
-    return books(spark, sf_dir).select("book_id", _damaged("content", kind).alias("content"))
+    return stores.kept(spark, lambda: books(spark, sf_dir).select("book_id", _damaged("content", kind).alias("content")))
 
 
 def _edit_damaged(spark, sf_dir):
@@ -179,6 +180,23 @@ def _edit_damaged(spark, sf_dir):
     return own.join(new, "book_id").join(first, "book_id", "left").select("book_id", (c("content") == c("new")).alias("same"), "first")
 
 
+def _stale(own):
+    """A plan with a change of every third block, and one of a block that isn't there for each of them."""
+    rows = A.read_blocks(own).where("idx % 3 = 1").select("book_id", "document", "idx")
+    return rows.unionByName(rows.withColumn("idx", c("idx") + 100000)).withColumn("after", F.concat(F.lit("new "), c("idx").cast("string")))
+
+
+def _edit_stale(spark, sf_dir):
+    """Blocks after a plan of which half is stale."""
+    own = stores.kept(spark, lambda: books(spark, sf_dir))
+    return A.read_blocks(A.write_edited(own, stores.kept(spark, lambda: _stale(own))))
+
+
+def _unknown(spark, sf_dir):
+    own = stores.kept(spark, lambda: books(spark, sf_dir))
+    return A.unknown_changes(own, stores.kept(spark, lambda: _stale(own)))
+
+
 _PARAS = f"{_SIMPLE}, ps AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, first) AS INT) AS ord, text FROM simple WHERE NOT stray)"
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _READ = f"{_PARAS}, rb AS (SELECT book_id, 'OEBPS/chapter.xhtml' AS document, ord AS idx, array_to_string(list_filter(string_split_regex(text, '[\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> ''), ' ') AS text FROM ps UNION ALL SELECT DISTINCT book_id, 'OEBPS/chapter.xhtml', 0, book_id FROM ps)"
@@ -202,6 +220,8 @@ QUERIES = {
     "structure_valid": lambda s, d: damaged_books(s, d).select("book_id", A.problem("content").alias("problem")),
     "read_damaged_books": lambda s, d: A.read_blocks(damaged_books(s, d)),
     "edit_damaged_books": _edit_damaged,
+    "edit_with_stale_indexes": _edit_stale,
+    "unknown_changes": _unknown,
     "read_blocks": lambda s, d: A.read_blocks(books(s, d)),
     "edit_round_trip": _round_trip,
     "junk_free_markup": lambda s, d: A.junk_free(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), c("html")).select("page_id", "n", "p"),
@@ -227,6 +247,8 @@ SELECT book_id, CASE kind WHEN 1 THEN 'not a ZIP file' WHEN 2 THEN 'mimetype' WH
 SELECT book_id, document, idx + CASE WHEN kind = 7 THEN 1 ELSE 0 END AS idx, text FROM kd WHERE kind NOT IN (1, 3, 8) UNION ALL SELECT DISTINCT book_id, document, 0, chr(10003) || ' planted' FROM kd WHERE kind = 7""",
     "edit_damaged_books": f"""{_READ}, kd AS (SELECT DISTINCT book_id, CAST(regexp_extract(book_id, '(\\d+)/', 1) AS INT) % 9 AS kind FROM rb) SELECT book_id, kind IN (1, 3, 8) AS same, CASE WHEN kind NOT IN (1, 3, 8) THEN 'edited' END AS first FROM kd""",
     "junk_free_markup": f"""WITH m AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages), u AS (SELECT page_id, CAST(unnest(range(len(ps))) AS INT) AS n, unnest(ps) AS p FROM m) SELECT page_id, n, p FROM u WHERE NOT {_JUNK}""",
+    "edit_with_stale_indexes": f"{_READ} SELECT book_id, document, idx, CASE WHEN idx % 3 = 1 THEN 'new ' || idx ELSE text END AS text FROM rb",
+    "unknown_changes": f"{_READ} SELECT book_id, document, CAST(idx + 100000 AS INT) AS idx, 'new ' || (idx + 100000) AS after FROM rb WHERE idx % 3 = 1",
     "read_blocks": f"{_READ} SELECT * FROM rb",
     "edit_round_trip": f"{_READ} SELECT book_id, document, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS INT) AS idx, CASE WHEN idx > 0 AND idx % 5 = 0 THEN '<new> & ' || text ELSE text END AS text FROM rb WHERE idx = 0 OR idx % 7 <> 0",
 }

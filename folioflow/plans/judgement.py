@@ -8,10 +8,11 @@ from folioflow.operators import budget as U
 from folioflow.operators import layout as L
 from folioflow.operators import notes as N
 from folioflow.operators import review as R
-from folioflow.plans.layouts import _SIMPLE
+from folioflow.plans.layouts import _NUMBER, _SIMPLE
 from folioflow.functions import text as T
 from folioflow.plans.texts import _FIGURE, _STRIP, _TIDY
 from folioflow.sources import blocks as B
+from folioflow.sources import stores
 
 c = F.col
 
@@ -32,6 +33,30 @@ nt AS (SELECT book_id, page, id, CAST(regexp_extract(text, '^([0-9])\\) ', 1) AS
 rest AS (SELECT *, {_STRIP % "text"} AS t FROM noted WHERE NOT hit)"""
 
 
+#: Footnotes: the first compact run of small type in a region that a marker opens. No line of this layout is set off by a gap
+#: as wide as a run without a marker needs.
+_FOOT = f"""{_NOTED.split(",\nnt AS")[0].replace(", noted AS", ", noted_ AS")}, noted AS (SELECT *, {_STRIP % "text"} AS t, y1 - y0 AS tall, CASE WHEN id LIKE 'region-%' THEN split_part(id, ':', 1) ELSE 'body' END AS region FROM noted_),
+us AS (SELECT book_id, page, region, coalesce(median(tall) FILTER (WHERE type <> 'heading' AND y0 > 0.15::double * height AND y0 < 0.5::double * height AND length(t) > 3), median(tall) FILTER (WHERE type <> 'heading' AND y0 < 0.72::double * height), 0) AS usual FROM noted GROUP BY ALL),
+od AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, region ORDER BY reading_order, pos) AS i FROM noted JOIN us USING (book_id, page, region) WHERE usual > 0),
+ws AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, region ORDER BY i) AS w FROM od WHERE type <> 'heading' AND y0 > 0.1::double * height AND x1 - x0 > 0.45::double * width),
+sa AS (SELECT o.book_id, o.page, o.region, o.i, any_value(o.usual) AS usual, any_value(o.y0) AS y0, max(w.w) AS lastw FROM od o LEFT JOIN ws w ON w.book_id = o.book_id AND w.page = o.page AND w.region = o.region AND w.i < o.i
+ WHERE o.type <> 'heading' AND o.y0 >= 0.45::double * o.height AND regexp_matches(o.t, '^(\\(?[0-9]{{1,3}}\\)|\\[[0-9]{{1,3}}\\]|[0-9]{{1,3}}\\.\\s|[*†‡§])\\s*\\S') GROUP BY o.book_id, o.page, o.region, o.i),
+sz AS (SELECT s.book_id, s.page, s.region, s.i, any_value(s.y0) AS sy, coalesce(median(w.tall), any_value(s.usual)) AS size FROM sa s LEFT JOIN ws w ON w.book_id = s.book_id AND w.page = s.page AND w.region = s.region AND w.w > s.lastw - 3 AND w.w <= s.lastw GROUP BY s.book_id, s.page, s.region, s.i),
+st AS (SELECT z.*, coalesce(min(o.i) FILTER (WHERE o.type = 'heading' OR o.y0 < sy - size OR o.tall > 1.15::double * size), max(o.i) + 1) AS stop FROM sz z JOIN od o ON o.book_id = z.book_id AND o.page = z.page AND o.region = z.region AND o.i >= z.i GROUP BY ALL),
+ok AS (SELECT s.book_id, s.page, s.region, s.i, any_value(stop) AS stop FROM st s JOIN od o ON o.book_id = s.book_id AND o.page = s.page AND o.region = s.region AND o.i >= s.i AND o.i < s.stop AND o.t <> '' AND NOT regexp_matches(o.t, '^\\p{{Nd}}+$') GROUP BY s.book_id, s.page, s.region, s.i HAVING median(o.tall) <= 0.94::double * any_value(size)),
+fi AS (SELECT book_id, page, region, min(i) AS i, arg_min(stop, i) AS stop FROM ok GROUP BY ALL),
+fn AS (SELECT o.book_id, o.page, o.id, o.t FROM od o JOIN fi ON o.book_id = fi.book_id AND o.page = fi.page AND o.region = fi.region AND o.i >= fi.i AND o.i < fi.stop WHERE o.t <> '' AND NOT regexp_matches(o.t, '^\\p{{Nd}}+$')),
+nt AS (SELECT *, CAST(nullif(regexp_extract(t, '^[\\[(]?([0-9]{{1,3}})[.)\\]]', 1), '') AS INT) AS n FROM fn), rest AS (SELECT * FROM noted ANTI JOIN fn USING (book_id, page, id))"""
+_REFS = """SELECT DISTINCT s.book_id, s.page, s.id FROM rest s JOIN nt ON s.book_id = nt.book_id AND s.page = nt.page AND CAST(nt.n AS VARCHAR) = s.t JOIN rest b ON b.book_id = s.book_id AND b.page = s.page AND b.id <> s.id
+ WHERE regexp_matches(s.t, '^[0-9]{1,3}$') AND length(b.t) >= 8 AND s.y1 > s.y0 AND s.y1 - s.y0 <= (b.y1 - b.y0) * 0.85::double AND s.x0 BETWEEN b.x1 - (b.y1 - b.y0) * 0.6::double AND b.x1 + (b.y1 - b.y0) * 0.7::double
+ AND s.y0 BETWEEN b.y0 - (b.y1 - b.y0) * 0.4::double AND b.y0 + (b.y1 - b.y0) * 0.25::double AND s.y1 <= b.y1"""
+_NOTELESS = (
+    _SIMPLE.replace(f"WITH {B.BLOCKS_SQL}", _FOOT.replace("blocks AS (", "plain AS (", 1).replace("FROM blocks", "FROM plain") + f", rf AS ({_REFS}), blocks AS (SELECT * FROM noted_)", 1)
+    .replace("margin AS (SELECT * FROM m1 UNION SELECT * FROM m2)", "margin AS (SELECT * FROM m1 UNION SELECT * FROM m2 UNION SELECT book_id, page, id FROM fn UNION SELECT * FROM rf)").replace("nt AS (SELECT *, regexp_replace(regexp_replace", "mt AS (SELECT *, regexp_replace(regexp_replace").replace("FROM nt a JOIN nt b", "FROM mt a JOIN mt b")
+    .replace("s AS (SELECT *, CASE WHEN coalesce", "sx AS (SELECT *, CASE WHEN coalesce").replace("AS para FROM s),", "AS para FROM sx),")
+)
+
+
 def paragraphs(spark, sf_dir):
     blocks = B.document_blocks(spark, sf_dir)
     return L.simple_paragraphs(blocks, L.margins(blocks)).where("not stray").select("book_id", "page", "first", "text")
@@ -95,6 +120,16 @@ def rates(spark):
     return spark.createDataFrame(rows, "provider string, model string, input_price double, cached_price double, output_price double, verified boolean")
 
 
+def event_rates(spark, sf_dir):
+    """A registry as a caller's table would hold it: what each sort of event costs each user, by events; some unverified."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(c("o_orderpriority").alias("provider"), c("o_custkey").cast("string").alias("model"))
+    rows = rows.agg(F.count("*").alias("n"), F.max("o_orderkey").alias("k"))
+    price = lambda x: (x % 97 + 1).cast("double") / 8
+    return rows.select("provider", "model", price(c("k")).alias("input_price"), (price(c("k")) / 4).alias("cached_price"), price(c("k") + c("n")).alias("output_price"), (c("k") % 3 != 0).alias("verified"))
+
+
+_EVENT_RATES = """rates AS (SELECT o_orderpriority AS provider, CAST(o_custkey AS VARCHAR) AS model, (max(o_orderkey) % 97 + 1)::double / 8 AS input_price, (max(o_orderkey) % 97 + 1)::double / 8 / 4 AS cached_price,
+ ((max(o_orderkey) + count(*)) % 97 + 1)::double / 8 AS output_price, max(o_orderkey) % 3 <> 0 AS verified FROM orders GROUP BY ALL)"""
 _RATES = "rates AS (SELECT * FROM (VALUES ('user', 'a', 0.25::double, 0.025::double, 2.0::double, true), ('user', 'b', 1.0, 0.1, 8.0, true), ('assistant', 'a', 0.5, 0.05, 4.0, false)) v(provider, model, input_price, cached_price, output_price, verified))"
 _LIMIT = 0.000800005
 
@@ -126,9 +161,9 @@ def _shown(usage):
 def _without_notes(spark, sf_dir):
     """Simple paragraphs of pages without their heads, notes and references to notes, and the ids that were removed."""
     blocks = noted(spark, sf_dir)
-    removed = L.margins(blocks).unionByName(N.note_ids(blocks)).distinct()
-    paragraphs = L.simple_paragraphs(blocks, removed).select("book_id", "page", "first", "text", F.array_join("ids", ",").alias("ids"))
-    gone = L.removed_ids(blocks, removed).select("book_id", "page", F.lit(None).cast("int").alias("first"), F.lit(None).cast("string").alias("text"), "ids")
+    rows = stores.kept(spark, lambda: L.flagged(N.marked(blocks), L.margins(blocks), also=c("note") | c("ref")))
+    paragraphs = L.paragraphs_of(rows).select("book_id", "page", "first", "text", F.array_join("ids", ",").alias("ids"))
+    gone = L.removed_of(rows).select("book_id", "page", F.lit(None).cast("int").alias("first"), F.lit(None).cast("string").alias("text"), "ids")
     return paragraphs.unionByName(gone)
 
 
@@ -208,7 +243,7 @@ QUERIES = {
     "usage_split": lambda s, d: _parts(s, d).select("conv_id", "turn", "feature", "input_part", "output_part", "cached_part"),
     "usage_rollup": lambda s, d: _shown(U.rollup(U.snapshot(_parts(s, d), "conv_id", _LIMIT))),
     "usage_snapshot": lambda s, d: _shown(U.snapshot(_parts(s, d), "conv_id", _LIMIT)),
-    "default_models": lambda s, d: U.default_models(rates(s)),
+    "default_models": lambda s, d: U.default_models(event_rates(s, d)),
     "budget_release": _release,
     "model_rates": _rated,
     "budget_admission": _admission,
@@ -233,6 +268,8 @@ _CUT = "CASE WHEN length(@v) >= 3 * length(@s) AND length(@v) - length(replace(@
 _cut = lambda value, span: _CUT.replace("@v", value).replace("@s", span)
 _CHUNKS = f"{_BOOKS}, cs AS (SELECT *, greatest(1, least(3, pages // 4)) AS n FROM books), cz AS (SELECT *, CAST(ceil(pages / n) AS BIGINT) AS size FROM cs), ck AS (SELECT book_id, pages, size, unnest(range(1, pages + 1, size)) AS first FROM cz), chunks AS (SELECT book_id, first, least(pages, first + size - 1) AS last FROM ck)"
 ORACLE_SQL = {
+    "footnotes": f"{_FOOT} SELECT book_id, page, id FROM fn",
+    "paragraphs_without_notes": f"{_NOTELESS}, r AS (SELECT book_id, page, 0 AS part, pos, id FROM blocks LEFT JOIN (SELECT *, true AS gone FROM margin) USING (book_id, page, id) WHERE gone OR {_NUMBER} UNION ALL SELECT book_id, page, 1, first, ids FROM simple WHERE stray) SELECT book_id, page, first, text, ids FROM simple UNION ALL SELECT book_id, page, NULL, NULL, string_agg(id, ',' ORDER BY part, pos, id) FROM r GROUP BY book_id, page",
     "superscript_refs": f"{_NOTED} SELECT DISTINCT s.book_id, s.page, s.id FROM rest s JOIN nt ON s.book_id = nt.book_id AND s.page = nt.page AND CAST(nt.n AS VARCHAR) = s.t JOIN rest b ON b.book_id = s.book_id AND b.page = s.page AND b.id <> s.id WHERE regexp_matches(s.t, '^[0-9]{{1,3}}$') AND length(b.t) >= 8 AND s.y1 > s.y0 AND s.y1 - s.y0 <= (b.y1 - b.y0) * 0.85::double AND s.x0 BETWEEN b.x1 - (b.y1 - b.y0) * 0.6::double AND b.x1 + (b.y1 - b.y0) * 0.7::double AND s.y0 BETWEEN b.y0 - (b.y1 - b.y0) * 0.4::double AND b.y0 + (b.y1 - b.y0) * 0.25::double AND s.y1 <= b.y1",
     "review_batches": f"{_BATCHED} SELECT book_id, page, first, batch, slot FROM sel",
     "cache_hits": f"{_BATCHED} SELECT book_id, page, first, key, value FROM sel JOIN cache USING (key)",
@@ -243,7 +280,7 @@ ORACLE_SQL = {
     "usage_split": f"{_PARTS} SELECT * FROM parts",
     "usage_rollup": f"{_SNAPSHOT}, fe AS (SELECT feature, sum(cost) AS cost FROM pf GROUP BY feature) SELECT CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cost) AS BIGINT) AS cost, bool_or(limit_reached) AS limit_reached, (SELECT string_agg(feature || '=' || cost, ',' ORDER BY feature) FROM fe) AS features FROM sn",
     "usage_snapshot": f"{_SNAPSHOT} SELECT conv_id, input, output, cost, limit_reached, features FROM sn",
-    "default_models": f"WITH {_RATES} SELECT provider, model, input_price, cached_price, output_price FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY NOT verified, output_price, input_price, model) AS k FROM rates) WHERE k = 1",
+    "default_models": f"WITH {_EVENT_RATES} SELECT provider, model, input_price, cached_price, output_price FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY NOT verified, output_price, input_price, model) AS k FROM rates) WHERE k = 1",
     "budget_release": f"{_CALLS}, w AS (SELECT conv_id, turn, ((strlen(text) + 768) * 0.3::double + 300 * 1.7::double) / 1e6::double AS worst, {_PRICE} AS cost FROM calls), r AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) + sum(worst) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS spent FROM w) SELECT conv_id, turn, min((spent <= {_LIMIT * 2}::double)::INT) OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS admitted FROM r",
     "apply_glosses": f"{_SIMPLE}, g0 AS (SELECT book_id, page, first, text, left(text, 4) AS s1, right(text, 3) AS s3 FROM simple WHERE NOT stray), g1 AS (SELECT *, {_cut('text', 's1')} AS v1 FROM g0) SELECT book_id, page, first, {_cut('v1', 's3')} AS text FROM g1",
     "model_rates": f"{_CALLS}, {_RATES}, u AS (SELECT conv_id, turn, role AS provider, ['a', 'b', 'z'][turn % 3 + 1] AS model FROM calls), t AS (SELECT provider, max(input_price) AS i, max(cached_price) AS k, max(output_price) AS o FROM rates GROUP BY provider) SELECT conv_id, turn, provider, model, coalesce(input_price, i, 0) AS input_price, coalesce(cached_price, k, 0) AS cached_price, coalesce(output_price, o, 0) AS output_price, coalesce(verified, false) AS verified FROM u LEFT JOIN rates USING (provider, model) LEFT JOIN t USING (provider)",

@@ -79,7 +79,7 @@ def _over(f):
 
 
 def _recon(b, m):
-    return L.reconstruct(L.line_features(L.body_lines(b, m)), L.body_size(b))
+    return L.reconstruct(L.line_features(L.body_lines(b, m)))
 
 
 def document_words(spark, sf_dir):
@@ -96,13 +96,13 @@ _none = "book_id string, page int, id string"
 
 def _visual(spark, sf_dir):
     words = document_words(spark, sf_dir)
-    return N.visual_lines(L.body_lines(words, spark.createDataFrame([], _none)))
+    return N.visual_lines(L.body_lines(words, spark.createDataFrame([], _none))).drop("body")
 
 
 def _text_layer(spark, sf_dir):
     words = document_words(spark, sf_dir)
     removed = L.margins(words)
-    return L.reconstruct(L.line_features(N.visual_lines(L.body_lines(words, removed))), L.body_size(words))
+    return L.reconstruct(L.line_features(N.visual_lines(L.body_lines(words, removed))))
 
 
 #: Blocks that are words, and the lines one sees of them: on one height a gap of 80 pixels parts lines, so windows can tell.

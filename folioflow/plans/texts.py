@@ -67,6 +67,7 @@ QUERIES = {
     "excerpts": _query(lambda t: [T.excerpt(t, True, 24).alias("before"), T.excerpt(t, False, 24).alias("after")]),
     "typo_fixes": _one(lambda t: T.fix_typos(t, [("the", "teh"), ("der", "dre")])),
     "needs_review": _one(lambda t: T.needs_review(t, F.lit("body"))),
+    "review_structure": _one(lambda t: T.needs_review(t, F.lit("body"), {"structure"})),
     "review_features_off": _one(lambda t: T.needs_review(t, F.lit("body"), {"glosses", "spacing"})),
 }
 
@@ -101,6 +102,7 @@ ORACLE_SQL = {
     "junk_flag": _sql(junk_sql("text")),
     "stray_flag": f"WITH {SAMPLES_SQL}, q AS (SELECT part, id, text, {_S} AS t FROM samples), r AS (SELECT *, NOT regexp_matches(t, '{_NUMBERS}') AND regexp_matches(t, '[^IVXLCDM]') AS odd FROM q) SELECT part, id, length(t) BETWEEN 1 AND 2 AND ((5 < 15.0::double * 0.35::double AND 3 + length(text) < 15.0::double * 0.35::double) OR odd) AS tiny, length(t) BETWEEN 1 AND 2 AND odd AS normal FROM r",
     "excerpts": f"WITH {SAMPLES_SQL}, q AS (SELECT part, id, {_STRIP % f"regexp_replace(text, '{_WS}+', ' ', 'g')"} AS t FROM samples) SELECT part, id, right(t, 24) AS before, left(t, 24) AS after FROM q",
-    "needs_review": _sql(f"({_MIXED} OR regexp_matches(text, '[가-힣]{{12}}') OR regexp_matches(text, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}\\x{{00}}-\\x{{08}}\\x{{0B}}\\x{{0C}}\\x{{0E}}-\\x{{1F}}\\x{{3131}}-\\x{{318E}}]') OR {_HEADING} OR regexp_matches(text, '[()（）]') OR {_FIGURE})"),
+    "needs_review": _sql(f"({_STRIP % 'text'} <> '' AND ({_MIXED} OR regexp_matches(text, '[가-힣]{{12}}') OR regexp_matches(text, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}\\x{{00}}-\\x{{08}}\\x{{0B}}\\x{{0C}}\\x{{0E}}-\\x{{1F}}\\x{{3131}}-\\x{{318E}}]') OR {_HEADING} OR regexp_matches(text, '[()（）]') OR {_FIGURE}))"),
+    "review_structure": _sql(f"({_STRIP % 'text'} <> '' AND {_HEADING})"),
     "review_features_off": _sql("(regexp_matches(text, '[()（）]') OR regexp_matches(text, '[가-힣]{12}'))"),
 }
