@@ -223,7 +223,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records in which the stored replica of a damaged copy of pages differs from the stored pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     bits = shard_bits(pages)
-    primary, replica = (shared.scratch(stored(p, bits), "warc") for p in (pages, damaged(pages)))
+    primary, replica = (shared.scratch(stored(p, bits), "warc", "zstd") for p in (pages, damaged(pages)))
     return audit(primary, replica, bits).select("shard", "page_id", "low", "high", (F.col("high") - F.col("low")).alias("record_bytes"), "status")
 
 
