@@ -5,8 +5,11 @@ Margins are found by windows over pages, not by self-joins, so a text that is on
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,11 +239,55 @@ def neighbours(paragraphs: DataFrame) -> DataFrame:
 def merge_by_context(paragraphs: DataFrame, join=joins) -> DataFrame:
     """Paragraphs united where join(left, right) says so; ord is the first one's."""
     rows = neighbours(paragraphs).withColumn("joined", F.coalesce(F.col("left").isNotNull() & join(F.col("left"), F.col("text")), F.lit(False)))
-    rows = rows.withColumn("group", F.sum((~F.col("joined")).cast("int")).over(Window.partitionBy("book_id").orderBy("ord")))
+    return _united(rows.withColumn("group", F.sum((~F.col("joined")).cast("int")).over(Window.partitionBy("book_id").orderBy("ord"))))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """One paragraph of each group."""
     found = rows.groupBy("book_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "kind", "sources"))).alias("all"))
     return found.select("book_id", F.col("all")[0]["ord"].alias("ord"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), F.col("all")[0]["kind"].alias("kind"), F.flatten(F.transform("all", lambda x: x["sources"])).alias("sources"))
 
 
+def merge_with(paragraphs: DataFrame, analyse: Callable[[str], list[str]]) -> DataFrame:
+    """Paragraphs united by `joins` with an analyser's tags of words: a text's last and first one.
+
+    The left side is all that was joined so far, whose last tag may be another one than the last paragraph's. So each run of
+    body paragraphs is one fold; runs are told apart first, and are the unit of work. Only tags come from Python: what local
+    rules say of a boundary by its end and beginning is a column.
+    """
+    c = F.col
+    rows = neighbours(paragraphs)
+    order = Window.partitionBy("book_id").orderBy("ord")
+    rows = rows.withColumns({"run": F.sum(c("left").isNull().cast("int")).over(order), "local": F.coalesce(joins(c("left"), c("text")), F.lit(False)), "open": _is_open(c("left"), c("text"))})
+    rows = rows.select("book_id", "run", "ord", "text", "local", "open").repartition("book_id", "run").sortWithinPartitions("book_id", "run", "ord")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, text = None, ""
+        for batch in batches:
+            joined = []
+            for book, run, own, local, is_open in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
+                same = last == (book, run)
+                yes = same and (local or (is_open and _tagged(analyse(text), analyse(own))))
+                joined.append(yes)
+                last, text = (book, run), f"{text} {own}" if yes else own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(joined, pa.bool_())], ["book_id", "ord", "joined"])
+
+    kinds = dict(paragraphs.dtypes)
+    told = rows.mapInArrow(fold, f"book_id string, ord {kinds['ord']}, joined boolean")
+    rows = paragraphs.join(told, ["book_id", "ord"]).withColumn("group", F.sum((~c("joined")).cast("int")).over(order))
+    return _united(rows)
+
+
+def _is_open(left: Column, right: Column) -> Column:
+    """Whether both sides have text and the left one doesn't end a sentence."""
+    left = F.regexp_replace(left, rf"{T.SPACE}+\z", "")
+    return F.coalesce((left != "") & (T.strip(right) != "") & ~left.rlike(TERMINAL), F.lit(False))
+
+
+def _tagged(left: list[str], right: list[str]) -> bool:
+    return bool(left and left[-1] in DEPENDENT_LAST) or bool(right and re.match(DEPENDENT_FIRST, right[0]))
+
+
 def boundary_route(left: Column, right: Column, join=joins) -> Column:
     """join, ask (an outside judgement) or split for each boundary."""
     trimmed = F.regexp_replace(left, rf"{T.SPACE}+\z", "")

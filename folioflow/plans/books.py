@@ -13,6 +13,7 @@ from folioflow.operators import layout as L
 from folioflow.plans.layouts import _SIMPLE
 from folioflow.plans.texts import _STRIP, junk_sql
 from folioflow.sources import archive as A
+from folioflow.sources import book_format
 from folioflow.sources import blocks as B
 from folioflow.sources import recognised as S
 from folioflow.sources import stores
@@ -197,6 +198,14 @@ def _unknown(spark, sf_dir):
     return A.unknown_changes(own, stores.kept(spark, lambda: _stale(own)))
 
 
+def _source(spark, sf_dir):
+    """The books' blocks after they were published as files and read by the data source, each split by its documents."""
+    book_format.register(spark)
+    path = stores.shared_path(spark, "books")
+    books(spark, sf_dir).write.format("book").mode("append").save(path)
+    return spark.read.format("book").option("split", 1).load(path)
+
+
 _PARAS = f"{_SIMPLE}, ps AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, first) AS INT) AS ord, text FROM simple WHERE NOT stray)"
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _READ = f"{_PARAS}, rb AS (SELECT book_id, 'OEBPS/chapter.xhtml' AS document, ord AS idx, array_to_string(list_filter(string_split_regex(text, '[\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> ''), ' ') AS text FROM ps UNION ALL SELECT DISTINCT book_id, 'OEBPS/chapter.xhtml', 0, book_id FROM ps)"
@@ -222,6 +231,7 @@ QUERIES = {
     "edit_damaged_books": _edit_damaged,
     "edit_with_stale_indexes": _edit_stale,
     "unknown_changes": _unknown,
+    "books_source": _source,
     "read_blocks": lambda s, d: A.read_blocks(books(s, d)),
     "edit_round_trip": _round_trip,
     "junk_free_markup": lambda s, d: A.junk_free(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), c("html")).select("page_id", "n", "p"),
@@ -249,6 +259,7 @@ SELECT book_id, document, idx + CASE WHEN kind = 7 THEN 1 ELSE 0 END AS idx, tex
     "junk_free_markup": f"""WITH m AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages), u AS (SELECT page_id, CAST(unnest(range(len(ps))) AS INT) AS n, unnest(ps) AS p FROM m) SELECT page_id, n, p FROM u WHERE NOT {_JUNK}""",
     "edit_with_stale_indexes": f"{_READ} SELECT book_id, document, idx, CASE WHEN idx % 3 = 1 THEN 'new ' || idx ELSE text END AS text FROM rb",
     "unknown_changes": f"{_READ} SELECT book_id, document, CAST(idx + 100000 AS INT) AS idx, 'new ' || (idx + 100000) AS after FROM rb WHERE idx % 3 = 1",
+    "books_source": f"{_READ} SELECT * FROM rb",
     "read_blocks": f"{_READ} SELECT * FROM rb",
     "edit_round_trip": f"{_READ} SELECT book_id, document, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS INT) AS idx, CASE WHEN idx > 0 AND idx % 5 = 0 THEN '<new> & ' || text ELSE text END AS text FROM rb WHERE idx = 0 OR idx % 7 <> 0",
 }
