@@ -202,7 +202,9 @@ class Step:
         return starts, np.diff(np.r_[starts, len(own)])
 
     def by_shard(self) -> Iterator[tuple[int, slice]]:
-        starts = np.flatnonzero(np.r_[True, self.shard[1:] != self.shard[:-1]]) if len(self.shard) else []
+        if not len(self.shard):
+            return
+        starts = np.flatnonzero(np.r_[True, self.shard[1:] != self.shard[:-1]])
         for a, b in zip(starts, [*starts[1:], len(self.shard)], strict=True):
             yield int(self.shard[a]), slice(int(a), int(b))
 

@@ -25,7 +25,11 @@ TYPES = {
     "op8_toxicity_chain": "doc_id bigint, p_kind_1 double, p_kind_2 double, p_kind_3 double, p_toxic double, predicted int",
     "op9_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op11_elias_fano_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op12_tokenizer_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint",
+    "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
+NOT_DOCUMENTS = ("op2_warc_merkle_audit", "op13_source_divergence")
 _FOUND = {}
 
 
@@ -49,9 +53,9 @@ def docs(spark, sf_dir):
 def test_columns_and_rows(run, docs, name):
     types, rows = run(name)
     assert types == TYPES[name].split(", ")
-    if name != "op2_warc_merkle_audit":
+    if name not in NOT_DOCUMENTS:
         assert {r.doc_id for r in rows} == set(docs)
-    if name not in ("op2_warc_merkle_audit", "op7_sum_of_squares_packing"):
+    if name not in (*NOT_DOCUMENTS, "op7_sum_of_squares_packing"):
         assert len(rows) == len(docs)
 
 
@@ -150,6 +154,21 @@ def test_mix(run, docs):
     assert all(abs(taken[s] - wanted[s]) <= max(3 * r.size for r in rows) for s in wanted)
 
 
+def test_language_model(run, docs):
+    wanted = brute.language_model([(d, r.text) for d, r in docs.items()], 2, 32.0, 0.05)
+    for r in run("op11_elias_fano_lm")[1]:
+        held, n, known, tokens, base, score = wanted[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, tokens)
+        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=0.2)
+    held = [r for r in run("op11_elias_fano_lm")[1] if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_alignment(run, docs):
+    wanted = brute.alignment([(d, r.text) for d, r in docs.items()])
+    assert {r.doc_id: tuple(r)[1:] for r in run("op12_tokenizer_alignment")[1]} == wanted
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql_of_the_package(spark, sf_dir, name):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == oracle(queries.ORACLE_SQL[name], sf_dir)
