@@ -114,6 +114,32 @@ def stored(pages: DataFrame, bits: int, segment: int = SEGMENT) -> DataFrame:
     return rows.groupBy("shard", "segment").applyInArrow(join, STORE)
 
 
+def stored_twice(pages: DataFrame, other: Column, times: Column, bits: int, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """STORE of pages, and of a replica in which a page has another html (where that isn't null) and is there so many times.
+
+    Both are cut from the same records, which are shuffled once; segments of both hold the same pages. All bytes of both are written.
+    """
+    id_, url, html = (F.col(c) for c in ("page_id", "url", "html"))
+    rows = pages.select(key_of(id_, url).alias("key"), id_.cast("long").alias("page_id"), record(id_, url, html).alias("record"), F.when(other.isNotNull(), record(id_, url, other)).alias("other"), times.cast("int").alias("times"))
+    rows = rows.withColumn("shard", F.shiftright("key", KEY - bits).cast("int"))
+    order = Window.partitionBy("shard").orderBy("key", "page_id", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda size: F.coalesce(F.sum(size.cast("long")).over(order), F.lit(0).cast("long"))
+    rows = rows.withColumns({"offset": before(F.length("record")), "second": before(F.col("times") * F.coalesce(F.length("other"), F.length("record")))})
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("offset", "ascending")])
+        own = table.column("record").to_pylist()
+        copies = [(o if o is not None else r) * n for r, o, n in zip(own, table.column("other").to_pylist(), table.column("times").to_pylist(), strict=True)]
+        first = lambda name: [table.column(name)[0].as_py()] * 2
+        columns = [pa.array(first("shard"), pa.int32()), pa.array(first("segment"), pa.int64()), pa.array([table.column(c)[0].as_py() for c in ("offset", "second")], pa.int64()), pa.array([b"".join(own), b"".join(copies)], pa.binary())]
+        return pa.table([*columns, pa.array(["primary", "replica"])], [*(x.split()[0] for x in STORE.split(", ")), "replica"])
+
+    rows = rows.select("shard", F.floor(F.col("offset") / segment).alias("segment"), "offset", "second", "record", "other", "times")
+    path = shared.scratch_path(pages.sparkSession, "warc")
+    rows.groupBy("shard", "segment").applyInArrow(join, STORE + ", replica string").write.partitionBy("replica").parquet(path, compression="zstd")
+    return tuple(pages.sparkSession.read.schema(STORE).parquet(f"{path}/replica={name}") for name in ("primary", "replica"))
+
+
 def records(store: DataFrame) -> DataFrame:
     """RECORDS of a store: what its bytes hold. An unreadable stretch is placed by the record before it, in before_id and before_url."""
 
@@ -212,18 +238,26 @@ def audit(primary: DataFrame, replica: DataFrame, bits: int) -> DataFrame:
     return aligned(found.withColumn("node", F.shiftright("key", KEY - bits - CHILDREN * depth)).join(differ, "node", "left_semi"))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """pages for a replica to audit: one in 97 has its first character overwritten, one in 211 is lost, one in 307 is there twice."""
+def damage() -> tuple[Column, Column]:
+    """The html (null: the same) and the times of a page in a replica to audit: one in 97 has its first character overwritten, one
+    in 211 is lost, one in 307 is there twice."""
     hit = (F.col("page_id") % 97 == 13) & (F.substring("html", 1, 1) != "#")
-    rows = pages.where("coalesce(page_id % 211 <> 5, true)").withColumn("html", F.when(hit, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    return rows.withColumn("times", F.when(F.col("page_id") % 307 == 7, 2).otherwise(1)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "k")
+    times = F.when(F.col("page_id") % 211 == 5, 0).when(F.col("page_id") % 307 == 7, 2).otherwise(1)
+    return F.when(hit, F.concat(F.lit("#"), F.expr("substring(html, 2)"))), times
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """pages as the replica of `damage` has them."""
+    other, times = damage()
+    rows = pages.withColumn("times", times).withColumn("html", F.coalesce(other, F.col("html"))).where("times > 0")
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "k")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records in which the stored replica of a damaged copy of pages differs from the stored pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     bits = shard_bits(pages)
-    primary, replica = (shared.scratch(stored(p, bits), "warc", "zstd") for p in (pages, damaged(pages)))
+    primary, replica = stored_twice(pages, *damage(), bits)
     return audit(primary, replica, bits).select("shard", "page_id", "low", "high", (F.col("high") - F.col("low")).alias("record_bytes"), "status")
 
 

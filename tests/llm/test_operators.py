@@ -502,6 +502,14 @@ def test_bound_counts_labels_of_documents(spark, monkeypatch):
 PAGES = "page_id long, url string, html string"
 
 
+def test_stores_of_one_shuffle(spark):
+    """A store and its replica are what two stores of their own would hold, record by record and offset by offset."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "é<p>" * (k % 7)) for k in range(700)] + [(None, "u", None)], PAGES)
+    for store, own in zip(warc_audit.stored_twice(pages, *warc_audit.damage(), 2, 900), (pages, warc_audit.damaged(pages)), strict=True):
+        columns = ["shard", "offset", "length", "page_id", "url", "hash", "readable"]
+        assert sorted(map(str, warc_audit.records(store).select(columns).collect())) == sorted(map(str, warc_audit.records(warc_audit.stored(own, 2, 900)).select(columns).collect()))
+
+
 def audited(primary, replica, bits):
     return warc_audit.audit(*(shared.scratch(warc_audit.stored(p, bits, 700), "warc") for p in (primary, replica)), bits)
 
