@@ -53,11 +53,7 @@ def decided(paragraphs: DataFrame, judge: Judge, excerpt: int = 240, store: str
     return rows.withColumns({"joined": (F.col("route") == "join") | F.coalesce("yes", F.lit(False)), "source": F.coalesce("source", F.lit("local"))}).drop("yes")
 
 
-def united(rows: DataFrame) -> DataFrame:
-    """book_id, ord, text, kind, sources of paragraphs, each joined to the one before where its row says so."""
-    rows = rows.withColumn("group", F.sum((~F.col("joined")).cast("int")).over(Window.partitionBy("book_id").orderBy("ord")))
-    found = rows.groupBy("book_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "kind", "sources"))).alias("all"))
-    return found.select("book_id", F.col("all")[0]["ord"].alias("ord"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), F.col("all")[0]["kind"].alias("kind"), F.flatten(F.transform("all", lambda x: x["sources"])).alias("sources"))
+united = L.united
 
 
 def boundary_audit(rows: DataFrame) -> DataFrame:

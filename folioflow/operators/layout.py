@@ -56,6 +56,36 @@ def margin_candidates(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame
     return rows.where(kept).select("book_id", "page", "id", "side", ((c("y0") + c("y1")) / (2 * c("height"))).alias("place"), c("bare").alias("text"))
 
 
+#: Pages of a range, and paragraphs of one, that are one unit of work in a book.
+RANGE, PARAGRAPHS = 512, 4096
+
+
+def range_of(at: Column, size: int = RANGE) -> Column:
+    return F.floor(at / size).cast("int")
+
+
+def carried(rows: DataFrame, range_: str, order: list[str], values: list[str]) -> DataFrame:
+    """rows with last: a struct of the values of the row before in the book's order, null for a book's first.
+
+    Ranges are ordered apart; the last row of each is carried to the next range that has rows.
+    """
+    own, value = Window.partitionBy("book_id", range_).orderBy(*order), F.struct(*values)
+    rows = rows.withColumns({"last": F.lag(value).over(own), "final": F.lead(F.lit(True)).over(own).isNull(), "head": F.lag(F.lit(True)).over(own).isNull()})
+    ends = rows.where("final").select("book_id", range_, value.alias("end"))
+    ends = ends.withColumn("carry", F.lag("end").over(Window.partitionBy("book_id").orderBy(range_))).drop("end")
+    return rows.join(ends, ["book_id", range_]).withColumn("last", F.when(F.col("head"), F.col("carry")).otherwise(F.col("last"))).drop("carry", "head", "final")
+
+
+def counted(rows: DataFrame, range_: str, order: list[str], flag: Column, name: str) -> DataFrame:
+    """rows with how many flags there are up to each in the book's order: counted in ranges, and before each range."""
+    own, book = Window.partitionBy("book_id", range_), Window.partitionBy("book_id")
+    rows = rows.withColumn("flag", flag.cast("long"))
+    sums = rows.groupBy("book_id", range_).agg(F.sum("flag").alias("sum"))
+    sums = sums.withColumn("before", F.sum("sum").over(book.orderBy(range_)) - F.col("sum")).drop("sum")
+    rows = rows.withColumn(name, F.sum("flag").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(sums, ["book_id", range_]).withColumn(name, F.col(name) + F.col("before")).drop("before", "flag")
+
+
 def _text_key() -> tuple[Column, Column]:
     """The key of a text without a page number fused to it, and whether there is one."""
     label = F.regexp_replace("text", r"\A(?U:\d){1,4}|(?U:\d){1,4}\z", "")
@@ -69,13 +99,19 @@ def _offset_key() -> tuple[Column, Column]:
 
 
 def _recurring(candidates: DataFrame, layout: Layout, **pages: int) -> DataFrame:
-    """Candidates that have a key (text, offset) in place on enough pages within so many pages; one window for all keys."""
+    """Candidates that have a key (text, offset) in place on enough pages within so many pages; one window for all keys.
+
+    Pages are dealt to ranges, and those near a range's ends go to its neighbour too, so a head that is on all pages of a very
+    long book isn't one task.
+    """
     kinds = {"text": _text_key, "offset": _offset_key}
     keys = [F.when(there, F.struct(key.alias("key"), F.lit(n).alias("pages"))) for name, n in pages.items() for key, there in [kinds[name]()]]
     rows = candidates.withColumn("k", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))).select(*KEYS, "side", "place", "k.key", "k.pages")
-    widest = max(pages.values())
-    around = Window.partitionBy("book_id", "side", "key").orderBy("page").rangeBetween(-widest, widest)
-    rows = rows.withColumn("around", F.collect_set(F.struct("page", "place")).over(around))
+    widest, own = max(pages.values()), range_of(F.col("page"))
+    met = F.sequence(range_of(F.col("page") - widest), range_of(F.col("page") + widest))
+    rows = rows.withColumns({"own": own, "range": F.explode(met)})
+    around = Window.partitionBy("book_id", "side", "key", "range").orderBy("page").rangeBetween(-widest, widest)
+    rows = rows.withColumn("around", F.collect_set(F.struct("page", "place")).over(around)).where("range = own")
     near = F.filter("around", lambda x: (F.abs(x["page"] - F.col("page")) <= F.col("pages")) & (F.abs(x["place"] - F.col("place")) <= F.lit(layout.near)))
     return rows.where(F.size(F.array_distinct(F.transform(near, lambda x: x["page"]))) >= layout.least_pages).select(*KEYS)
 
@@ -188,25 +224,24 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def reconstruct(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def reconstruct(lines: DataFrame, sizes: DataFrame | None = None, pages: int = RANGE) -> DataFrame:
     """book_id, ord, text, kind, sources, lone of paragraphs that may go on over regions and pages; strays are left out.
 
     lines: line_features of blocks or of visual lines, whose sources are all their runs; sizes: body_size of all blocks, where
-    lines don't have it as body.
+    lines don't have it as body. A book's lines are ordered and numbered in ranges of pages, so a very long book is many tasks.
     """
     c = F.col
     if sizes is not None:
         lines = lines.drop("body").join(sizes.withColumnRenamed("size", "body"), ["book_id", "page"])
-    order = Window.partitionBy("book_id").orderBy("page", "region_ord", "reading_order", "pos")
-    last = lambda x: F.lag(x).over(order)
-    rows = lines.withColumns({"heading0": last("heading"), "y10": last("y1"), "x10": last("x1"), "height0": last("height"), "right0": last("right"), "page0": last("page"), "t0": last("t")})
+    order = ["page", "region_ord", "reading_order", "pos"]
+    rows = carried(lines.withColumn("range", range_of(c("page"), pages)), "range", order, ["heading", "y1", "x1", "height", "right", "page", "t"])
+    rows = rows.withColumns({f"{name}0": c("last")[x] for name, x in (("heading", "heading"), ("y1", "y1"), ("x1", "x1"), ("height", "height"), ("right", "right"), ("page", "page"), ("t", "t"))})
     starts = c("first") | c("heading") | c("indented") | c("item") | (c("gap") > c("size") * F.lit(1.8)) | F.coalesce("heading0", F.lit(False))
     goes_on = (
         c("first") & ~c("heading") & ~c("indented") & ~c("item") & (c("y10") > c("height0") * F.lit(0.84)) & (c("y0") < c("height") * F.lit(0.23))
         & (c("right0") - c("x10") < c("size") * F.lit(1.2)) & ~c("t0").rlike("[.!?。][”’\"')\\]]*\\z") & (c("page") - c("page0")).isin(0, 1) & ~c("heading0")
     )
-    rows = rows.withColumn("starts", starts & ~F.coalesce(goes_on, F.lit(False)) | c("page0").isNull())
-    rows = rows.withColumn("ord", F.sum(c("starts").cast("int")).over(order))
+    rows = counted(rows, "range", order, starts & ~F.coalesce(goes_on, F.lit(False)) | c("page0").isNull(), "ord")
     line = F.struct("page", "region_ord", "reading_order", "pos", "t", "ids", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
     found = rows.groupBy("book_id", "ord").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     one = c("lines")[0]
@@ -227,19 +262,23 @@ def joins(left: Column, right: Column, tags: tuple[Column, Column] | None = None
     return (left != "") & (right != "") & ~left.rlike(TERMINAL) & (open_ | tagged | words)
 
 
-def neighbours(paragraphs: DataFrame) -> DataFrame:
+def neighbours(paragraphs: DataFrame, size: int = PARAGRAPHS) -> DataFrame:
     """Paragraphs with left (the text before) where both are body and lie on one page or two that follow."""
-    order = Window.partitionBy("book_id").orderBy("ord")
-    before = F.lag(F.struct("text", "kind", F.element_at("sources", -1)["page"].alias("page"))).over(order)
-    rows = paragraphs.withColumn("before", before)
-    next_to = (F.col("before.kind") == "body") & (F.col("kind") == "body") & (F.col("sources")[0]["page"] - F.col("before.page")).isin(0, 1)
-    return rows.withColumn("left", F.when(next_to, F.col("before.text"))).drop("before")
+    last = F.element_at("sources", -1)["page"]
+    rows = carried(paragraphs.withColumns({"range": range_of(F.col("ord"), size), "ends": last}), "range", ["ord"], ["text", "kind", "ends"])
+    next_to = (F.col("last.kind") == "body") & (F.col("kind") == "body") & (F.col("sources")[0]["page"] - F.col("last.ends")).isin(0, 1)
+    return rows.withColumn("left", F.when(next_to, F.col("last.text"))).drop("last", "ends", "range")
 
 
 def merge_by_context(paragraphs: DataFrame, join=joins) -> DataFrame:
     """Paragraphs united where join(left, right) says so; ord is the first one's."""
     rows = neighbours(paragraphs).withColumn("joined", F.coalesce(F.col("left").isNotNull() & join(F.col("left"), F.col("text")), F.lit(False)))
-    return _united(rows.withColumn("group", F.sum((~F.col("joined")).cast("int")).over(Window.partitionBy("book_id").orderBy("ord"))))
+    return united(rows)
+
+
+def united(rows: DataFrame, size: int = PARAGRAPHS) -> DataFrame:
+    """book_id, ord, text, kind, sources of paragraphs, each joined to the one before where its row says so."""
+    return _united(counted(rows.withColumn("range", range_of(F.col("ord"), size)), "range", ["ord"], ~F.col("joined"), "group"))
 
 
 def _united(rows: DataFrame) -> DataFrame:
@@ -257,8 +296,8 @@ def merge_with(paragraphs: DataFrame, analyse: Callable[[str], list[str]]) -> Da
     """
     c = F.col
     rows = neighbours(paragraphs)
-    order = Window.partitionBy("book_id").orderBy("ord")
-    rows = rows.withColumns({"run": F.sum(c("left").isNull().cast("int")).over(order), "local": F.coalesce(joins(c("left"), c("text")), F.lit(False)), "open": _is_open(c("left"), c("text"))})
+    rows = counted(rows.withColumn("range", range_of(c("ord"), PARAGRAPHS)), "range", ["ord"], c("left").isNull(), "run")
+    rows = rows.withColumns({"local": F.coalesce(joins(c("left"), c("text")), F.lit(False)), "open": _is_open(c("left"), c("text"))})
     rows = rows.select("book_id", "run", "ord", "text", "local", "open").repartition("book_id", "run").sortWithinPartitions("book_id", "run", "ord")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +313,7 @@ def merge_with(paragraphs: DataFrame, analyse: Callable[[str], list[str]]) -> Da
 
     kinds = dict(paragraphs.dtypes)
     told = rows.mapInArrow(fold, f"book_id string, ord {kinds['ord']}, joined boolean")
-    rows = paragraphs.join(told, ["book_id", "ord"]).withColumn("group", F.sum((~c("joined")).cast("int")).over(order))
-    return _united(rows)
+    return united(paragraphs.join(told, ["book_id", "ord"]))
 
 
 def _is_open(left: Column, right: Column) -> Column:

@@ -120,6 +120,14 @@ lines AS (SELECT book_id, page, 'body' AS region, line, min(width) AS width, min
  1.0::double AS confidence, min(pos) AS reading_order, arg_min(type, pos) AS type, string_agg(id, ',' ORDER BY pos) AS ids FROM seen GROUP BY book_id, page, line)"""
 
 
+def _long(spark, sf_dir):
+    """All documents as one book, in ranges of sixteen pages, joined by context in ranges of seven paragraphs."""
+    blocks = B.document_blocks(spark, sf_dir, one_book=True)
+    rows = L.reconstruct(L.line_features(L.body_lines(blocks, L.margins(blocks))), pages=16)
+    rows = L.neighbours(rows, 7).withColumn("joined", F.coalesce(F.col("left").isNotNull() & L.joins(F.col("left"), F.col("text")), F.lit(False)))
+    return L.united(rows, 7)
+
+
 def _flat(df):
     return df.withColumn("sources", F.array_join(F.transform("sources", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["block_id"])), ","))
 
@@ -156,6 +164,7 @@ QUERIES = {
     "line_features": _over(lambda b, m: L.line_features(L.body_lines(b, m)).select("book_id", "page", "pos", *_flags)),
     "reconstruct_paragraphs": _over(lambda b, m: _flat(_recon(b, m)).select("book_id", "ord", "text", "kind", "sources")),
     "context_merge": _over(lambda b, m: _flat(L.merge_by_context(_recon(b, m))).select("book_id", "ord", "text", "kind", "sources")),
+    "one_long_book": lambda s, d: _flat(_long(s, d)).select("book_id", "ord", "text", "kind", "sources"),
     "boundary_triage": _over(lambda b, m: L.neighbours(_recon(b, m)).where("left is not null").select("book_id", "ord", L.boundary_route(F.col("left"), F.col("text")).alias("route"))),
     "listening_paragraphs": listening_paragraphs,
     "visual_lines": lambda s, d: _visual(s, d).withColumn("ids", F.array_join("ids", ",")),
@@ -170,6 +179,7 @@ dd AS (SELECT *, sum(d) OVER (PARTITION BY book_id, page, first ORDER BY i) AS d
 gg AS (SELECT book_id, page, first, text, min(depth) AS low, arg_max(depth, i) AS final, coalesce(string_agg(ch, '' ORDER BY i) FILTER (WHERE depth = 0 AND d = 0), '') AS kept FROM dd GROUP BY ALL),
 res AS (SELECT book_id, page, first, CASE WHEN low < 0 OR final <> 0 THEN text ELSE {_TIDY % "kept"} END AS text FROM gg)"""
 
+_MERGED = f"{_RECON}, {_NEXT}, cg AS (SELECT *, sum(CASE WHEN l IS NOT NULL AND {_JOIN} THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY ord) AS grp FROM nx) SELECT book_id, min(ord) AS ord, string_agg(text, ' ' ORDER BY ord) AS text, arg_min(kind, ord) AS kind, string_agg(sources, ',' ORDER BY ord) AS sources FROM cg GROUP BY book_id, grp"
 ORACLE_SQL = {
     "blocks_explode": f"WITH {B.BLOCKS_SQL} SELECT * FROM blocks",
     "invalid_blocks": _PLANTED,
@@ -185,7 +195,8 @@ ORACLE_SQL = {
     "region_metrics": f'{_LINES} SELECT book_id, page, region, baseline, "right", sz AS size FROM g',
     "line_features": f"{_LINES} SELECT book_id, page, pos, {', '.join(_flags)} FROM feat",
     "reconstruct_paragraphs": f"{_RECON} SELECT book_id, ord, text, kind, sources FROM recon",
-    "context_merge": f"{_RECON}, {_NEXT}, cg AS (SELECT *, sum(CASE WHEN l IS NOT NULL AND {_JOIN} THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY ord) AS grp FROM nx) SELECT book_id, min(ord) AS ord, string_agg(text, ' ' ORDER BY ord) AS text, arg_min(kind, ord) AS kind, string_agg(sources, ',' ORDER BY ord) AS sources FROM cg GROUP BY book_id, grp",
+    "context_merge": _MERGED,
+    "one_long_book": _MERGED.replace(B.BLOCKS_SQL, B.ONE_BOOK_SQL),
     "boundary_triage": f"{_RECON}, {_NEXT} SELECT book_id, ord, CASE WHEN {_JOIN} THEN 'join' WHEN {_STRIP % 'l'} <> '' AND {_T} <> '' AND NOT {_TERM} THEN 'ask' ELSE 'split' END AS route FROM nx WHERE l IS NOT NULL",
     "listening_paragraphs": f"{_SIMPLE}, {_PAREN_OUT} SELECT * FROM res WHERE text <> ''",
     "missing_pages": f"WITH {B.BLOCKS_SQL} SELECT book_id, page FROM pg WHERE page % 3 = 1",

@@ -38,11 +38,11 @@ def document_book() -> Column:
     return F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / PAGES).cast("string"))
 
 
-def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_blocks(spark: SparkSession, sf_dir: str, one_book: bool = False) -> DataFrame:
     """documents as books (source, and each PAGES ids), pages (by doc_id) and blocks (lines), with a running head and a foot on
-    each page. No book has more than PAGES pages, however large its source is."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("book_id", document_book())
-    page = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    each page. No book has more than PAGES pages, however large its source is; or all are one_book, whose pages are doc_id + 1."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("book_id", F.lit("all") if one_book else document_book())
+    page = (F.col("doc_id") + 1).cast("int") if one_book else F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
     docs = docs.select("book_id", page.alias("page"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     docs = docs.withColumn("n", F.size("lines")).withColumn("height", F.greatest(F.lit(1000), 200 + 25 * F.col("n")))
     length = lambda x: F.length(x).cast("int")
@@ -76,6 +76,10 @@ UNION ALL SELECT book_id, page, 1000, greatest(1000, 200 + 25 * len(ls)), 0, 'he
 UNION ALL SELECT book_id, page, 1000, greatest(1000, 200 + 25 * len(ls)), len(ls) + 1, 'foot', 'Chapter ' || chr(97 + page % 9) || page, 400, greatest(1000, 200 + 25 * len(ls)) - 25, 600, greatest(1000, 200 + 25 * len(ls)) - 10, 1.0, len(ls) + 1, 'line' FROM pg)"""
 
 
+#: The same as one book.
+ONE_BOOK_SQL = BLOCKS_SQL.replace("source || '/' || (doc_id // 500) AS book_id", "'all' AS book_id").replace("row_number() OVER (PARTITION BY book_id ORDER BY doc_id)", "doc_id + 1")
+
+
 def violations(blocks: DataFrame) -> DataFrame:
     """book_id, page, id, problem of each block that breaks a rule; a page's repeated ids are reported once each."""
     c = F.col
