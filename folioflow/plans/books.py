@@ -13,8 +13,9 @@ from folioflow.operators import layout as L
 from folioflow.plans.layouts import _SIMPLE
 from folioflow.plans.texts import _STRIP, junk_sql
 from folioflow.sources import archive as A
-from folioflow.sources import book_format
 from folioflow.sources import blocks as B
+from folioflow.sources import book_format
+from folioflow.sources import images as I
 from folioflow.sources import recognised as S
 from folioflow.sources import stores
 
@@ -206,6 +207,31 @@ def _source(spark, sf_dir):
     return spark.read.format("book").option("split", 1).load(path)
 
 
+def page_images(spark, sf_dir):
+    """Each document as an image of 60 by 80: its characters' codes, again and again, with a light gutter and a gap under a title."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "x")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(text, F.lit("x")).alias("t"))
+
+    def pixel(i):
+        x, y = i % 60, F.floor(i / 60)
+        light = ((y >= 20) & x.between(27, 26 + c("doc_id") % 6)) | y.between(9, 8 + c("doc_id") % 5)
+        return F.when(light, "x").otherwise(F.substring(c("t"), (i % F.length("t") + 1).cast("int"), F.lit(1)))
+
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4799)), pixel), "").cast("binary")
+    return docs.select("doc_id", F.lit(60).alias("width"), F.lit(80).alias("height"), pixels.alias("pixels"))
+
+
+#: Characters below @ are dark: blanks, digits, punctuation.
+_INK = 64
+_PIXELS = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', 'x', 'g') || 'x' AS t FROM documents), q AS (SELECT doc_id, t, CAST(unnest(range(4800)) AS INT) AS i FROM d),
+px AS (SELECT doc_id, i % 60 AS x, i // 60 AS y, NOT ((i // 60 >= 20 AND i % 60 BETWEEN 27 AND 26 + doc_id % 6) OR i // 60 BETWEEN 9 AND 8 + doc_id % 5) AND ascii(substr(t, CAST(i % length(t) + 1 AS BIGINT), 1)) < 64 AS dark FROM q),
+rw AS (SELECT doc_id, y FROM px WHERE y >= 6 AND y < 20 GROUP BY ALL HAVING count(*) FILTER (WHERE dark) >= 10 AND count(*) FILTER (WHERE dark) < 24),
+gp AS (SELECT doc_id, y, lag(y) OVER (PARTITION BY doc_id ORDER BY y) AS b FROM rw), tp AS (SELECT doc_id, min((b, y)) AS k FROM gp WHERE y - b > 2 AND b < 12.8 GROUP BY doc_id),
+cl AS (SELECT doc_id, x, count(*) FILTER (WHERE dark) AS n FROM px WHERE x >= 25 AND x < 34 AND y >= 20 AND y < 68 AND y % 2 = 0 GROUP BY ALL), lt AS (SELECT * FROM cl QUALIFY n <= min(n) OVER (PARTITION BY doc_id) + 3),
+rn AS (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS g FROM lt), rs AS (SELECT doc_id, min(x) AS a, max(x) AS b FROM rn GROUP BY doc_id, g), gt AS (SELECT doc_id, (a + b) // 2 AS gutter FROM rs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY b - a DESC, a) = 1),
+sp AS (SELECT doc_id, coalesce((k[1] + k[2]) // 2, 6) AS split, gutter FROM d LEFT JOIN tp USING (doc_id) LEFT JOIN gt USING (doc_id))"""
+
+
 _PARAS = f"{_SIMPLE}, ps AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, first) AS INT) AS ord, text FROM simple WHERE NOT stray)"
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _READ = f"{_PARAS}, rb AS (SELECT book_id, 'OEBPS/chapter.xhtml' AS document, ord AS idx, array_to_string(list_filter(string_split_regex(text, '[\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> ''), ' ') AS text FROM ps UNION ALL SELECT DISTINCT book_id, 'OEBPS/chapter.xhtml', 0, book_id FROM ps)"
@@ -232,6 +258,8 @@ QUERIES = {
     "edit_with_stale_indexes": _edit_stale,
     "unknown_changes": _unknown,
     "books_source": _source,
+    "page_splits": lambda s, d: I.splits(page_images(s, d), ["doc_id"], _INK),
+    "page_regions": lambda s, d: I.regions(page_images(s, d), ["doc_id"], _INK),
     "read_blocks": lambda s, d: A.read_blocks(books(s, d)),
     "edit_round_trip": _round_trip,
     "junk_free_markup": lambda s, d: A.junk_free(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), c("html")).select("page_id", "n", "p"),
@@ -260,6 +288,8 @@ SELECT book_id, document, idx + CASE WHEN kind = 7 THEN 1 ELSE 0 END AS idx, tex
     "edit_with_stale_indexes": f"{_READ} SELECT book_id, document, idx, CASE WHEN idx % 3 = 1 THEN 'new ' || idx ELSE text END AS text FROM rb",
     "unknown_changes": f"{_READ} SELECT book_id, document, CAST(idx + 100000 AS INT) AS idx, 'new ' || (idx + 100000) AS after FROM rb WHERE idx % 3 = 1",
     "books_source": f"{_READ} SELECT * FROM rb",
+    "page_splits": f"{_PIXELS} SELECT doc_id, CAST(split AS INT) AS bottom, CAST(gutter AS INT) AS gutter FROM sp",
+    "page_regions": f"{_PIXELS} SELECT doc_id, CASE WHEN y < split THEN 0 WHEN x < gutter THEN 1 ELSE 2 END AS region, CAST(min(x) AS INT) AS left, CAST(min(y) AS INT) AS top, CAST(max(x) + 1 AS INT) AS right, CAST(max(y) + 1 AS INT) AS bottom FROM px JOIN sp USING (doc_id) WHERE dark GROUP BY ALL",
     "read_blocks": f"{_READ} SELECT * FROM rb",
     "edit_round_trip": f"{_READ} SELECT book_id, document, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS INT) AS idx, CASE WHEN idx > 0 AND idx % 5 = 0 THEN '<new> & ' || text ELSE text END AS text FROM rb WHERE idx = 0 OR idx % 7 <> 0",
 }
