@@ -73,17 +73,17 @@ def test_regions_of_pixels(spark):
     from folioflow.sources import images as I
 
     page = np.full((400, 200), 255, np.uint8)
-    page[32:40, 50:150] = 0  # a title of eight rows, half the width
+    page[32:40, 50:120] = 0  # a title of eight rows
     page[80:380, 10:90] = page[80:380, 110:190] = 0
     page[60, 0:20] = 159
     schema = "id string, width int, height int, pixels binary"
-    rows = [("two", 200, 400, page.tobytes()), ("blank", 200, 400, b"\xff" * 80000), ("thin", 2, 10, bytes(20)), ("small", 200, 400, np.where(page == 159, 160, page).astype(np.uint8).tobytes())]
+    rows = [("two", 200, 400, page.tobytes()), ("blank", 200, 400, b"\xff" * 80000), ("thin", 1, 10, bytes(10)), ("small", 200, 400, np.where(page == 159, 160, page).astype(np.uint8).tobytes())]
     images = spark.createDataFrame(rows, schema)
     split = {r.id: (r.bottom, r.gutter) for r in I.splits(images, ["id"]).collect()}
     # rows 32-39 and 60 have ink enough: the first wide gap; from row 80 on rows are too dark to be a title's
     assert split == {"two": (49, 99), "blank": (30, 99), "thin": (0, None), "small": (30, 99)}
     found = {(r.id, r.region): tuple(r)[2:] for r in I.regions(images, ["id"]).collect()}
-    assert found[("two", 0)] == (50, 32, 150, 40) and found[("two", 1)] == (0, 60, 90, 380) and found[("two", 2)] == (110, 80, 190, 380)
-    assert not [k for k in found if k[0] == "blank"] and found[("thin", 1)] == (0, 0, 2, 10) and len(found) == 6
+    assert found[("two", 0)] == (50, 32, 120, 40) and found[("two", 1)] == (0, 60, 90, 380) and found[("two", 2)] == (110, 80, 190, 380)
+    assert not [k for k in found if k[0] == "blank"] and found[("thin", 1)] == (0, 0, 1, 10) and len(found) == 6
     with pytest.raises(Exception, match="width times height"):
         I.splits(spark.createDataFrame([("x", 3, 3, b"1")], schema), ["id"]).collect()
