@@ -49,11 +49,16 @@ def page_number(layout: Layout = Layout()) -> Column:
 
 def margin_candidates(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, id, side, place, text of compact blocks that lie in the outer bands; text without white space."""
+    return bands(blocks, layout).where("kept").select("book_id", "page", "id", "side", "place", "text")
+
+
+def bands(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """blocks with side, place, text without white space, and kept: whether they are candidates."""
     c = F.col
     side = F.when(c("y1") <= c("height") * F.lit(layout.zone), "top").when(c("y0") >= c("height") * F.lit(1 - layout.zone), "bottom")
     rows = blocks.withColumn("side", side).withColumn("bare", T.squeeze(c("text")))
     kept = c("side").isNotNull() & (c("type") != "heading") & F.length("bare").between(2, 60) & ~c("bare").rlike(r"\A\p{Nd}+\z") & (c("y1") - c("y0") <= c("height") * F.lit(layout.margin_height))
-    return rows.where(kept).select("book_id", "page", "id", "side", ((c("y0") + c("y1")) / (2 * c("height"))).alias("place"), c("bare").alias("text"))
+    return rows.withColumns({"kept": F.coalesce(kept, F.lit(False)), "place": (c("y0") + c("y1")) / (2 * c("height")), "text": c("bare")}).drop("bare")
 
 
 #: Pages of a range, and paragraphs of one, that are one unit of work in a book.
@@ -98,15 +103,20 @@ def _offset_key() -> tuple[Column, Column]:
     return F.concat(F.lit("offset "), (T.ascii_digits(number).cast("int") - F.col("page")).cast("string")), number != ""
 
 
+def keys_of(**pages: int) -> Column:
+    """The keys that a candidate has (of text, offset), each with the pages within which it is looked for."""
+    kinds = {"text": _text_key, "offset": _offset_key}
+    keys = [F.when(there, F.struct(key.alias("key"), F.lit(n).alias("pages"))) for name, n in pages.items() for key, there in [kinds[name]()]]
+    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+
+
 def _recurring(candidates: DataFrame, layout: Layout, **pages: int) -> DataFrame:
     """Candidates that have a key (text, offset) in place on enough pages within so many pages; one window for all keys.
 
     Pages are dealt to ranges, and those near a range's ends go to its neighbour too, so a head that is on all pages of a very
     long book isn't one task.
     """
-    kinds = {"text": _text_key, "offset": _offset_key}
-    keys = [F.when(there, F.struct(key.alias("key"), F.lit(n).alias("pages"))) for name, n in pages.items() for key, there in [kinds[name]()]]
-    rows = candidates.withColumn("k", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))).select(*KEYS, "side", "place", "k.key", "k.pages")
+    rows = candidates.withColumn("k", F.explode(keys_of(**pages))).select(*KEYS, "side", "place", "k.key", "k.pages")
     widest, own = max(pages.values()), range_of(F.col("page"))
     met = F.sequence(range_of(F.col("page") - widest), range_of(F.col("page") + widest))
     rows = rows.withColumns({"own": own, "range": F.explode(met)})
