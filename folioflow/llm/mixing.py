@@ -8,9 +8,9 @@ sorted.
 A source whose target is k times its size and a bit takes every document k times and the documents below the threshold
 once more, so no document is taken more than CAP times.
 
-The hash is that of the whole row and of its number among rows that are equal in all columns, so that neither null nor
-repeated ids, nor copies of one row, share a hash: a threshold takes some of them and leaves the others. Equal rows are
-numbered by where they lie, but what is taken of them is the same however they lie.
+The hash is that of doc_id, text and source, and of the row's number among those that are equal in these, so that neither
+null nor repeated ids, nor copies of one row, share a hash: a threshold takes some of them and leaves the others. Such rows
+are numbered by their other columns, and rows that are equal in all by where they lie, which doesn't show in what is taken.
 
 Cases: null text has size 0; null is a source of its own, the last; sources of size 0 have target 0 and take nothing; an
 empty table gives an empty result. Equal input gives equal results, however it is partitioned.
@@ -35,8 +35,9 @@ def size_of(text: Column) -> Column:
 
 
 def keys_of(docs: DataFrame) -> tuple[Column, Column]:
-    """Two hashes of a whole row."""
-    return tuple(F.xxhash64(F.lit(seed), *shared.columns(docs)) for seed in ("mix", "row"))
+    """A hash of a row's doc_id, text and source, and one of the whole row."""
+    own = [F.col("doc_id").cast("long"), F.col("text"), F.col("source").cast("string")]
+    return F.xxhash64(F.lit("mix"), *own), F.xxhash64(F.lit("row"), *shared.columns(docs))
 
 
 def hash_of(key: Column, number: Column) -> Column:
@@ -45,14 +46,14 @@ def hash_of(key: Column, number: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, a, b (the row's keys), n (how many rows are equal), h of every row of docs, written."""
+    """doc_id, source, size, a, b (the row's keys), n (how many rows have the first key), h of every row of docs, written."""
     a, b = keys_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), a.alias("a"), b.alias("b"))
     rows = shared.scratch(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "rows")
     # equal rows of one part are numbered there, and parts one after the other, so no task has all of them
-    own = Window.partitionBy("a", "b")
+    own = Window.partitionBy("a")
     parts = rows.groupBy("a", "b", "part").agg(F.count("*").alias("k"))
-    parts = parts.withColumns({"before": F.sum("k").over(own.orderBy("part")) - F.col("k"), "n": F.sum("k").over(own)}).drop("k")
+    parts = parts.withColumns({"before": F.sum("k").over(own.orderBy("b", "part")) - F.col("k"), "n": F.sum("k").over(own)}).drop("k")
     rows = rows.join(parts, ["a", "b", "part"]).withColumn("number", F.col("before") + F.row_number().over(Window.partitionBy("a", "b", "part").orderBy("at")) - 1)
     return shared.scratch(rows.select("doc_id", "source", "size", "a", "b", "n", hash_of(F.col("a"), F.col("number")).alias("h")), "sizes")
 
@@ -143,12 +144,13 @@ COPIES = 4096
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, by its own source and size; rows of size 0 don't count against a budget and stay once.
 
-    Rows that no other equals are decided where they are read. Equal ones are one row, put out as often as they are taken together.
+    Rows that share their doc_id, text and source with no other are decided where they are read. Of the others, rows that are equal
+    in all columns are one, put out as often as they are taken together.
     """
     rows = sized(docs)
     plan = planned(rows)
     a, b, own, n = (shared.private(docs, name) for name in ("a", "b", "copies", "n"))
-    taken = lambda size, h: F.when(size == 0, 1).otherwise(F.col("times") + (h < F.col("threshold")).cast("long"))
+    taken = lambda size, h, times="times", threshold="threshold": F.when(size == 0, 1).otherwise(shared.named(times) + (h < shared.named(threshold)).cast("long"))
     again = rows.where("n > 1").join(plan, rows["source"].eqNullSafe(plan["s"]))
     again = shared.scratch(again.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.sum(taken(F.col("size"), F.col("h"))).alias(own)), "equal")
 
@@ -156,8 +158,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = docs.withColumns({a: first, b: second})
     some = not again.isEmpty()
     one = found.join(again, [a, b], "left_anti") if some else found
-    one = one.join(plan, shared.named("source").cast("string").eqNullSafe(plan["s"]))
-    one = one.select(*shared.columns(docs), taken(size_of(shared.named("text")), hash_of(shared.named(a), F.lit(0))).alias(own))
+    whose, times, threshold = (shared.private(docs, name) for name in ("s", "times", "threshold"))
+    one = one.join(plan.select(F.col("s").alias(whose), F.col("times").alias(times), F.col("threshold").alias(threshold)), shared.named("source").cast("string").eqNullSafe(shared.named(whose)))
+    one = one.select(*shared.columns(docs), taken(size_of(shared.named("text")), hash_of(shared.named(a), F.lit(0)), times, threshold).alias(own))
     if some:
         row = shared.private(docs, "row")
         each = found.join(again.drop(own), [a, b], "left_semi").groupBy(shared.named(a), shared.named(b)).agg(F.first(F.struct(*shared.columns(docs))).alias(row))
