@@ -12,11 +12,13 @@ STEPS = 2
 
 
 def _starred(pairs: DataFrame) -> DataFrame:
-    """pairs (node, smaller root) with each node's roots linked to the smallest of them."""
-    least = F.min("root").over(Window.partitionBy("node"))
-    rows = pairs.withColumn("least", least)
-    both = F.explode(F.array(F.struct("node", F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root"))))
-    return rows.select(both.alias("p")).select("p.*").where("node <> root").distinct()
+    """pairs (node, smaller root), each once, with each node's roots linked to the smallest of them.
+
+    A pair makes one pair: that of the smallest root stays, another root is linked in its node's place, so no step has more
+    links than the one before.
+    """
+    rows = pairs.withColumn("least", F.min("root").over(Window.partitionBy("node")))
+    return rows.select(F.when(F.col("root") == F.col("least"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("least").alias("root")).distinct()
 
 
 def _jumped(forest: DataFrame) -> DataFrame:
