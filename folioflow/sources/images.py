@@ -19,6 +19,8 @@ from folioflow.sources import recognised as S
 DARK = 160
 TITLE = (0.075, 0.25)
 MIDDLE, BODY, EVERY = (0.42, 0.58), (0.25, 0.85), 2
+#: Images whose rows go out together.
+IMAGES = 256
 
 
 def _mapped(images: DataFrame, key: list[str], more: list[str], found: str, one) -> DataFrame:
@@ -28,15 +30,20 @@ def _mapped(images: DataFrame, key: list[str], more: list[str], found: str, one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                at = {c: batch.column(j)[k].as_py() for j, c in enumerate([*key, "width", "height", *more])}
-                data = batch.column(batch.num_columns - 1)[k]
-                if not data.is_valid or len(data.as_buffer()) != at["width"] * at["height"]:
-                    raise ValueError(f"pixels of {at}: not width times height")
-                rows = one(np.frombuffer(data.as_buffer(), np.uint8).reshape(at["height"], at["width"]), at)
+            for start in range(0, batch.num_rows, IMAGES):
+                part, rows, of = batch.slice(start, IMAGES), [], []
+                values = [part.column(j).to_pylist() for j in range(part.num_columns - 1)]
+                for k, own in enumerate(zip(*values, strict=True)):
+                    at = dict(zip([*key, "width", "height", *more], own, strict=True))
+                    data = part.column(part.num_columns - 1)[k]
+                    if not data.is_valid or len(data.as_buffer()) != at["width"] * at["height"]:
+                        raise ValueError(f"pixels of {at}: not width times height")
+                    told = one(np.frombuffer(data.as_buffer(), np.uint8).reshape(at["height"], at["width"]), at)
+                    rows += told
+                    of += [k] * len(told)
                 if rows:
-                    own = [pa.array([at[c]] * len(rows), batch.schema.field(c).type) for c in key]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int32()) for c in zip(*rows, strict=True))], [*key, *names])
+                    keys = [part.column(j).take(pa.array(of, pa.int32())) for j in range(len(key))]
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int32()) for c in zip(*rows, strict=True))], [*key, *names])
 
     return images.select(*key, "width", "height", *more, "pixels").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in key) + ", " + found)
 
@@ -50,7 +57,8 @@ def profiles(images: DataFrame, key: list[str], dark: int = DARK) -> DataFrame:
         rows = range(int(h * TITLE[0]), int(h * TITLE[1]))
         columns = range(int(w * MIDDLE[0]), int(w * MIDDLE[1]))
         body = own[int(h * BODY[0]) : int(h * BODY[1]) : EVERY]
-        return [(w, h, "row", y, int(own[y].sum())) for y in rows] + [(w, h, "column", x, int(body[:, x].sum())) for x in columns]
+        told = own[rows.start : rows.stop].sum(axis=1).tolist(), body[:, columns.start : columns.stop].sum(axis=0).tolist()
+        return [(w, h, "row", y, n) for y, n in zip(rows, told[0], strict=True)] + [(w, h, "column", x, n) for x, n in zip(columns, told[1], strict=True)]
 
     return _mapped(images, key, [], "width int, height int, side string, at int, dark int", one)
 
