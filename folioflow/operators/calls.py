@@ -119,7 +119,8 @@ def judge(service: Service, instructions: str, form: A.Form, shown: dict[str, st
     """A judge (questions -> answers) that calls the service batch by batch and answers what came back in form."""
 
     def answers(asked: DataFrame) -> DataFrame:
-        wanted = requests(asked, shown, most_output)
+        # written, as it is read for the calls and for the ids that were asked
+        wanted = stores.kept(asked.sparkSession, lambda: requests(asked, shown, most_output))
         found = made(wanted, service, instructions, form, path, before)
         return A.answers(found.join(wanted.select("book_id", "batch", "ids"), ["book_id", "batch"]), form)
 

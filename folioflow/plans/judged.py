@@ -12,6 +12,7 @@ from folioflow.operators import calls as C
 from folioflow.operators import review as R
 from folioflow.plans.judgement import paragraphs
 from folioflow.plans.layouts import _SIMPLE
+from folioflow.sources import stores
 
 c = F.col
 FEATURES = ["headings", "glosses"]
@@ -61,14 +62,14 @@ def _in_order(spark, sf_dir):
 
 def _schema(spark, sf_dir):
     """What is wrong with each response that came."""
-    wanted = _requests(_asked(spark, sf_dir))
+    wanted = stores.kept(spark, lambda: _requests(_asked(spark, sf_dir)))
     found = C.made(wanted, service(), INSTRUCTIONS, A.enhance_form(FEATURES)).where("status = 'answered'")
     return A.checked(found.join(wanted.select("book_id", "batch", "ids"), ["book_id", "batch"]), A.enhance_form(FEATURES)).select("book_id", "batch", "problem")
 
 
 def _once(spark, sf_dir):
     """Each question's answer."""
-    asked = _asked(spark, sf_dir)
+    asked = stores.kept(spark, lambda: _asked(spark, sf_dir))
     judge = C.judge(service(), INSTRUCTIONS, A.enhance_form(FEATURES), {"text": "text"}, lambda n, size, length: U.output_ceilings(n, size, length)["enhance"])
     found = R.answered(asked, judge(asked))
     return found.select("book_id", "batch", "id", "source", F.get_json_object("answer", "$.heading_level").cast("int").alias("heading_level"))

@@ -85,7 +85,7 @@ def _cached(hit):
 
 
 def _answers(spark, sf_dir):
-    ask = selected(spark, sf_dir).select("book_id", "batch", c("slot").alias("id"))
+    ask = stores.kept(spark, lambda: selected(spark, sf_dir).select("book_id", "batch", c("slot").alias("id")))
     got = ask.withColumn("answer", F.concat(F.lit("a"), c("id").cast("string")))
     got = got.where("not (batch % 5 = 2 and id = 0)")
     twice = got.where("batch % 7 = 3 and id = 1")
