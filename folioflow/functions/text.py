@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Fixed values
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_SPACE = "[^" + SPACE[1:]
+#: The same for patterns that look at every character: one table for Latin-1, the rest behind one range.
+_SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 #: The same one by one: at a text's ends they are cut off without a pattern, which would be tried at every blank inside.
 SPACES = "".join(chr(k) for a, b in ((9, 13), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for k in range(a, b + 1))
 HANGUL = "[가-힣]"
@@ -41,7 +43,7 @@ def strip_start(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(text, f"{_SPACE}+", " "))
 
 
 def ascii_digits(text: Column) -> Column:
@@ -52,12 +54,12 @@ def ascii_digits(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(text, SPACE, "")
+    return F.regexp_replace(text, f"{_SPACE}+", "")
 
 
 def tidy(text: Column) -> Column:
     """No white space before punctuation, runs of blanks as one space, none at the ends."""
-    closed = F.regexp_replace(text, f"{SPACE}+([.,!?、。])", "$1")
+    closed = F.regexp_replace(text, f"{_SPACE}+([.,!?、。])", "$1")
     return strip(F.regexp_replace(closed, "[ \t]{2,}", " "))
 
 
@@ -82,20 +84,16 @@ def remove_parenthetical(text: Column) -> Column:
 def correct_spacing(text: Column, proposed: Column) -> Column:
     """The proposed spaces between two Hangul syllables, the text's own elsewhere; the text if other characters differ.
 
-    Both are cut into characters with the white space before each; equal lists of characters are zipped.
+    Stretches of Hangul, with the white space inside, are cut out of both: where other characters are equal, there are as many,
+    and the proposed ones take the place of the text's. Work is for each stretch, not for each character.
     """
-    cut = lambda c: F.regexp_extract_all(c, F.lit(f"({SPACE}*[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000])"), F.lit(1))
-    last = lambda x: F.right(x, F.lit(1))
-    # arrays are made once and zipped: inside the function they would be made anew for each character
-    rows = F.arrays_zip(cut(text).alias("mine"), cut(proposed).alias("theirs"), F.concat(F.array(F.lit("")), cut(text)).alias("before"))
-
-    def chosen(x: Column) -> Column:
-        return F.when(last(x["before"]).rlike(HANGUL) & last(x["mine"]).rlike(HANGUL), x["theirs"]).otherwise(x["mine"])
-
-    spaced = F.array_join(F.transform(rows, chosen), "")
-    tail = F.regexp_extract(text, f"({SPACE}*)\\z", 1)
-    same = squeeze(text) == squeeze(proposed)
-    return F.when(same, F.concat(spaced, tail)).otherwise(text)
+    inside = HANGUL[:-1] + SPACE[1:]
+    stretch = f"{HANGUL}(?:{inside}*{HANGUL})?"
+    rows = F.arrays_zip(F.split(text, stretch, -1).alias("mine"), F.regexp_extract_all(proposed, F.lit(f"({stretch})"), F.lit(1)).alias("theirs"))
+    spaced = F.array_join(F.flatten(F.transform(rows, lambda x: F.array(x["mine"], x["theirs"]))), "")
+    # a text without two syllables side by side has nothing to be replaced
+    there = text.rlike(f"{HANGUL}{_SPACE}*{HANGUL}") & (squeeze(text) == squeeze(proposed))
+    return F.when(there, spaced).otherwise(text)
 
 
 def is_corrupt(text: Column) -> Column:

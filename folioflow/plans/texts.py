@@ -45,8 +45,7 @@ _SPACED = f"array_to_string(list_transform(range(1, length(x) + 1), lambda i: (C
 
 def _respaced(t):
     """A proposal that puts a space before every third character, as a stand-in for a model's."""
-    bare = T.squeeze(t)
-    return F.array_join(F.transform(F.split(bare, ""), lambda c, i: F.when((i > 0) & ((i + 1) % 3 == 0), F.concat(F.lit(" "), c)).otherwise(c)), "")
+    return F.regexp_replace(T.squeeze(t), "(?s)(..)(.)", "$1 $2")
 
 
 QUERIES = {

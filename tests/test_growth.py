@@ -84,3 +84,33 @@ def test_white_space_at_the_ends_is_what_the_pattern_says(spark):
     for t, both, start, end in found:
         assert (both, start, end) == (re.sub(rf"\A{T.SPACE}+|{T.SPACE}+\Z", "", t), re.sub(rf"\A{T.SPACE}+", "", t), re.sub(rf"{T.SPACE}+\Z", "", t))
     assert len(T.SPACES) == len(set(T.SPACES)) == int(np.sum([bool(re.match(T.SPACE, chr(k))) for k in range(0x10000)]))
+
+
+def test_spaces_are_corrected_by_stretches_of_hangul(spark):
+    import random
+    import re
+
+    space = re.compile(T.SPACE)
+
+    def cut(t):
+        return re.findall(f"({T.SPACE}*{T.NOT_SPACE})", t)
+
+    def wanted(text, proposed):
+        if space.sub("", text) != space.sub("", proposed):
+            return text
+        hangul, out, last = lambda x: "가" <= x[-1] <= "힣", "", ""
+        for a, b in zip(cut(text), cut(proposed), strict=True):
+            out, last = out + (b if last and hangul(last) and hangul(a) else a), a
+        return out + re.search(f"({T.SPACE}*)\\Z", text)[1]
+
+    r, pairs = random.Random(1), [("", ""), ("  ", ""), ("가나", "가 나 다"), ("가", " 가 ")]
+    for _ in range(400):
+        bare = "".join(r.choice("가나힣a1.😀ㄱ") for _ in range(r.randrange(9)))
+        pairs.append(tuple("".join(r.choice(["", "", " ", "　", "\x1c "]) + x for x in [*bare, ""]) for _ in range(2)))
+    rows = spark.createDataFrame(pairs, "t string, p string").select("t", "p", T.correct_spacing(F.col("t"), F.col("p")).alias("x")).collect()
+    assert [x.x for x in rows] == [wanted(x.t, x.p) for x in rows]
+    assert spark.range(1).select(T.correct_spacing(F.lit("가 나"), F.lit(None).cast("string"))).first()[0] == "가 나"
+    long = spark.range(1600, numPartitions=4).select(F.concat(F.repeat(F.lit("plain words "), 1000), F.repeat(F.lit("가나 다라a "), 1000), F.col("id").cast("string")).alias("t"))
+    began = time.monotonic()
+    long.select(T.correct_spacing(F.col("t"), F.replace("t", F.lit("가나"), F.lit("가 나")))).write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - began < 12
