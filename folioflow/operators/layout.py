@@ -51,9 +51,14 @@ def page_number(layout: Layout = Layout()) -> Column:
 def margin_candidates(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """book_id, page, id, side, place, text of compact blocks that lie in the outer bands; text without white space."""
     c = F.col
-    outer = (c("y1") <= c("height") * F.lit(layout.zone)) | (c("y0") >= c("height") * F.lit(1 - layout.zone))
+    top = c("y1") <= c("height") * F.lit(layout.zone)
     # boxes tell first: texts of the page's middle aren't looked at
-    return bands(blocks.where(outer), layout).where("kept").select("book_id", "page", "id", "side", "place", "text")
+    rows = blocks.where(top | (c("y0") >= c("height") * F.lit(1 - layout.zone)))
+    compact = (c("type") != "heading") & (c("y1") - c("y0") <= c("height") * F.lit(layout.margin_height))
+    kept = lambda bare: compact & F.length(bare).between(2, 60) & ~bare.rlike(r"\A\p{Nd}+\z")
+    # as one of an array, white space is taken out once; a filter of it would go below the column and take it out for each use
+    bare = F.explode(F.filter(F.array(T.squeeze(c("text"))), kept))
+    return rows.select("book_id", "page", "id", F.when(top, "top").otherwise("bottom").alias("side"), ((c("y0") + c("y1")) / (2 * c("height"))).alias("place"), bare.alias("text"))
 
 
 def bands(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -195,10 +200,10 @@ def paragraphs_of(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"t0": last("t"), "type0": last("type"), "x00": last("x0"), "y10": last("y1"), "h0": F.greatest(F.lit(1), last(c("y1") - c("y0")))})
     starts = c("t0").isNull() | (c("t0") == "") | (c("type") == "heading") | (c("type0") == "heading") | (c("y0") - c("y10") > c("h0") * F.lit(0.9)) | (c("x0") - c("x00") > c("h0") * F.lit(1.5))
     rows = rows.withColumn("starts", starts).withColumn("para", F.sum(c("starts").cast("int")).over(order)).where("t <> ''")
-    line = F.struct("reading_order", "pos", "t", "id", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
+    line = F.struct("reading_order", "pos", "t", "id", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
     found = rows.groupBy("book_id", "page", "para").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     one = c("lines")[0]
-    stray = (F.size("lines") == 1) & T.is_stray(one["text"], one["w"], one["h"], one["body"])
+    stray = (F.size("lines") == 1) & T.is_stray(one["t"], one["w"], one["h"], one["body"])
     return found.select("book_id", "page", one["pos"].alias("first"), F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.transform("lines", lambda x: x["id"]).alias("ids"), stray.alias("stray"))
 
 
@@ -243,35 +248,64 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def reconstruct(lines: DataFrame, sizes: DataFrame | None = None, pages: int = RANGE, written: bool = False) -> DataFrame:
+def pieces_of(lines: DataFrame) -> DataFrame:
+    """book_id, page, k, text, heading, sources, w, h, body of the pieces that paragraphs have on a page, k from 0; and what pages
+    before and after ask: can, size (whether the page's first line can go on from the page before), open, over (whether its last one
+    is left open, and by how much it is short of its region's edge)."""
+    c = F.col
+    order = ["region_ord", "reading_order", "pos"]
+    own = Window.partitionBy("book_id", "page").orderBy(*order)
+    rows = lines.withColumns({
+        "can": c("first") & ~c("heading") & ~c("indented") & ~c("item") & (c("y0") < c("height") * F.lit(0.23)),
+        "open": (c("y1") > c("height") * F.lit(0.84)) & ~c("heading") & ~c("t").rlike("[.!?。][”’\"')\\]]*\\z"),
+        "over": c("right") - c("x1"), "begins": c("first") | c("heading") | c("indented") | c("item") | (c("gap") > c("size") * F.lit(1.8)),
+    })
+    last = lambda x: F.lag(x).over(own)
+    rows = rows.withColumns({"heading0": last("heading"), "open0": last("open"), "over0": last("over")})
+    starts = (c("begins") | c("heading0")) & ~_goes_on(c("can"), c("size"), c("open0"), c("over0"))
+    rows = rows.withColumn("starts", F.when(c("heading0").isNotNull(), starts).cast("int"))
+    rows = rows.withColumn("k", F.coalesce(F.sum("starts").over(own), F.lit(0)))
+    line = F.struct(*order, "t", "ids", "heading", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body", "can", "size", "open", "over")
+    found = rows.groupBy("book_id", "page", "k").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    one, end = c("lines")[0], F.element_at("lines", -1)
+    sources = F.flatten(F.transform("lines", lambda x: F.transform(x["ids"], lambda i: F.struct(c("page").alias("page"), i.alias("block_id")))))
+    return found.select("book_id", "page", "k", F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), sources.alias("sources"), *[one[x].alias(x) for x in ("heading", "w", "h", "body", "can", "size")], end["open"].alias("open"), end["over"].alias("over"))
+
+
+def _goes_on(can: Column, size: Column, open_: Column, over: Column) -> Column:
+    return F.coalesce(can & open_ & (over < size * F.lit(1.2)), F.lit(False))
+
+
+def reconstruct(lines: DataFrame, sizes: DataFrame | None = None, pages: int = RANGE, ranged: int | None = None) -> DataFrame:
     """book_id, ord, text, kind, sources, lone of paragraphs that may go on over regions and pages; strays are left out.
 
     lines: line_features of blocks or of visual lines, whose sources are all their runs; sizes: body_size of all blocks, where
-    lines don't have it as body. A book's lines are ordered and numbered in ranges of pages, so a very long book is many tasks.
-    written: lines with what begins a paragraph are written before they are counted, which reads them twice.
+    lines don't have it as body. Pages are cut into pieces of paragraphs, which are written; whether a page goes on from the one
+    before, and how many paragraphs a book had before it, is told from a short row of each page, in ranges of pages, so a very
+    long book is many tasks. ranged: paragraphs of a range of so many are dealt together, and range tells which, as
+    `merge_by_context` asks.
     """
-    c = F.col
+    c, spark = F.col, lines.sparkSession
     if sizes is not None:
         lines = lines.drop("body").join(sizes.withColumnRenamed("size", "body"), ["book_id", "page"])
-    order = ["page", "region_ord", "reading_order", "pos"]
-    rows = carried(lines.withColumn("range", range_of(c("page"), pages)), "range", order, ["heading", "y1", "x1", "height", "right", "page", "t"])
-    rows = rows.withColumns({f"{name}0": c("last")[x] for name, x in (("heading", "heading"), ("y1", "y1"), ("x1", "x1"), ("height", "height"), ("right", "right"), ("page", "page"), ("t", "t"))})
-    starts = c("first") | c("heading") | c("indented") | c("item") | (c("gap") > c("size") * F.lit(1.8)) | F.coalesce("heading0", F.lit(False))
-    goes_on = (
-        c("first") & ~c("heading") & ~c("indented") & ~c("item") & (c("y10") > c("height0") * F.lit(0.84)) & (c("y0") < c("height") * F.lit(0.23))
-        & (c("right0") - c("x10") < c("size") * F.lit(1.2)) & ~c("t0").rlike("[.!?。][”’\"')\\]]*\\z") & (c("page") - c("page0")).isin(0, 1) & ~c("heading0")
-    )
-    rows = rows.withColumn("starts", starts & ~F.coalesce(goes_on, F.lit(False)) | c("page0").isNull())
-    if written:
-        own = rows.select("book_id", "range", *order, "t", "ids", "heading", "text", "x0", "x1", "y0", "y1", "body", "starts")
-        rows = stores.kept(lines.sparkSession, lambda: own)
-    rows = counted(rows, "range", order, c("starts"), "ord")
-    line = F.struct("page", "region_ord", "reading_order", "pos", "t", "ids", "heading", "text", (c("x1") - c("x0")).alias("w"), (c("y1") - c("y0")).alias("h"), "body")
-    found = rows.groupBy("book_id", "ord").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    one = c("lines")[0]
-    lone = (F.size("lines") == 1) & (F.size(one["ids"]) == 1)
-    found = found.where(~(lone & T.is_stray(one["t"], one["w"], one["h"], one["body"])))
-    return found.select("book_id", "ord", F.array_join(F.transform("lines", lambda x: x["t"]), " ").alias("text"), F.when(one["heading"], "heading").otherwise("body").alias("kind"), F.flatten(F.transform("lines", lambda x: F.transform(x["ids"], lambda i: F.struct(x["page"].alias("page"), i.alias("block_id"))))).alias("sources"), lone.alias("lone"))
+    pieces = stores.kept(spark, lambda: pieces_of(lines))
+
+    def before() -> DataFrame:
+        ends = pieces.groupBy("book_id", "page").agg(F.max("k").alias("more"), F.min_by(F.struct("can", "size"), "k").alias("front"), F.max_by(F.struct("open", "over"), "k").alias("tail"))
+        rows = carried(ends.withColumn("range", range_of(c("page"), pages)), "range", ["page"], ["page", "tail"])
+        goes_on = _goes_on(c("front.can"), c("front.size"), c("last.tail.open"), c("last.tail.over")) & F.coalesce(c("page") - c("last.page") == 1, F.lit(False))
+        rows = rows.select("book_id", "page", "range", "more", (c("more") + F.when(goes_on, 0).otherwise(1)).alias("n"))
+        return counted(rows, "range", ["page"], c("n"), "ord").select("book_id", "page", (c("ord") - c("more")).alias("base"))
+
+    rows = pieces.join(stores.kept(spark, before), ["book_id", "page"]).withColumn("ord", c("base") + c("k"))
+    dealt = ["range"] if ranged else []
+    if ranged:
+        rows = rows.withColumn("range", range_of(c("ord"), ranged)).repartition("book_id", "range")
+    found = rows.groupBy("book_id", *dealt, "ord").agg(F.array_sort(F.collect_list(F.struct("page", "k", "text", "heading", "sources", "w", "h", "body"))).alias("all"))
+    one, sources = c("all")[0], F.flatten(F.transform("all", lambda x: x["sources"]))
+    found = found.select("book_id", *dealt, "ord", "all", sources.alias("sources")).withColumn("lone", F.size("sources") == 1)
+    found = found.where(~(c("lone") & T.is_stray(one["text"], one["w"], one["h"], one["body"])))
+    return found.select("book_id", *dealt, "ord", F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), F.when(one["heading"], "heading").otherwise("body").alias("kind"), "sources", "lone")
 
 
 def joins(left: Column, right: Column, tags: tuple[Column, Column] | None = None) -> Column:
@@ -289,15 +323,39 @@ def joins(left: Column, right: Column, tags: tuple[Column, Column] | None = None
 def neighbours(paragraphs: DataFrame, size: int = PARAGRAPHS) -> DataFrame:
     """Paragraphs with left (the text before) where both are body and lie on one page or two that follow."""
     last = F.element_at("sources", -1)["page"]
-    rows = carried(paragraphs.withColumns({"range": range_of(F.col("ord"), size), "ends": last}), "range", ["ord"], ["text", "kind", "ends"])
+    rows = paragraphs if "range" in paragraphs.columns else paragraphs.withColumn("range", range_of(F.col("ord"), size))
+    rows = carried(rows.withColumn("ends", last), "range", ["ord"], ["text", "kind", "ends"])
     next_to = (F.col("last.kind") == "body") & (F.col("kind") == "body") & (F.col("sources")[0]["page"] - F.col("last.ends")).isin(0, 1)
     return rows.withColumn("left", F.when(next_to, F.col("last.text"))).drop("last", "ends", "range")
 
 
-def merge_by_context(paragraphs: DataFrame, join=joins) -> DataFrame:
-    """Paragraphs united where join(left, right) says so; ord is the first one's."""
-    rows = neighbours(paragraphs).withColumn("joined", F.coalesce(F.col("left").isNotNull() & join(F.col("left"), F.col("text")), F.lit(False)))
-    return united(rows)
+def merge_by_context(paragraphs: DataFrame, join=joins, size: int = PARAGRAPHS) -> DataFrame:
+    """Paragraphs united where join(left, right) says so; ord is the first one's.
+
+    Those of a range are united where they are, and written; then a range's first and last one tell whether ranges go on.
+    """
+    c, spark = F.col, paragraphs.sparkSession
+    own = Window.partitionBy("book_id", "range").orderBy("ord")
+    met = lambda last, text, kind, page: F.coalesce((last["kind"] == "body") & (kind == "body") & (page - last["page"]).isin(0, 1) & join(last["text"], text), F.lit(False))
+
+    def pieces() -> DataFrame:
+        rows = paragraphs if "range" in paragraphs.columns else paragraphs.withColumn("range", range_of(c("ord"), size))
+        rows = rows.withColumns({"begins": c("sources")[0]["page"], "tail": F.struct("text", "kind", F.element_at("sources", -1)["page"].alias("page"))})
+        rows = rows.withColumns({"last": F.lag("tail").over(own), "tail": F.when(F.lead(F.lit(True)).over(own).isNull(), c("tail"))})
+        rows = rows.withColumns({"new": (c("last").isNotNull() & ~met(c("last"), c("text"), c("kind"), c("begins"))).cast("int"), "front": F.when(c("last").isNull(), F.struct("text", "kind", c("begins").alias("page")))})
+        rows = rows.withColumn("k", F.sum("new").over(own))
+        return _one(rows.groupBy("book_id", "range", "k"), F.max("front").alias("front"), F.max("tail").alias("tail"))
+
+    found = stores.kept(spark, pieces)
+
+    def before() -> DataFrame:
+        book = Window.partitionBy("book_id").orderBy("range")
+        ends = found.groupBy("book_id", "range").agg(F.max("k").alias("more"), F.max("front").alias("front"), F.max("tail").alias("tail")).withColumn("last", F.lag("tail").over(book))
+        ends = ends.withColumn("n", c("more") + F.when(met(c("last"), c("front.text"), c("front.kind"), c("front.page")), 0).otherwise(1))
+        return ends.select("book_id", "range", (F.sum("n").over(book) - c("more")).alias("base"))
+
+    rows = found.join(stores.kept(spark, before), ["book_id", "range"])
+    return _united(rows.withColumn("group", c("base") + c("k")))
 
 
 def united(rows: DataFrame, size: int = PARAGRAPHS) -> DataFrame:
@@ -307,8 +365,14 @@ def united(rows: DataFrame, size: int = PARAGRAPHS) -> DataFrame:
 
 def _united(rows: DataFrame) -> DataFrame:
     """One paragraph of each group."""
-    found = rows.groupBy("book_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "kind", "sources"))).alias("all"))
-    return found.select("book_id", F.col("all")[0]["ord"].alias("ord"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), F.col("all")[0]["kind"].alias("kind"), F.flatten(F.transform("all", lambda x: x["sources"])).alias("sources"))
+    return _one(rows.groupBy("book_id", "group")).drop("group")
+
+
+def _one(groups, *also: Column) -> DataFrame:
+    """The groups' keys, and ord, text, kind, sources of the one paragraph that each makes."""
+    found = groups.agg(F.array_sort(F.collect_list(F.struct("ord", "text", "kind", "sources"))).alias("all"), *also)
+    one = [F.col("all")[0]["ord"].alias("ord"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"), F.col("all")[0]["kind"].alias("kind"), F.flatten(F.transform("all", lambda x: x["sources"])).alias("sources")]
+    return found.select(*[x for x in found.columns if x != "all"], *one)
 
 
 def merge_with(paragraphs: DataFrame, analyse: Callable[[str], list[str]]) -> DataFrame:
@@ -358,4 +422,5 @@ def boundary_route(left: Column, right: Column, join=joins) -> Column:
 
 def listening(paragraphs: DataFrame) -> DataFrame:
     """What is read aloud: no brackets, no empty paragraphs."""
-    return paragraphs.withColumn("text", T.remove_parenthetical(F.col("text"))).where("text <> ''")
+    # a filter would go below the column, and take the brackets out once more
+    return paragraphs.withColumn("text", F.explode(F.filter(F.array(T.remove_parenthetical(F.col("text"))), lambda x: x != "")))

@@ -45,21 +45,19 @@ def document_blocks(spark: SparkSession, sf_dir: str, one_book: bool = False) ->
     page = (F.col("doc_id") + 1).cast("int") if one_book else F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
     docs = docs.select("book_id", page.alias("page"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     docs = docs.withColumn("n", F.size("lines")).withColumn("height", F.greatest(F.lit(1000), 200 + 25 * F.col("n")))
-    length = lambda x: F.length(x).cast("int")
-
-    def line(x: Column, i: Column) -> Column:
-        x0, y0 = F.when(length(x) % 7 == 0, 140).otherwise(100), 30 + 25 * i
-        name = F.when(F.col("page") % 5 == 0, F.concat(F.lit("region-"), F.when(2 * i < F.col("n"), "1").otherwise("2"), F.lit(":l"), i.cast("string"))).otherwise(F.concat(F.lit("l"), i.cast("string")))
-        kind = F.when(length(x).between(1, 20), "heading").otherwise("line")
-        return F.struct((i + 1).alias("pos"), name.alias("id"), x.alias("text"), x0.alias("x0"), y0.alias("y0"), F.least(F.lit(980), x0 + 12 * length(x)).alias("x1"), (y0 + 15 + 5 * (length(x) % 2)).alias("y1"), kind.alias("type"))
-
-    def extra(pos: Column, id: str, text: Column, y0: Column, y1: Column) -> Column:
-        return F.struct(pos.alias("pos"), F.lit(id).alias("id"), text.alias("text"), F.lit(400).alias("x0"), y0.alias("y0"), F.lit(600).alias("x1"), y1.alias("y1"), F.lit("line").alias("type"))
-
-    head = extra(F.lit(0), "head", F.concat(F.lit("Running head "), F.col("page").cast("string")), F.lit(5), F.lit(20))
-    foot = extra(F.col("n") + 1, "foot", F.concat(F.lit("Chapter "), F.char(97 + F.col("page") % 9), F.col("page").cast("string")), F.col("height") - 25, F.col("height") - 10)
-    rows = docs.select("book_id", "page", F.lit(1000).alias("width"), "height", F.explode(F.concat(F.array(head), F.transform("lines", line), F.array(foot))).alias("b"))
-    return rows.select("book_id", "page", "width", "height", "b.pos", "b.id", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.lit(1.0).alias("confidence"), F.col("b.pos").alias("reading_order"), "b.type")
+    head, foot = F.concat(F.lit("Running head "), F.col("page").cast("string")), F.concat(F.lit("Chapter "), F.char(97 + F.col("page") % 9), F.col("page").cast("string"))
+    # only texts are exploded: what follows from a line's place and length are columns, made where they are read
+    rows = docs.select("book_id", "page", "n", "height", F.posexplode(F.concat(F.array(head), F.col("lines"), F.array(foot))).alias("pos", "text"))
+    pos, i, n, length = F.col("pos"), F.col("pos") - 1, F.col("n"), F.length("text").cast("int")
+    pick = lambda first, last, line: F.when(pos == 0, first).when(pos == n + 1, last).otherwise(line)
+    x0, name = F.when(length % 7 == 0, 140).otherwise(100), F.concat(F.lit("l"), i.cast("string"))
+    name = F.when(F.col("page") % 5 == 0, F.concat(F.lit("region-"), F.when(2 * i < n, "1").otherwise("2"), F.lit(":"), name)).otherwise(name)
+    return rows.select(
+        "book_id", "page", F.lit(1000).alias("width"), "height", "pos", pick(F.lit("head"), F.lit("foot"), name).alias("id"), "text",
+        pick(F.lit(400), F.lit(400), x0).alias("x0"), pick(F.lit(5), F.col("height") - 25, 30 + 25 * i).alias("y0"),
+        pick(F.lit(600), F.lit(600), F.least(F.lit(980), x0 + 12 * length)).alias("x1"), pick(F.lit(20), F.col("height") - 10, 45 + 25 * i + 5 * (length % 2)).alias("y1"),
+        F.lit(1.0).alias("confidence"), pos.alias("reading_order"), pick(F.lit("line"), F.lit("line"), F.when(length.between(1, 20), "heading").otherwise("line")).alias("type"),
+    )
 
 
 BLOCKS_SQL = """

@@ -114,3 +114,27 @@ def test_spaces_are_corrected_by_stretches_of_hangul(spark):
     began = time.monotonic()
     long.select(T.correct_spacing(F.col("t"), F.replace("t", F.lit("가나"), F.lit("가 나")))).write.format("noop").mode("overwrite").save()
     assert time.monotonic() - began < 12
+
+
+@pytest.mark.parametrize("name", ["reconstruct_paragraphs", "context_merge", "one_long_book", "boundary_triage"])
+def test_lines_are_read_once_for_a_books_order(spark, sf_dir, name):
+    assert "documents.parquet" not in plan(catalogue.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_ranges_of_paragraphs_do_not_show_where_they_are_joined(spark, size):
+    texts = ["a의", "b를", "c.", "d의", "e", "f의", "g의", "h의", "i", "", "j(", "k"]
+    rows = [(b, o + o // 5 * 3, t, "heading" if b == "y" and o == 4 else "body", [(o // 2 + (o > 6), f"l{o}")]) for b in "xy" for o, t in enumerate(texts)]
+    paragraphs = spark.createDataFrame(rows, "book_id string, ord long, text string, kind string, sources array<struct<page:int,block_id:string>>")
+    found = {(r.book_id, r.ord): r.text for r in L.merge_by_context(paragraphs, size=size).collect()}
+    joined = L.neighbours(paragraphs, 50).withColumn("joined", F.coalesce(F.col("left").isNotNull() & L.joins(F.col("left"), F.col("text")), F.lit(False)))
+    assert found == {(r.book_id, r.ord): r.text for r in L.united(joined, 50).collect()} and len(found) < len(rows)
+
+
+def test_brackets_are_taken_out_once(spark, sf_dir):
+    assert plan(catalogue.QUERIES["listening_paragraphs"](spark, sf_dir)).count("aggregate(transform(regexp_extract_all(") == 3  # two for whether they balance, and what is left
+
+
+def test_only_texts_are_exploded_and_heads_are_squeezed_once(spark, sf_dir):
+    found = plan(catalogue.QUERIES["margin_candidates"](spark, sf_dir))
+    assert "transform(" not in found and found.count("regexp_replace(") == 1
