@@ -5,8 +5,9 @@ A judge is any function of a DataFrame of batches; none is built in. Answers cou
 
 from __future__ import annotations
 
-import difflib
 import json
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -56,6 +57,63 @@ def answered(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
+def _shared(a: str, b: str) -> int:
+    """How many characters two texts begin with alike: halves are compared, not characters."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether `difflib.SequenceMatcher(None, a, b).ratio()` is least or more, by the same blocks in the same order of choice.
+
+    Blocks grow from characters that aren't frequent in b, so only stretches of these are visited, if one is longer than what was
+    found; it ends when enough is matched.
+    """
+    places: dict[str, list[int]] = {}
+    most = len(b) // 100 + 1 if len(b) >= 200 else len(b)
+    rare = {c for c, n in Counter(b).items() if n <= most}
+    for j, c in enumerate(b):
+        if c in rare:
+            places.setdefault(c, []).append(j)
+    at = [i for i, c in enumerate(a) if c in rare]
+    # stretches of such characters, by where each begins in at
+    begins = [n for n, i in enumerate(at) if not n or i != at[n - 1] + 1]
+    ends = [*begins[1:], len(at)]
+    total, matched, open_ = len(a) + len(b), 0, [(0, len(a), 0, len(b))]
+    while True:
+        if (2.0 * matched / total if total else 1.0) >= least:
+            return True
+        if not open_:
+            return False
+        alo, ahi, blo, bhi = open_.pop()
+        i0, j0, size = alo, blo, 0
+        first, stop = bisect_left(at, alo), bisect_left(at, ahi)
+        for n in range(max(0, bisect_right(begins, first) - 1), bisect_left(begins, stop)):
+            begin, end = max(begins[n], first), min(ends[n], stop)
+            if end - begin <= size:  # none longer in it
+                continue
+            runs: dict[int, int] = {}
+            for i in at[begin:end]:
+                last, runs = runs, {}
+                for j in places[a[i]]:
+                    if blo <= j < bhi:
+                        k = runs[j] = last.get(j - 1, 0) + 1
+                        if k > size:
+                            i0, j0, size = i - k + 1, j - k + 1, k
+        left = _shared(a[alo:i0][::-1], b[blo:j0][::-1])
+        i0, j0, size = i0 - left, j0 - left, size + left
+        size += _shared(a[i0 + size : ahi], b[j0 + size : bhi])
+        if size:
+            matched += size
+            if alo < i0 and blo < j0:
+                open_.append((alo, i0, blo, j0))
+            if i0 + size < ahi and j0 + size < bhi:
+                open_.append((i0 + size, ahi, j0 + size, bhi))
+
+
 EDITS = "array<struct<before:string,after:string,confidence:double>>"
 
 
@@ -69,7 +127,7 @@ def apply_edits(text: pd.Series, edits: pd.Series) -> pd.Series:
             if sure is None or sure < 0.9 or not (0 < len(old) <= 30 and 0 < len(new) <= 30) or abs(len(old) - len(new)) > 4 or value.count(old) != 1:
                 continue
             changed = value.replace(old, new, 1)
-            if difflib.SequenceMatcher(None, value, changed).ratio() >= 0.96:
+            if alike(value, changed, 0.96):
                 value = changed
         return value
 

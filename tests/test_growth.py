@@ -116,6 +116,31 @@ def test_spaces_are_corrected_by_stretches_of_hangul(spark):
     assert time.monotonic() - began < 12
 
 
+def test_texts_are_alike_as_difflib_finds_them():
+    import difflib
+    import random
+
+    from folioflow.operators import review as R
+
+    r = random.Random(2)
+    for n in [0, 1, 5, 60, 199, 200, 205, 420, 900]:
+        for letters in ("ab", "abcdefghij ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,.가나다"):
+            for _ in range(12):
+                a = "".join(r.choice(letters) for _ in range(n)) if r.random() < 0.7 else ("".join(r.choice(letters) for _ in range(r.randrange(1, 40))) * n)[:n]
+                k, w = r.randrange(n + 1), r.randrange(8)
+                b = a[:k] + "".join(r.choice(letters + "z") for _ in range(r.randrange(8))) + a[k + w :]
+                ratio = difflib.SequenceMatcher(None, a, b).ratio()
+                assert R.alike(a, b, ratio) and not R.alike(a, b, ratio + 1e-9)
+                assert R.alike(a, b, 0.96) == (ratio >= 0.96)
+    text = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 11))) for _ in range(9000)) + "."
+    changed = text.replace(text[30000:30012], "Q")
+    began = time.monotonic()
+    assert R.alike(text, changed, 0.96) == (difflib.SequenceMatcher(None, text, changed).ratio() >= 0.96)
+    own = time.monotonic()
+    R.alike(text, changed, 0.96)
+    assert time.monotonic() - own < (own - began) / 2
+
+
 @pytest.mark.parametrize("name", ["reconstruct_paragraphs", "context_merge", "one_long_book", "boundary_triage"])
 def test_lines_are_read_once_for_a_books_order(spark, sf_dir, name):
     assert "documents.parquet" not in plan(catalogue.QUERIES[name](spark, sf_dir))
