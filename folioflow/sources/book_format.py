@@ -1,7 +1,8 @@
 """Books as a data source: `spark.read.format("book")` gives their blocks, `df.write.format("book")` publishes files.
 
 Reading: the folder's files are listed, small ones share a task, and a book above `split` bytes is split by its documents, so
-that one large book isn't one task. Writing: tasks put their books beside the published ones; the job's commit moves
+that one large book isn't one task. Where that would make more than about TASKS tasks, so many bytes more make one, up to SPLIT
+(or `split`, if larger): the driver opens no more books than there are tasks, however many there are. Writing: tasks put their books beside the published ones; the job's commit moves
 them all, its abort leaves nothing. A book that the check finds damaged fails its task, and so the job.
 
 The source runs in Python processes without a session, so it reaches files through Arrow's file systems: local ones, and
@@ -25,6 +26,8 @@ from folioflow.sources import archive as A
 SUFFIX = ".epub"
 #: Bytes of files for one task; a book above is split.
 SPLIT = 32 << 20
+#: Tasks that a folder is read by at least before any has more than `split` bytes: more would only cost their beginnings.
+TASKS = 256
 
 
 def file_name(book_id: str) -> str:
@@ -55,12 +58,14 @@ class BookReader(DataSourceReader):
 
         files, at = _files(self.path)
         found = sorted((i.path, i.size) for i in files.get_file_info(fs.FileSelector(at)) if i.is_file and i.path.endswith(SUFFIX))
+        # what a task reads: no less than a share of all bytes, as long as that is less than SPLIT
+        room = max(self.split, min(SPLIT, sum(n for _, n in found) // TASKS))
         parts, small, size = [], [], 0
         for path, n in found:
-            if n > self.split and (documents := self._documents(files, path)):
+            if n > room and (documents := self._documents(files, path)):
                 parts += [Part([path], [d]) for d in documents]
                 continue
-            if small and size + n > self.split:
+            if small and size + n > room:
                 parts.append(Part(small))
                 small, size = [], 0
             small.append(path)
@@ -74,15 +79,15 @@ class BookReader(DataSourceReader):
             book = A._tried(zipfile.ZipFile, f)
             return A._tried(A._reading_order, book, otherwise=[]) if book else []
 
-    def read(self, partition: Part) -> Iterator[tuple[str, str, int, str]]:
+    def read(self, partition: Part) -> Iterator:
         files, _ = _files(self.path)
         for path in partition.paths:
             name = unquote(path.rsplit("/", 1)[-1].removesuffix(SUFFIX))
             with files.open_input_file(path) as f:
                 if partition.documents is None:
-                    yield from A._blocks(name, f.read())
+                    yield from A.batches(name, f.read())
                 else:
-                    yield from A._blocks(name, f, partition.documents)
+                    yield from A.batches(name, f, partition.documents)
 
 
 @dataclass

@@ -163,3 +163,25 @@ def test_brackets_are_taken_out_once(spark, sf_dir):
 def test_only_texts_are_exploded_and_heads_are_squeezed_once(spark, sf_dir):
     found = plan(catalogue.QUERIES["margin_candidates"](spark, sf_dir))
     assert "transform(" not in found and found.count("regexp_replace(") == 1
+
+
+def test_a_folder_of_many_books_is_few_tasks_and_opens_none(spark, tmp_path, monkeypatch):
+    from folioflow.sources import book_format as BF
+
+    parts = spark.createDataFrame([(f"b{b}", n, n == 0, "t", f"<p>{b} {n}</p>") for b in range(40) for n in range(3)], "book_id string, n int, heading boolean, label string, xhtml string")
+    books = A.package(parts).toPandas()
+    for name, content in zip(books["book_id"], books["content"], strict=True):
+        (tmp_path / BF.file_name(name)).write_bytes(bytes(content))
+    opened, own = [], BF.BookReader._documents
+    monkeypatch.setattr(BF, "TASKS", 8)
+    monkeypatch.setattr(BF.BookReader, "_documents", staticmethod(lambda *x: opened.append(x) or own(*x)))
+    reader = BF.BookReader({"path": str(tmp_path), "split": "1"})
+    found = reader.partitions()
+    assert not opened and len(found) <= 16 and sum(len(p.paths) for p in found) == 40
+    rows = [r for p in found for batch in reader.read(p) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert sorted(rows) == sorted((f"b{b}", A.MEMBERS[3], k, t) for b in range(40) for k, t in enumerate([f"b{b}", *(f"{b} {n}" for n in range(3))]))
+
+
+def test_books_are_read_and_packed_without_a_frame_of_each(spark, sf_dir):
+    found = plan(catalogue.QUERIES["read_blocks"](spark, sf_dir))
+    assert "InPandas" not in found and found.count("MapInArrow") == 2
