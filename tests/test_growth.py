@@ -185,3 +185,19 @@ def test_a_folder_of_many_books_is_few_tasks_and_opens_none(spark, tmp_path, mon
 def test_books_are_read_and_packed_without_a_frame_of_each(spark, sf_dir):
     found = plan(catalogue.QUERIES["read_blocks"](spark, sf_dir))
     assert "InPandas" not in found and found.count("MapInArrow") == 2
+
+
+def test_edits_are_made_and_books_are_read_once(spark, sf_dir):
+    found = plan(catalogue.QUERIES["edit_damaged_books"](spark, sf_dir))
+    assert "InPandas" not in found and found.count("MapInArrow") == 1  # the edited books are a table that is read for both
+
+
+def test_edits_of_books_that_have_none_or_are_not_there(spark):
+    parts = [(b, k, False, "t", f"<p>{b} {k}</p>") for b in "abc" for k in range(3)]
+    own = A.package(spark.createDataFrame(parts, "book_id string, n int, heading boolean, label string, xhtml string")).union(spark.createDataFrame([("d", b"no book")], "book_id string, content binary"))
+    changes = [("a", A.MEMBERS[3], 1, "new"), ("a", A.MEMBERS[3], 2, None), ("a", "x", 1, "y"), ("a", A.MEMBERS[3], 99, "z"), ("a", A.MEMBERS[3], None, "z"), ("b", A.MEMBERS[3], 3, "<&>"), ("d", A.MEMBERS[3], 0, "x"), ("none", A.MEMBERS[3], 0, "x")]
+    plan_ = spark.createDataFrame(changes, "book_id string, document string, idx int, after string")
+    new = A.write_edited(own, plan_)
+    assert sorted(r.book_id for r in new.collect()) == list("abcd") and bytes(new.where("book_id = 'd'").first().content) == b"no book"
+    found = {(r.book_id, r.idx): r.text for r in A.read_blocks(new).collect()}
+    assert found == {("a", 0): "a", ("a", 1): "new", ("a", 2): "a 2"} | {(b, k): t for b in "bc" for k, t in enumerate([b, f"{b} 0", f"{b} 1", f"{b} 2" if b == "c" else "<&>"])}
