@@ -184,8 +184,8 @@ def _edit_damaged(spark, sf_dir):
 
 def _stale(own):
     """A plan with a change of every third block, and one of a block that isn't there for each of them."""
-    rows = A.read_blocks(own).where("idx % 3 = 1").select("book_id", "document", "idx")
-    return rows.unionByName(rows.withColumn("idx", c("idx") + 100000)).withColumn("after", F.concat(F.lit("new "), c("idx").cast("string")))
+    rows = A.read_blocks(own).where("idx % 3 = 1").select("book_id", "document", F.explode(F.array("idx", c("idx") + 100000)).alias("idx"))
+    return rows.withColumn("after", F.concat(F.lit("new "), c("idx").cast("string")))
 
 
 def _edit_stale(spark, sf_dir):

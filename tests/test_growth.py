@@ -201,3 +201,8 @@ def test_edits_of_books_that_have_none_or_are_not_there(spark):
     assert sorted(r.book_id for r in new.collect()) == list("abcd") and bytes(new.where("book_id = 'd'").first().content) == b"no book"
     found = {(r.book_id, r.idx): r.text for r in A.read_blocks(new).collect()}
     assert found == {("a", 0): "a", ("a", 1): "new", ("a", 2): "a 2"} | {(b, k): t for b in "bc" for k, t in enumerate([b, f"{b} 0", f"{b} 1", f"{b} 2" if b == "c" else "<&>"])}
+
+
+def test_stale_changes_are_found_in_one_reading(spark):
+    own = A.package(spark.createDataFrame([("a", 0, False, "t", "<p>t</p>")], "book_id string, n int, heading boolean, label string, xhtml string"))
+    assert plan(books._stale(own)).count("MapInArrow") == plan(A.read_blocks(own)).count("MapInArrow")
