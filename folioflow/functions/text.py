@@ -16,7 +16,9 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 NOT_SPACE = "[^" + SPACE[1:]
 #: The same for patterns that look at every character: one table for Latin-1, the rest behind one range.
 _SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
-#: The same one by one: at a text's ends they are cut off without a pattern, which would be tried at every blank inside.
+#: A text of so many characters that aren't white space (% "2,60"): it stops at the first one more.
+BARE = rf"\A(?:{_SPACE}*+[^{_SPACE[1:]}){{%s}}+{_SPACE}*+\z"
+#: White space one by one: at a text's ends they are cut off without a pattern, which would be tried at every blank inside.
 SPACES = "".join(chr(k) for a, b in ((9, 13), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for k in range(a, b + 1))
 HANGUL = "[가-힣]"
 CORRUPT = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}\x00-\x08\x0B\x0C\x0E-\x1Fㄱ-ㆎ]"

@@ -206,3 +206,24 @@ def test_edits_of_books_that_have_none_or_are_not_there(spark):
 def test_stale_changes_are_found_in_one_reading(spark):
     own = A.package(spark.createDataFrame([("a", 0, False, "t", "<p>t</p>")], "book_id string, n int, heading boolean, label string, xhtml string"))
     assert plan(books._stale(own)).count("MapInArrow") == plan(A.read_blocks(own)).count("MapInArrow")
+
+
+def test_documents_are_dealt_once_for_margins_and_flow(spark, sf_dir):
+    df = catalogue.QUERIES["simple_paragraphs"](spark, sf_dir)
+    df.collect()
+    ran = plan(df).split("== Initial Plan ==")[0]
+    assert ran.count("Scan parquet") == 1 and "ReusedExchange" in ran
+
+
+def test_a_null_book_has_its_paragraphs(spark):
+    line = lambda book, page, k, text: (book, page, 1000, 1000, k, f"l{k}", text, 100, 5 if k == 0 else 400, 600, 20 if k == 0 else 420, 1.0, k, "line")
+    rows = [line(b, p, k, t) for b in (None, "b") for p in (1, 2, 3) for k, t in enumerate(["Head of it", f"text {p}."])]
+    blocks = spark.createDataFrame(rows, "book_id string, page int, width int, height int, pos int, id string, text string, x0 int, y0 int, x1 int, y1 int, confidence double, reading_order int, type string")
+    found = {(r.book_id, r.page, r.text) for r in L.simple_paragraphs(blocks, L.margins(blocks)).collect()}
+    assert found == {("b", p, f"text {p}.") for p in (1, 2, 3)} | {(None, p, t) for p in (1, 2, 3) for t in ("Head of it", f"text {p}.")}
+
+
+def test_how_many_characters_a_text_has_without_white_space(spark):
+    texts = [a + b * n + s for a in ("", " \t", " \x1c") for b in ("x", "가 ", "a​\x85", "\U0001f600　", " ") for n in (0, 1, 2, 30, 31, 59, 60, 61, 5000) for s in ("", "\n", " y")]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(T.BARE % "2,60"), F.length(T.squeeze(F.col("t"))).between(2, 60)).collect()
+    assert all(r[1] == r[2] for r in found) and len({r[1] for r in found}) == 2
