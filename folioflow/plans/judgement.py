@@ -21,9 +21,12 @@ def noted(spark, sf_dir):
     """Blocks with notes in small type at the foot of every third page, and superscripts at a line's end."""
     b = B.document_blocks(spark, sf_dir)
     note = (c("page") % 3 == 0) & (c("y0") > c("height") * F.lit(0.6)) & (c("type") == "line") & (c("id") != "foot")
-    marked = b.withColumns({"y1": F.when(note, c("y0") + 11).otherwise(c("y1")), "text": F.when(note, F.concat((c("pos") % 9 + 1).cast("string"), F.lit(") "), c("text"))).otherwise(c("text"))})
-    sup = b.where((c("page") % 3 == 0) & c("pos").isin(4, 5)).withColumns({"id": F.concat(F.lit("sup"), c("pos").cast("string")), "text": (c("pos") + 1).cast("string"), "x0": c("x1") - 2, "x1": c("x1") + 6, "y0": c("y0") - 2, "y1": c("y0") + 8})
-    return marked.unionByName(sup)
+    # a line and its superscript are one array, so that blocks are made once for both
+    names = ("id", "text", "x0", "y0", "x1", "y1")
+    line = F.struct("id", F.when(note, F.concat((c("pos") % 9 + 1).cast("string"), F.lit(") "), c("text"))).otherwise(c("text")).alias("text"), "x0", "y0", "x1", F.when(note, c("y0") + 11).otherwise(c("y1")).alias("y1"))
+    sup = F.struct(F.concat(F.lit("sup"), c("pos").cast("string")).alias("id"), (c("pos") + 1).cast("string").alias("text"), (c("x1") - 2).alias("x0"), (c("y0") - 2).alias("y0"), (c("x1") + 6).alias("x1"), (c("y0") + 8).alias("y1"))
+    rows = b.withColumn("b", F.explode(F.when((c("page") % 3 == 0) & c("pos").isin(4, 5), F.array(line, sup)).otherwise(F.array(line))))
+    return rows.select(*[c(f"b.{x}").alias(x) if x in names else x for x in b.columns])
 
 
 _NOTED = f"""WITH {B.BLOCKS_SQL}, noted AS (SELECT * REPLACE (CASE WHEN hit THEN y0 + 11 ELSE y1 END AS y1, CASE WHEN hit THEN (pos % 9 + 1) || ') ' || text ELSE text END AS text)

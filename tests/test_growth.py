@@ -227,3 +227,59 @@ def test_how_many_characters_a_text_has_without_white_space(spark):
     texts = [a + b * n + s for a in ("", " \t", " \x1c") for b in ("x", "가 ", "a​\x85", "\U0001f600　", " ") for n in (0, 1, 2, 30, 31, 59, 60, 61, 5000) for s in ("", "\n", " y")]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(T.BARE % "2,60"), F.length(T.squeeze(F.col("t"))).between(2, 60)).collect()
     assert all(r[1] == r[2] for r in found) and len({r[1] for r in found}) == 2
+
+
+def test_planted_notes_are_made_with_their_lines(spark, sf_dir):
+    from folioflow.plans.judgement import noted
+
+    found = plan(noted(spark, sf_dir))
+    assert found.count("Scan parquet") == 1 and "Union" not in found
+
+
+def test_notes_without_marks_cost_no_run_of_each_line(monkeypatch):
+    from folioflow.operators import notes as N
+
+    r = np.random.default_rng(3)
+
+    def by_each_line(x):
+        """The rule line by line: medians of the last three wide lines, a run from each line that lies below another."""
+        n, y0, y1, tall, height = len(x["y0"]), x["y0"], x["y1"], x["y1"] - x["y0"], float(x["height"][0])
+        body = ~x["is_heading"]
+        chosen = body & (y0 > 0.15 * height) & (y0 < 0.50 * height) & x["long"]
+        chosen = chosen if chosen.any() else body & (y0 < 0.72 * height)
+        usual = float(np.median(tall[chosen])) if chosen.any() else 0.0
+        for i in range(n if usual > 0 else 0):
+            if not (body[i] and y0[i] >= 0.45 * height and (x["marked"][i] or (i and y0[i] > y1[i - 1]))):
+                continue
+            before = [k for k in range(i) if body[k] and y0[k] > 0.1 * height and x["x1"][k] - x["x0"][k] > 0.45 * x["width"][0]]
+            size = float(np.median(tall[before[-3:]])) if before else usual
+            stop = next((k for k in range(i, n) if not (body[k] and y0[k] >= y0[i] - size and tall[k] <= 1.15 * size)), n)
+            run = [k for k in range(i, stop) if not x["blank"][k] and not x["number"][k]]
+            if not run or np.median(tall[run]) > 0.94 * size:
+                continue
+            if x["marked"][i]:
+                return run
+            if i and len(run) > 1 and tall[i] <= 0.96 * size and y0[i] - y1[i - 1] >= 1.4 * size and y1[run[-1]] >= 0.88 * height:
+                aligned = max((sum(abs(x["x0"][a] - x["x0"][b]) < size for a in before) for b in before), default=0)
+                if aligned >= 3 and np.median([max(0, y0[b] - y1[a]) for a, b in zip(run, run[1:], strict=False)]) < 0.6 * size:
+                    return run
+        return []
+
+    kinds, calls, median = set(), [], np.median
+    for _ in range(1500):
+        n, at = int(r.integers(1, 40)), int(r.integers(0, 40))
+        small = np.arange(n) >= at
+        steps = np.where(small, 16, 25) + np.where(np.arange(n) == at, r.integers(0, 60), 0)
+        y0 = np.cumsum(steps) - steps.sum() + r.integers(780, 960) + r.integers(-2, 2, n)
+        x = {"y0": y0, "y1": y0 + np.where(small, r.integers(9, 14), r.integers(14, 22, n)), "x0": 100 + r.integers(0, 8, n), "x1": 100 + r.choice([300, 700, 800], n), "height": np.full(n, 1000), "width": np.full(n, 1000)}
+        x |= {k: r.random(n) < p for k, p in (("is_heading", 0.04), ("blank", 0.05), ("number", 0.04), ("marked", 0.02), ("long", 0.9))}
+        x = {k: v.astype(np.int32) if v.dtype != bool else v for k, v in x.items()}
+        want = by_each_line(x)
+        assert list(N.region_notes(x)) == want
+        kinds.add((len(want) > 0, bool(x["marked"][want[0]]) if want else None))
+    assert kinds == {(False, None), (True, True), (True, False)}
+    n = 400
+    x = {"y0": np.arange(n, dtype=np.int32) * 25, "x0": np.zeros(n, np.int32), "x1": np.full(n, 900, np.int32), "height": np.full(n, 10000, np.int32), "width": np.full(n, 1000, np.int32)}
+    x |= {"y1": x["y0"] + 15} | {k: np.full(n, k == "long") for k in ("is_heading", "blank", "number", "marked", "long")}
+    monkeypatch.setattr(np, "median", lambda *a: calls.append(1) or median(*a))
+    assert not len(N.region_notes(x)) and len(calls) == 1
