@@ -283,3 +283,42 @@ def test_notes_without_marks_cost_no_run_of_each_line(monkeypatch):
     x |= {"y1": x["y0"] + 15} | {k: np.full(n, k == "long") for k in ("is_heading", "blank", "number", "marked", "long")}
     monkeypatch.setattr(np, "median", lambda *a: calls.append(1) or median(*a))
     assert not len(N.region_notes(x)) and len(calls) == 1
+
+
+def test_words_are_cut_in_their_order_and_not_sorted(spark, sf_dir):
+    found = plan(catalogue.QUERIES["visual_lines"](spark, sf_dir))
+    words = found[: found.index("posexplode(split(")]
+    assert "Sort" not in words and "Window" not in words and "Join" not in words and found.count("Exchange") == 1
+
+
+def test_words_of_long_lines_lie_where_those_before_them_end(spark, tmp_path):
+    from folioflow.plans import layouts
+
+    texts = ["", " ", "  a  b ", " ".join("é" * (k % 7) for k in range(200)), "\n".join([" ".join(f"w{k}" for k in range(n)) for n in (63, 64, 65, 128, 129)])]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for page, text in enumerate(texts, 1):
+        for line, own in enumerate(text.split("\n"), 1):
+            x = 100
+            for k, word in enumerate(own.split(" ")):
+                want |= {(page, line * 65536 + k, f"text-{line}-{k}", word, x, x + 12 * len(word))} if word else set()
+                x += 12 * len(word) + 4 + k % 3 * 5
+    assert {tuple(r) for r in layouts.document_words(spark, str(tmp_path)).select("page", "pos", "id", "text", "x0", "x1").collect()} == want
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_lines_of_whole_pages_are_those_of_sorted_blocks(spark, sf_dir, batch):
+    from folioflow.operators import notes as N
+    from folioflow.plans import layouts
+
+    words = layouts.document_words(spark, sf_dir).where("page < 6")
+    removed = words.where("page % 2 = 0 and pos % 3 = 0 or page = 5").select("book_id", "page", "id")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(N.visual_lines(L.body_lines(words, removed)))
+    cut = layouts.document_words(spark, sf_dir, removed).where("page < 6").withColumn("number", L.page_number())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert key(N.page_lines(cut)) == want and len(want) > 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
