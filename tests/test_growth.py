@@ -322,3 +322,13 @@ def test_lines_of_whole_pages_are_those_of_sorted_blocks(spark, sf_dir, batch):
         assert key(N.page_lines(cut)) == want and len(want) > 100
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_words_of_a_text_layer_are_not_sorted_for_what_is_removed(spark, sf_dir):
+    from folioflow.operators import notes as N
+    from folioflow.plans import layouts
+
+    removed = L.margins(layouts.document_words(spark, sf_dir))
+    lines = N.page_lines(layouts.document_words(spark, sf_dir, removed).withColumn("number", L.page_number()))
+    words = plan(lines).split("posexplode(split(")[0]
+    assert "MapInArrow" in words and not any(x in words for x in ("Sort", "Window", "Join", "Exchange", "array_contains"))
